@@ -7,16 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simple8b
 from .common import table
 
 
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = simple8b.encode(table(spark, sf_dir, "documents"))
+    return simple8b.digests(simple8b.decode(spark, shards))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.roundtrip(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe,)}
+    return {f.__name__: f for f in (op2_simple8b, op4_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
