@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simple8b
+from . import bpe, simhash, simple8b
 from .common import table
 
 
@@ -16,12 +16,16 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.digests(simple8b.decode(spark, shards))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.components(table(spark, sf_dir, "documents")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.roundtrip(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b, op4_bpe)}
+    return {f.__name__: f for f in (op2_simple8b, op3_simhash, op4_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
