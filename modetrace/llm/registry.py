@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, simple8b
+from . import bpe, pii, secrets, simhash, simple8b
 from .common import table
 
 
@@ -24,8 +24,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.roundtrip(table(spark, sf_dir, "documents")))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b, op3_simhash, op4_bpe)}
+    return {f.__name__: f for f in (op2_simple8b, op3_simhash, op4_bpe, op7_secrets, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

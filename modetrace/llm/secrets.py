@@ -1,0 +1,98 @@
+"""Secrets in texts: fixed patterns, and random strings by token efficiency.
+
+A BPE vocabulary is learnt from prose and code, so it spells a random string
+with few characters a token and a word with many. A run of key characters
+that no fixed pattern took is a secret of kind ``random`` if it has fewer than
+``MAX_RATIO`` characters a token, once known digests (hexadecimal of a digest's
+length, UUIDs), numbers and identifiers (words joined by separators or by
+case) are put aside. Null and empty texts have no spans.
+"""
+
+from __future__ import annotations
+
+import base64
+import functools
+import re
+
+from pyspark.sql import DataFrame
+
+from .common import Memo, tokenizer_path
+from .spans import Span, digests as span_digests, find_spans, in_order
+
+KINDS = ("assign", "access", "hex", "random")
+# The patterns, each keyword letter in either case, and the least lengths.
+_WORDS = ("password", "passwd", "secret", "token")
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in _WORDS) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{16,}")
+LEAST_ASSIGN, LEAST_ACCESS = 12, 18
+#: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
+DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: Words of an identifier: letters of one case (a first capital aside), and short numbers.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+MAX_RATIO = 2.2
+
+
+@functools.lru_cache(maxsize=2)
+def _encoding(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def is_known(run: str) -> bool:
+    """Digests, UUIDs, numbers and identifiers are no secrets of themselves."""
+    if HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
+        return True
+    body = run.strip("=")
+    if not any(c.isdigit() for c in body) and (body.islower() or body.isupper() or "/" in body):
+        return True
+    pieces = [x for x in re.split(r"[_/+=-]+", body) if x]
+    if all(x.isdigit() for x in pieces):
+        return True
+    # an identifier is made of few parts for its length: words of four letters or more on average
+    parts = [p for x in pieces for p in PART.findall(x)]
+    return len("".join(parts)) >= 4 * len(parts)
+
+
+class SecretFinder:
+    def __init__(self, path: str, max_ratio: float = MAX_RATIO):
+        self.encoding, self.max_ratio = _encoding(path), max_ratio
+        self.ratios = Memo(lambda run: len(run) / max(1, len(self.encoding.encode_ordinary(run))), 20_000)
+
+    def base(self, text: str) -> list[Span]:
+        found: list[Span] = []
+        if "=" in text or ":" in text:
+            found += [("assign", m.start(), m.end(), True) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
+        if "AKIA" in text:
+            found += [("access", m.start(), m.end(), True) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+        found += [("hex", m.start(), m.end(), True) for m in HEX.finditer(text)]
+        return found
+
+    def __call__(self, text: str) -> list[Span]:
+        found = self.base(text)
+        taken = [(a, b) for _, a, b, _ in found]
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            if any(a < y and x < b for x, y in taken):
+                continue
+            run = m.group()
+            if not is_known(run) and self.ratios[run] < self.max_ratio:
+                found.append(("random", a, b, False))
+        return in_order(found, KINDS) if len(found) > 1 else found
+
+
+def find(docs: DataFrame, path: str | None = None, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """(doc_id, spans) of every text."""
+    return find_spans(docs, lambda: SecretFinder(path or tokenizer_path("byte_bpe_50k.tiktoken"), max_ratio))
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    return span_digests(rows, ["assign", "access", "hex"])
