@@ -7,10 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, secrets, simhash, simple8b
+from . import bpe, pii, quality, secrets, simhash, simple8b, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.verdicts(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = simple8b.encode(table(spark, sf_dir, "documents"))
     return simple8b.digests(simple8b.decode(spark, shards))
@@ -28,12 +33,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.digests(quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b, op3_simhash, op4_bpe, op7_secrets, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op7_secrets, op8_quality, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
