@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, secrets, simhash, simple8b, toxicity
+from . import bloom_lm, bpe, pii, quality, secrets, simhash, simple8b, toxicity
 from .common import table
 
 
@@ -38,12 +38,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op7_secrets, op8_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op7_secrets, op8_quality, op9_bloom_lm, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
