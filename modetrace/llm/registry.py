@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe, pii, quality, secrets, simhash, simple8b, toxicity
+from . import bloom_lm, bpe, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
 from .common import table
 
 
@@ -29,8 +29,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.roundtrip(table(spark, sf_dir, "documents")))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digests(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op7_secrets, op8_quality, op9_bloom_lm, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op5_mixing, op7_secrets, op8_quality, op9_bloom_lm, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
