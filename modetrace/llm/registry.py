@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
+from . import bloom_lm, bpe, maxscore, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search_own(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
 
@@ -51,8 +55,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op5_mixing, op7_secrets, op8_quality, op9_bloom_lm, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op5_mixing, op6_maxscore, op7_secrets, op8_quality, op9_bloom_lm, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_maxscore": maxscore.ORACLE_SQL}
