@@ -176,10 +176,11 @@ def roundtrip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_text(docs, ["doc_id", "text"], "doc_id long, ids array<int>, decoded string", make)
 
 
-def digests(rows: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``roundtrip``'s rows."""
     return rows.select(
         "doc_id",
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

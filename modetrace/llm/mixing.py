@@ -140,7 +140,15 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return _copies(sized, seed)
 
 
-def _copies(sized: DataFrame, seed: int) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, with their columns, each as often as the mix takes it."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    sized = materialise(with_sizes(rows.select("doc_id", "text", F.col("source").cast("string").alias("source"), "__row")).select("doc_id", "source", "__size", "__row"), "sizes")
+    taken = _copies(sized, seed, ("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def _copies(sized: DataFrame, seed: int, more: tuple[str, ...] = ()) -> DataFrame:
     histogram = materialise(sized.groupBy("source", "__size").agg(F.count("*").alias("n")), "lengths")
     totals = {r.source: int(r.words or 0) for r in histogram.groupBy("source").agg(F.sum(F.col("__size") * F.col("n")).alias("words")).collect()}
     goal = targets(totals)
@@ -158,13 +166,13 @@ def _copies(sized: DataFrame, seed: int) -> DataFrame:
     plan = materialise(_left(takes, met, ("source", "__size")), "plan")
     joined = _left(sized.withColumn("mark", mark).withColumn("range", spread), plan, ("source", "__size"))
     edge = F.col("range") == F.col("last")
-    decided = joined.select("doc_id", "source", "__size", "mark", "need", edge.alias("edge"), F.coalesce(F.when(F.col("last").isNotNull(), F.col("range") < F.col("last")).otherwise(F.col("take") > 0), F.lit(False)).alias("in"), "whole", "source_size", "target")
+    decided = joined.select(*more, "doc_id", "source", "__size", "mark", "need", edge.alias("edge"), F.coalesce(F.when(F.col("last").isNotNull(), F.col("range") < F.col("last")).otherwise(F.col("take") > 0), F.lit(False)).alias("in"), "whole", "source_size", "target")
     decided = materialise(decided, "decided")
-    rank = F.row_number().over(Window.partitionBy("source", "__size").orderBy("mark", "doc_id"))
-    kept = ["doc_id", "source", "__size", "in", "whole", "source_size", "target"]
+    rank = F.row_number().over(Window.partitionBy("source", "__size").orderBy("mark", "doc_id", *more))
+    kept = [*more, "doc_id", "source", "__size", "in", "whole", "source_size", "target"]
     ranked = decided.where("edge").withColumn("in", rank <= F.col("need")).select(kept)
     out = decided.where("edge IS NULL OR NOT edge").select(kept).unionByName(ranked)
-    return out.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", (F.col("whole") + F.col("in").cast("int")).alias("copies"))
+    return out.select(*more, "doc_id", "source", F.col("__size").alias("size"), "source_size", "target", (F.col("whole") + F.col("in").cast("int")).alias("copies"))
 
 
 def _left(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import lower_ascii, map_text, materialise, texts, words_of
+from .common import lower_ascii, map_text, materialise, text_slices, texts, words_of
 
 SEED = 42
 SHINGLE = 4
@@ -186,16 +188,43 @@ def connected(edges: DataFrame) -> DataFrame:
     return result if result is not None else edges.toDF("node", "root")
 
 
+def classes(prints: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
+    """(fp, least): for each fingerprint of (fp, key) rows the least key that
+    links reach from it."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min(key).alias("own")).withColumn("ones", F.bit_count("fp")), "distinct")
+    roots = connected(links(distinct, radius))
+    linked = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "own"), "linked")
+    least = linked.groupBy("root").agg(F.min("own").alias("class_least"))
+    found = linked.join(least, "root").select("fp", "class_least")
+    return materialise(distinct.join(found, "fp", "left").select("fp", F.coalesce("class_least", "own").alias("least")), "classes")
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("ones", F.bit_count("fp")), "distinct")
-    roots = connected(links(distinct, radius))
-    linked = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_id"), "linked")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    classes = linked.join(least, "root").select("fp", "class_id")
-    known = materialise(distinct.join(classes, "fp", "left").select("fp", F.coalesce("class_id", "least_id").alias("component_id")), "classes")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes(prints, radius), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, with their columns, less all but one of each
+    component: the one of the least doc_id stays (null only if all are), of
+    equal doc_ids the first that was read."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__row", T.LongType())])
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in text_slices(batch):
+                prints = np.array([fingerprint(t, shingle) for t in texts(part)], dtype=np.uint64)
+                part = part.append_column("__fp", pa.array(prints.view(np.int64)))
+                yield part.append_column("__row", pa.array(np.arange(row, row + len(prints))))
+                row += len(prints)
+
+    printed = materialise(docs.mapInArrow(run, schema), "printed")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row"))
+    found = classes(printed.select(F.col("__fp").alias("fp"), key.alias("key")), radius, "key")
+    stay = found.select(F.col("least.row").alias("__row")).distinct()
+    return printed.join(stay, "__row", "left_semi").select(*docs.columns)
 
 
 def digests(rows: DataFrame) -> DataFrame:
