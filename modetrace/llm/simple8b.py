@@ -47,7 +47,7 @@ ESCAPE = 15
 _PAD = 60
 _COUNT = np.array([0, *(n for n, _ in PACKINGS), 1], dtype=np.int64)
 #: A segment is closed at this many ids.
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 1_000_000
 END_ID = 2
 NULL_ID = -(1 << 63)
 
@@ -183,7 +183,7 @@ class WordTokenizer:
 
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
     OTHER = re.compile("[^\0-\xff]")
-    MEMO = 400_000
+    MEMO = 120_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
