@@ -19,7 +19,7 @@ def by_time(*partition: str):
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.round(2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h))), 3)
+    return F.round(2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h))), 3)
 
 
 def heading_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from modetrace.config import CANONICAL, DEFAULTS, Settings
 from modetrace.operators.labels import canonical, declared_modes
-from modetrace.operators.postprocess import WS, compare_predictions, time_per_mode
+from modetrace.operators.postprocess import by_segment, compare_predictions, time_per_mode
 
 
 def change_points(predictions: DataFrame) -> DataFrame:
     """(user_id, trip_id, t, lat, lon, prev, mode) at each change of mode."""
-    return predictions.withColumn("prev", F.lag("mode").over(WS)).where("prev <> mode").select("user_id", "trip_id", F.col("t_start").alias("t"), "lat", "lon", "prev", "mode")
+    return predictions.withColumn("prev", F.lag("mode").over(by_segment())).where("prev <> mode").select("user_id", "trip_id", F.col("t_start").alias("t"), "lat", "lon", "prev", "mode")
 
 
 def _trip_rows(predictions: DataFrame, kind: str) -> DataFrame:

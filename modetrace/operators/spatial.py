@@ -55,6 +55,7 @@ def _optics(lat: np.ndarray, lon: np.ndarray, weight: np.ndarray, radius: float,
             current += 1
         cluster[i] = current
         if core < np.inf:
+            cluster[near[done[near] & (cluster[near] < 0)]] = current  # border places that came too early
             ahead = near[~done[near]]
             reach[ahead] = np.minimum(reach[ahead], np.maximum(core, d[ahead]))
     return cluster

@@ -16,8 +16,8 @@ WS = "PARTITION BY user_id, trip_id ORDER BY t_start, seg_id"
 
 def _distance(a: str, b: str) -> str:
     """Metres between (a_lat, a_lon) and (b_lat, b_lon)."""
-    return f"""round(2 * {EARTH_M} * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2)
-        + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2)))), 3)"""
+    return f"""CASE WHEN {a}lat IS NOT NULL AND {b}lat IS NOT NULL THEN round(2 * {EARTH_M} * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2)
+        + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2)))), 3) END"""
 
 
 def _steps(source: str, window: str) -> str:
