@@ -45,6 +45,8 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+#: What an address in bare words must end in.
+ENDINGS = frozenset("com org net edu gov info biz io co eu de fr es it nl be ch at uk us ca au in br mx pt pl".split())
 #: Fewer digits in a row than this are left as words.
 RUN = 4
 
@@ -169,7 +171,7 @@ def rewrite(text: str) -> Rewritten | None:
     out.replace([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(out.text)])
     edits = []
     for m in _BARE.finditer(out.text):
-        if m.group(1) == "@" and not _BARE_DOT.search(m.group(2)):
+        if m.group(1) == "@" and not _BARE_DOT.search(m.group(2)) or re.split(r"[\x20.]", m.group(2))[-1].lower() not in ENDINGS:
             continue
         edits += [(*m.span(1), "@"), *((m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(2)))]
     out.replace(edits)
