@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from modetrace.operators import analyse as A
 from modetrace.operators import clean as C
@@ -25,50 +26,57 @@ SEG = ("user_id", "event_id", "trip_id")
 
 
 class Tables:
-    """The steps of the analysis over one set of tables, made when asked for."""
+    """The steps of the analysis over one set of tables, made when asked for.
+
+    A split of the users is applied to the raw points: everything after it
+    works user by user, and a filter doesn't pass below a window by itself.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.points, self.displacements, self.individuals = (f(spark, sf_dir) for f in (fx.gps_points, fx.displacements, fx.individuals))
+        self._post: DataFrame | None = None
 
     def valid(self) -> DataFrame:
         return C.in_region(C.in_range(C.drop_missing(self.points)))
 
-    def cleaned(self) -> DataFrame:
-        return C.clean(self.points)
+    def cleaned(self, split: str | None = None) -> DataFrame:
+        return C.clean(self.points if split is None else L.of_split(self.points, self.split(), split))
 
     def extra(self) -> DataFrame:
         return T.extra_points(self.cleaned(), self.displacements)
 
-    def trips(self, stays: bool = False) -> DataFrame:
-        return T.trips(self.cleaned(), self.displacements, stays=stays)
+    def trips(self, stays: bool = False, split: str | None = None) -> DataFrame:
+        return T.trips(self.cleaned(split), self.displacements, stays=stays)
 
-    def features(self, method: str = "v1") -> DataFrame:
-        return features(G.segments(self.trips(), method))
+    def features(self, method: str = "v1", split: str | None = None) -> DataFrame:
+        return features(G.segments(self.trips(split=split), method))
 
     def split(self) -> DataFrame:
         return L.split_users(self.points)
 
     def training(self, method: str) -> DataFrame:
-        return L.build_training(self.features(method), self.displacements, self.split(), method)
+        return L.build_training(self.features(method, "train"), self.displacements, self.split(), method)
 
     def rule(self, split: str | None = None) -> DataFrame:
-        found = M.rule_predict(self.features())
-        return found if split is None else L.of_split(found, self.split(), split)
+        return M.rule_predict(self.features(split=split))
 
     def matrix(self) -> DataFrame:
         return P.transition_matrix(self.rule("train"))
 
     def post(self) -> DataFrame:
-        return P.post_process(self.rule("test"), self.matrix())
+        """Smoothed predictions of the test users, kept while they are used."""
+        if self._post is None:
+            self._post = P.post_process(self.rule("test"), self.matrix()).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._post
 
     def changes(self) -> DataFrame:
         return A.change_points(self.post())
 
     def forest(self, method: str = "v1"):
-        return M.fit(self.training(method), method)
+        return M.fit(self.training(method).persist(StorageLevel.MEMORY_AND_DISK), method)
 
     def test_features(self, method: str = "v1") -> DataFrame:
-        return L.of_split(self.features(method), self.split(), "test")
+        return self.features(method, "test")
 
 
 def _q(build: Callable[[Tables], DataFrame]) -> Query:
