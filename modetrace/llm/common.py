@@ -11,7 +11,6 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import gc
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,12 +21,9 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD)
 #: How many bytes of text a Python worker holds in one slice.
 SLICE_BYTES = 8 << 20
 
-_UPPER = {i: i + 32 for i in range(65, 91)}
-
 
 class Memo(dict):
     """Values by key, made when first asked for. Of two generations of at most
@@ -48,14 +44,20 @@ class Memo(dict):
         return value
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+def _words(raw: bytes) -> list[str]:
+    """``bytes.split`` splits at just the ASCII white space that ends a word."""
+    joined = b" ".join(raw.split())
+    return joined.decode().split(" ") if joined else []
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text; ``str.split`` would also split at other spaces."""
-    return WORD_RE.findall(text)
+    return _words(text.encode())
+
+
+def lower_words_of(text: str) -> list[str]:
+    """The words of a text with A-Z, and nothing else, in lower case."""
+    return _words(text.encode().lower())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, map_text, materialise, text_slices, texts, words_of
+from .common import lower_words_of, map_text, materialise, text_slices, texts
 
 SEED = 42
 SHINGLE = 4
@@ -39,7 +39,7 @@ _ROWS, _COLUMNS = 256, 2048
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     from xxhash import xxh64_intdigest as digest
 
-    w = words_of(lower_ascii(text))
+    w = lower_words_of(text)
     if not w:
         return 0
     if len(w) <= shingle:
