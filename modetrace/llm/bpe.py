@@ -29,7 +29,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Below this code point every Unicode version has the same classes.
 STABLE = 0x530
 #: Pieces in each of the two generations that a worker remembers.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
