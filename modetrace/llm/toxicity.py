@@ -165,8 +165,8 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learn from at most ``per_class`` labelled documents of each class,
     none of them of the held-out fold."""
-    rows = labelled_sample(docs, labels, "toxic", per_class).orderBy("doc_id", "text").collect()
-    return train([(r.text, r.label) for r in rows])
+    rows = labelled_sample(docs, labels, "toxic", per_class).collect()
+    return train([(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
