@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modetrace.llm import bpe, mixing, pii, quality, simhash
+from modetrace.llm import bpe, mixing, near, pii, quality
 from modetrace.llm.common import materialise, table
 
 
@@ -18,8 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the least doc_id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group of near duplicates (Jaccard similarity 0.8 or more of
+    five-word shingles) the least doc_id stays."""
+    return near.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
