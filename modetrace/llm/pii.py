@@ -60,9 +60,11 @@ _AT, _DOT = r"(?:at|ät|arobase|arroba|chez|@)", r"(?:dot|punkt|point|punto|\.)"
 _BRACKETED_AT = re.compile(rf"\x20*[\[({{<]\x20*{_AT}\x20*[\])}}>]\x20*", re.IGNORECASE)
 _BRACKETED_DOT = re.compile(rf"\x20*[\[({{<]\x20*{_DOT}\x20*[\])}}>]\x20*", re.IGNORECASE)
 #: Bare words count only as a whole address: name at host dot domain.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\x20+(?:at|ät|arobase|arroba)\x20+|@|\x20+@\x20+)[A-Za-z0-9-]+((?:(?:\x20+(?:dot|punkt|point|punto)\x20+|\.)[A-Za-z0-9-]+)+)", re.IGNORECASE)
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\x20+(?:at|ät|arobase|arroba)\x20+|@|\x20+@\x20+)[A-Za-z0-9-]+((?:(?:\x20+(?:dot|punkt|point|punto)\x20+|\.)[A-Za-z0-9-]+)+)", re.IGNORECASE)
 _BARE_DOT = re.compile(r"\x20+(?:dot|punkt|point|punto)\x20+", re.IGNORECASE)
-_DOT_WORD = re.compile(r"dot|punkt|point|punto", re.IGNORECASE)
+#: What any match of the bracketed patterns and of the bare one holds.
+_BRACKET = re.compile(r"[\[({<]")
+_BARE_AT = re.compile(r"\x20(?:at|ät|arobase|arroba)\x20|@", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -158,19 +160,15 @@ class Rewritten:
 
 def rewrite(text: str) -> Rewritten | None:
     """The text without its disguises, or None if it has none."""
-    odd, spelled = _ODD.search(text), _SPELLED.search(text)
-    dots = _DOT_WORD.search(text) or "[" in text or "(" in text or "{" in text or "<" in text or " @ " in text
-    if not (odd or spelled or dots):
-        return None
     out = Rewritten(text)
-    if odd:
-        out.replace([(m.start(), m.end(), _HOMOGLYPH[m.group()]) for m in _ODD.finditer(out.text)])
+    out.replace([(m.start(), m.end(), _HOMOGLYPH[m.group()]) for m in _ODD.finditer(out.text)])
     out.replace([(*m.span(), "".join(DIGIT_WORDS.get(p.lower(), p) for p in _DIGIT_PART.findall(m.group()))) for m in _SPELLED.finditer(out.text) if not m.group().replace(" ", "").replace("-", "").isdigit() and any(c.isalpha() for c in m.group())])
     out.replace([(*m.span(), "+") for m in _PLUS.finditer(out.text)])
-    out.replace([(*m.span(), "@") for m in _BRACKETED_AT.finditer(out.text)])
-    out.replace([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(out.text)])
+    if _BRACKET.search(out.text):
+        out.replace([(*m.span(), "@") for m in _BRACKETED_AT.finditer(out.text)])
+        out.replace([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(out.text)])
     edits = []
-    for m in _BARE.finditer(out.text):
+    for m in _BARE.finditer(out.text) if _BARE_AT.search(out.text) else ():
         if m.group(1) == "@" and not _BARE_DOT.search(m.group(2)) or re.split(r"[\x20.]", m.group(2))[-1].lower() not in ENDINGS:
             continue
         edits += [(*m.span(1), "@"), *((m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(2)))]
