@@ -5,7 +5,8 @@ transducer rewrites the text: look-alike characters become the ASCII ones,
 invisible ones go, spelled digits become digits, and at/dot disguises become
 '@' and '.'. It keeps for each piece of its output the source range it came
 from, the same patterns run over the output, and each match is mapped back to
-source code points. A match within a base span of its kind adds nothing.
+source code points. A match within a base span of its kind adds nothing. An
+address in bare words must end in a top-level domain.
 
 Null and empty texts have no spans; ``redact`` leaves them as they are.
 """
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts, text_slices
+from .endings import ENDINGS
 from .spans import Span, digests as span_digests, find_spans, in_order
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,8 +47,6 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-#: What an address in bare words must end in.
-ENDINGS = frozenset("com org net edu gov info biz io co eu de fr es it nl be ch at uk us ca au in br mx pt pl".split())
 #: Fewer digits in a row than this are left as words.
 RUN = 4
 

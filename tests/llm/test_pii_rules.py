@@ -21,3 +21,12 @@ def added(text):
 def test_no_other_sign_is_needed(text, kind, span):
     assert added(text) == [(kind, span)]
     assert added(f"{text} (point)") == [(kind, span)]
+
+
+@pytest.mark.parametrize("span", ["anna at firma dot se", "bob at site dot dev", "bob@site dot app", "ivan at pochta dot ru", "ken @ kaisha.jp", "li at gongsi dot com dot cn", "tim at home dot me", "ana at casa dot museum", "oy at yritys dot xn--p1ai"])
+def test_every_top_level_domain_counts(span):
+    assert added(f"mail {span} now") == [("email", span)]
+
+
+def test_other_words_end_no_address():
+    assert added("He looked at the dot of ink, sat at home.Then he slept, and arrived at point blank.") == []
