@@ -3,9 +3,8 @@
 A count c of an n-gram is quantised to the level 1 + floor(log2 c), and the
 n-gram is entered once for each level up to its own; a lookup probes level
 after level until one is missing, so frequent n-grams cost a few probes and
-absent ones about one. All words and all word pairs that occur twice or more
-are entered (a pair seen once gets no more than what smoothing gives it).
-Probabilities interpolate the pair's share of its history with the word's own:
+absent ones about one. All words and all word pairs are entered. Probabilities
+interpolate the pair's share of its history with the word's own:
 
     p(w | v) = WEIGHT min(q(v w), q(v)) / q(v) + (1 - WEIGHT) p(w)
 
@@ -38,7 +37,6 @@ from .common import fold_column, lower_words_of, materialise, shuffle_partitions
 
 END = "\n"  # no word holds a line end
 WEIGHT = 0.4
-LEAST_PAIR = 2
 BITS_EACH, PROBES, BLOCK_BITS = 10, 6, 1 << 15
 SEGMENT_BYTES = 64 << 20
 #: Words whose exact counts are broadcast: the most frequent, 16 bytes each.
@@ -199,7 +197,7 @@ class Model(NamedTuple):
 def train(training: DataFrame) -> Model:
     """Count the texts. The driver gets sums, a histogram of at most 256
     rows and the head of the vocabulary."""
-    grams = materialise(ngram_counts(training).where(~F.col("pair") | (F.col("n") >= LEAST_PAIR)), "ngrams")
+    grams = materialise(ngram_counts(training), "ngrams")
     levels = F.floor(F.log2("n")) + 1
     total = grams.agg(F.sum(F.when(~F.col("pair"), F.col("n"))), F.sum((~F.col("pair")).cast("long")), F.sum(levels)).first()
     tokens, distinct, entries = (int(x or 0) for x in total)

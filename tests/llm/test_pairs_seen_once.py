@@ -1,0 +1,15 @@
+"""Pairs seen once are part of the language model."""
+
+import math
+
+import pytest
+from modetrace.llm import bloom_lm
+
+
+def test_a_pair_seen_once_counts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "b a d c e")], "doc_id long, text string")
+    model = bloom_lm.train(docs.where("doc_id = 1"))
+    got = {r.doc_id: r.score for r in bloom_lm.score(docs, model).collect()}
+    p = 1.5 / (6 + 0.5 * 7)  # each of 6 tokens once, 6 distinct ones
+    assert got[1] == pytest.approx(6 * math.log10(0.4 + 0.6 * p))
+    assert got[2] < got[1]
