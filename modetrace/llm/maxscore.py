@@ -9,8 +9,9 @@ bound first, only for vectors that can still reach the k-th score. Each task
 carries its k best on from shard to shard; the tasks' results are merged.
 
 Components become floor(256 x). Vectors that are null or hold a null or
-non-finite component, or one beyond LARGEST in size, and rows with a null
-vec_id take no part; a component that a shorter vector lacks is 0. Ties go to
+non-finite component, or one that is no BIGINT when scaled (as SQL can't score
+it), and rows with a null vec_id take no part; vectors with a component beyond
+LARGEST are scored in Python integers, and a score that is no BIGINT is an error; a component that a shorter vector lacks is 0. Ties go to
 the smaller vec_id. An id on several rows is one query, the least of its
 vectors, and none of its rows is a candidate for it; for other queries each
 of its rows is.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 SCALE = 256
-#: Scaled components stay below this, so that scores are exact in doubles.
+#: Where scaled components stay below this, scores are exact in doubles.
 LARGEST = 1 << 20
 #: Queries a pass broadcasts, and vectors a shard holds.
 QUERIES, SHARD = 4096, 4096
@@ -36,7 +37,7 @@ QUERY_EVERY, K = 50, 5
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the rows that take part."""
     x = F.transform(F.col("embedding"), lambda c: F.floor(c.cast("double") * SCALE))
-    sound = F.forall("embedding", lambda c: F.coalesce(F.abs(c.cast("double") * SCALE) < LARGEST, F.lit(False)))
+    sound = F.forall("embedding", lambda c: F.coalesce(F.abs(c.cast("double") * SCALE) < float(1 << 63), F.lit(False)))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select("vec_id", x.alias("v"))
 
 
@@ -105,6 +106,14 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
+def _wide(lists: list[list[int]]) -> np.ndarray:
+    return np.array([any(abs(c) >= LARGEST for c in v) for v in lists], dtype=bool)
+
+
+def _exact(query: list[int], lists: list[list[int]]) -> np.ndarray:
+    return np.array([sum(a * b for a, b in zip(query, v, strict=False)) for v in lists], dtype=np.int64)
+
+
 def _matrix(lists: list[list[int]]) -> np.ndarray:
     width = max(map(len, lists), default=0)
     out = np.zeros((len(lists), width))
@@ -136,20 +145,28 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
         if high is not None:
             some = some.where(F.col("vec_id") <= high)
         rows = some.orderBy("vec_id").collect()
-        sent = spark.sparkContext.broadcast(([r.vec_id for r in rows], _matrix([r.v for r in rows])))
+        sent = spark.sparkContext.broadcast(([r.vec_id for r in rows], [r.v for r in rows]))
 
         def find(batches, sent=sent):
-            query_ids, matrix = sent.value
-            top = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+            query_ids, sought = sent.value
+            wide_query = _wide(sought)
+            matrix = _matrix(sought)
+            top = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
             for batch in batches:
                 for start in range(0, batch.num_rows, SHARD):
                     part = batch.slice(start, SHARD)
-                    rows = _matrix(part.column("v").to_pylist())
-                    shard = Shard(part.column("vec_id").to_numpy(), rows)
+                    lists, all_ids = part.column("v").to_pylist(), part.column("vec_id").to_numpy()
+                    wide = _wide(lists)
+                    shard = Shard(all_ids[~wide], _matrix([v for v, w in zip(lists, wide, strict=True) if not w]))
                     for i, query_id in enumerate(query_ids):
                         ids, scores = top[i]
-                        least = scores[-1] if len(scores) == k else -np.inf
-                        more_ids, more = shard.search(query_id, matrix[i], k, least)
+                        # just below the k-th score, which may be no double
+                        least = np.nextafter(float(scores[-1]), -np.inf) if len(scores) == k else -np.inf
+                        more_ids, more = (all_ids[:0], scores[:0]) if wide_query[i] else shard.search(query_id, matrix[i], k, least)
+                        more = more.astype(np.int64)
+                        at = np.flatnonzero((wide | wide_query[i]) & (all_ids != query_id))
+                        if len(at):
+                            more_ids, more = np.concatenate((more_ids, all_ids[at])), np.concatenate((more, _exact(sought[i], [lists[a] for a in at])))
                         if len(more):
                             top[i] = best(np.concatenate((ids, more_ids)), np.concatenate((scores, more)), k)
             for i in range(0, len(query_ids), 1000):
