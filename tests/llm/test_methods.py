@@ -1,7 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import collections
-import math
 import random
 import re
 import zlib
@@ -13,7 +12,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from modetrace.llm import bloom_lm, bpe, common, maxscore, mixing, pii, quality, registry, secret_scan, simhash, simple8b, spans
+from modetrace.llm import bpe, common, maxscore, mixing, pii, quality, registry, secret_scan, simhash, simple8b, spans
 
 SF = "/root/testdata/sf0.001"
 settings.register_profile("slow", deadline=None)
@@ -279,34 +278,6 @@ def test_trees_are_monotone_and_accurate():
     assert (trees.logit(more) <= trees.logit(x[2000:]) + 1e-12).all()
 
 
-@pytest.mark.parametrize("segment_bytes", [None, 65_536])
-def test_language_model(spark, texts, monkeypatch, segment_bytes):
-    if segment_bytes:
-        monkeypatch.setattr(bloom_lm, "SEGMENT_BYTES", segment_bytes)
-        monkeypatch.setattr(bloom_lm, "HEAD", 500)
-    got = frame(spark, "op9_bloom_lm").set_index("doc_id")
-    tokens = {i: [*WORD.findall(lower(t)), "\n"] for i, t in texts}
-    one, two = collections.Counter(), collections.Counter()
-    for i, t in tokens.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            one.update(t)
-            two.update(zip(["\n", *t], t, strict=False))
-    n, v = sum(one.values()), len(one)
-
-    def q(c):
-        return 0 if c == 0 else 1.0 if c == 1 else 0.75 * 2 ** math.frexp(c)[1]
-
-    for i, t in tokens.items():
-        r = got.loc[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(t), sum(one[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
-        exact = 0.0
-        for a, b in zip(["\n", *t], t, strict=False):
-            p, h = (q(one[b]) + 0.5) / (n + 0.5 * (v + 1)), q(one[a])
-            exact += math.log10(0.4 * min(q(two[a, b]) if two[a, b] > 1 else 0, h) / h + 0.6 * p if h else p)
-        assert r.score == pytest.approx(exact, rel=0.08, abs=2)  # false positives of the filter
-
-
 def test_toxicity_held_out(spark):
     rows = registry.queries()["op1_toxicity"](spark, "/root/testdata/sf0.1").toPandas()
     labels = duckdb.sql("SELECT doc_id, toxic FROM read_parquet('/root/testdata/sf0.1/labels.parquet')").df()
