@@ -31,7 +31,8 @@ Tokens are the lower-cased words of a text and then one end mark; a text
 without words, null texts included, is the end mark alone. The first word
 follows an end mark and has no triple. Words are counted by a 64-bit hash: of V
 distinct words two fall together with odds of about V squared over 2**65; longer
-n-grams are told apart by 48 bits of it within their part. Without training
+n-grams are told apart by 40 bits of it within their part, where of some millions
+about one in a million falls together with another. Without training
 texts N is 0 and every score is 0.
 """
 
@@ -57,7 +58,7 @@ THRESHOLDS = np.array(sorted({math.ceil(2 ** (k / 2)) for k in range(2 * 62)} |
 BITS_EACH, SET = 16, 4
 #: A line of the filter is a cache line of so many 64-bit words.
 LINE = 8
-SEGMENT_BYTES = 64 << 20
+SEGMENT_BYTES = 16 << 20
 #: Bytes of training text whose n-grams make about one part of the filter.
 PART_BYTES = 16 << 20
 #: Words whose exact counts are broadcast: the most frequent, 16 bytes each.
@@ -69,7 +70,9 @@ LOOKED_UP, PROBED = 6 << 20, 1 << 18
 #: Random lookups in each part that measure its mistakes.
 TRIALS = 1 << 15
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-_LOW48 = np.uint64((1 << 48) - 1)
+#: Bytes that are kept of the hash of a pair or triple, next to its part.
+SHORT = 5
+_LOW = np.uint64((1 << 8 * SHORT) - 1)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -90,7 +93,7 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 def _lines(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What picks an n-gram's line within its part, and what its bits come from."""
-    g = mix(h & _LOW48, 5)
+    g = mix(h & _LOW, 5)
     return g >> np.uint64(32), g
 
 
@@ -182,10 +185,10 @@ def gram_hashes(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: i
 
 def _packed(order: int, h: np.ndarray, n: np.ndarray, parts: int):
     """Rows (part, order, h, n) of hashes in order and their counts; pairs and
-    triples keep 48 bits."""
+    triples keep SHORT bytes."""
     of = part_of(h, parts)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
-    width = 8 if order == 1 else 6
+    width = 8 if order == 1 else SHORT
     raw, rows = h.view(np.uint8).reshape(-1, 8)[:, :width], []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         few = n[a:z].max() < 256
@@ -194,7 +197,7 @@ def _packed(order: int, h: np.ndarray, n: np.ndarray, parts: int):
 
 
 def _unpacked(order: int, h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = 8 if order == 1 else 6
+    width = 8 if order == 1 else SHORT
     out = np.zeros((len(h) // width, 8), dtype=np.uint8)
     out[:, :width] = np.frombuffer(h, np.uint8).reshape(-1, width)
     return out.reshape(-1).view(np.uint64), np.frombuffer(n, np.uint8 if len(n) == len(out) else np.int64).astype(np.int64)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: How many bytes of text a Python worker holds in one slice.
 SLICE_BYTES = 8 << 20
 
@@ -85,7 +87,12 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     after it recomputes what came before and a lost executor loses no data."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled isn't needed once the table is written
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

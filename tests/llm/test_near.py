@@ -3,12 +3,17 @@
 import importlib
 import random
 
+import numpy as np
+import pytest
+
 from modetrace.llm import near
 
 pipeline = importlib.import_module("corpus_pipeline")
 
 
-def test_near_copies_go_and_others_stay(spark):
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     rng = random.Random(8)
     texts = [None, "", "one", "ONE", "one two"]
     for k in range(40):
@@ -43,9 +48,30 @@ def test_near_copies_go_and_others_stay(spark):
 
 
 def test_dense_groups_keep_links_few():
-    import numpy as np
-
     n = 3000
-    tile = {"id": np.arange(n), "fp": np.zeros(n, np.uint64), "low": np.zeros(n, np.uint64), "size": np.full(n, 300), "class": np.arange(n)}
-    assert len(near.pairs(tile, None, False)[0]) <= n
-    assert len(near.pairs(tile | {"class": np.zeros(n, int)}, None, True)[0]) == 0
+    tile = {"id": np.arange(n), "size": np.full(n, 300)} | {k: np.zeros(n, np.uint64) for k in near.SKETCH}
+    assert len(near.forest(tile, None)[0]) == n - 1
+    half = {k: v[: n // 2] for k, v in tile.items()}, {k: v[n // 2 :] for k, v in tile.items()}
+    assert len(near.forest(*half)[0]) == n - 1
+
+
+@pytest.mark.parametrize("at_once", [64, 1 << 16])
+def test_sets_decide(monkeypatch, at_once):
+    monkeypatch.setattr(near, "AT_ONCE", at_once)
+    rng = np.random.default_rng(6)
+    base, sets = rng.permutation(400)[:120], []
+    for _ in range(150):
+        x = base.copy()
+        k = int(rng.integers(0, 40))
+        x[rng.permutation(120)[:k]] = rng.integers(1000, 1300, k)
+        sets.append(np.unique(x).astype(np.uint64))
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.array([7], np.uint64)]
+    for left in (np.ones(len(sets), bool), rng.random(len(sets)) < 0.4):
+        labels = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (left.all() or left[i] != left[j]) and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((labels[i], labels[j]))
+                    labels[labels == b] = a
+        assert near.alike(sets, left).tolist() == labels.tolist()
