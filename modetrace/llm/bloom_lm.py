@@ -55,7 +55,7 @@ ORDER = 3
 #: Least count of each level from 1 on; two a doubling, as far as counts go.
 THRESHOLDS = np.array(sorted({math.ceil(2 ** (k / 2)) for k in range(2 * 62)} | {1, 2, 3, 4}), dtype=np.int64)
 #: Bits of the filter for each entry, and bits that an entry sets in each of its two words.
-BITS_EACH, SET = 16, 4
+BITS_EACH, SET = 12, 3
 #: A line of the filter is a cache line of so many 64-bit words.
 LINE = 8
 SEGMENT_BYTES = 16 << 20

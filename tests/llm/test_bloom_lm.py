@@ -99,7 +99,7 @@ def test_all_rows(spark, tokens, monkeypatch, setting):
         want, wrong = plain.score(t), 3 * error * len(t)  # mistaken ones of three lookups a word; each moves the score by 3 or so
         assert r.score == pytest.approx(want, abs=3 * (wrong + 5 * wrong**0.5 + 2)), i
         off, total = off + abs(r.score - want), total + len(t)
-    assert off / total < 20 * error and error < 0.003
+    assert off / total < 20 * error and error < 0.01
 
 
 def test_the_formulas_exactly(tokens, monkeypatch):
@@ -222,5 +222,5 @@ def test_lookups_never_miss_and_seldom_err():
 
     found = bloom_lm.Filter(bloom_lm.Shape(np.array([0]), np.array([row["lines"]]), np.array([0])), [(0, 0, Sent())])
     level, want = found.levels(h).astype(int), bloom_lm.level_of(n)
-    assert (level >= want).all() and (level > want).mean() < 0.01
-    assert (found.levels(h + np.uint64(1)) > 0).mean() < 0.005
+    assert (level >= want).all() and (level > want).mean() < 0.03
+    assert (found.levels(h + np.uint64(1)) > 0).mean() < 0.01
