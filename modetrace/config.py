@@ -57,13 +57,16 @@ class Settings:
     leaf: int = 5
     sample: float = 0.8
     seed: int = 42
-    fit_partitions: int = 8
+    rows_a_fit_partition: int = 100_000
     # post-processing
     tau: float = 0.6
     vote: int = 5
     # analysis
     cells_per_degree: int = 1000
     radius_m: float = 200.0
+    places_per_degree: int = 10_000
+    cluster_cells: int = 2000
+    dense: int = 3
     ages: tuple[int, ...] = field(default=(18, 30, 45, 60))
 
 

@@ -11,8 +11,8 @@ from modetrace.operators.postprocess import by_segment, compare_predictions, tim
 
 
 def change_points(predictions: DataFrame) -> DataFrame:
-    """(user_id, trip_id, t, lat, lon, prev, mode) at each change of mode."""
-    return predictions.withColumn("prev", F.lag("mode").over(by_segment())).where("prev <> mode").select("user_id", "trip_id", F.col("t_start").alias("t"), "lat", "lon", "prev", "mode")
+    """(user_id, trip_id, seg_id, t, lat, lon, prev, mode) at each change of mode."""
+    return predictions.withColumn("prev", F.lag("mode").over(by_segment())).where("prev <> mode").select("user_id", "trip_id", "seg_id", F.col("t_start").alias("t"), "lat", "lon", "prev", "mode")
 
 
 def _trip_rows(predictions: DataFrame, kind: str) -> DataFrame:

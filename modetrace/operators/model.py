@@ -33,9 +33,11 @@ def _filled(df: DataFrame, method: str) -> DataFrame:
 
 def fit(training: DataFrame, method: str = "v1", s: Settings = DEFAULTS) -> PipelineModel:
     """Fit the documented forest once; save it with ``model.write()``. The
-    forest samples by partition, so rows get a fixed place first."""
+    forest samples by partition, so rows get a fixed place first. ``training`` is
+    read several times: pass a table that is written or cached."""
     check_features(training, method)
-    rows = _filled(training, method).repartition(s.fit_partitions, "user_id").sortWithinPartitions("user_id", "trip_id", "seg_id")
+    partitions = 8 + training.count() // s.rows_a_fit_partition
+    rows = _filled(training, method).repartition(partitions, "user_id").sortWithinPartitions("user_id", "trip_id", "seg_id")
     indexer = StringIndexer(inputCol="mode", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     assembler = VectorAssembler(inputCols=list(feature_names(method)), outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, minInstancesPerNode=s.leaf, subsamplingRate=s.sample, seed=s.seed)

@@ -1,92 +1,88 @@
 """Spatial post-processing, off by default: radius neighbours by a grid join,
-density clusters of change points, and Bayes with a cluster's modes."""
+density clusters of change points, and Bayes with a cluster's modes.
+
+Places are counted first. A place lies on a fixed grid, so a cell of the radius
+holds a bounded number of them, however many changes a busy station has: joins
+of neighbouring places never grow with the square of the points.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modetrace.config import CANONICAL, DEFAULTS, EARTH_M, Settings
+from modetrace.config import CANONICAL, DEFAULTS, Settings
+from modetrace.functions.graph import connected
 from modetrace.functions.motion import distance_m
 
 #: Metres that the cells must span at least; a degree of latitude has 111 195.
 _DEGREE_M = 111_000
 
 
-def _cells(df: DataFrame, s: Settings) -> tuple[DataFrame, float]:
-    """Cells of which one step covers the radius, in both directions up to
-    the northern edge of the region."""
+def _place(per_degree: int) -> list[Column]:
+    return [F.floor(F.col(c) * per_degree).alias(f"{c}_cell") for c in ("lat", "lon")]
+
+
+def _neighbours(places: DataFrame, per_degree: int, s: Settings) -> DataFrame:
+    """Pairs of ``places`` (lat_cell, lon_cell, n) whose centres lie within
+    radius_m: (lat_cell, lon_cell, n, lat_2, lon_2, n_2, metres), each place
+    with itself too. A place looks in its own cell of the radius and the eight
+    around, which one step covers up to the northern edge of the region."""
     lat = s.radius_m / _DEGREE_M
-    lon = lat / float(np.cos(np.radians(s.lat[1])))
-    return df.withColumn("ci", F.floor(F.col("lat") / lat)).withColumn("cj", F.floor(F.col("lon") / lon)), lat
+    lon = lat / math.cos(math.radians(s.lat[1]))
+    y, x = ((F.col(c) + 0.5) / per_degree for c in ("lat_cell", "lon_cell"))
+    at = places.withColumns({"y": y, "x": x, "ci": F.floor(y / lat), "cj": F.floor(x / lon)})
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    left = at.withColumn("o", around).withColumns({"ci": F.col("ci") + F.col("o.di"), "cj": F.col("cj") + F.col("o.dj")}).drop("o")
+    right = at.select("ci", "cj", F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("lat_cell").alias("lat_2"), F.col("lon_cell").alias("lon_2"), F.col("n").alias("n_2"))
+    pairs = left.join(right, ["ci", "cj"]).withColumn("metres", distance_m(F.col("y"), F.col("x"), F.col("y2"), F.col("x2")))
+    return pairs.where(F.col("metres") <= s.radius_m).select("lat_cell", "lon_cell", "n", "lat_2", "lon_2", "n_2", "metres")
 
 
 def radius_counts(changes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(user_id, trip_id, t, n): other change points within radius_m. Each
-    point looks in its own cell and the eight around: an equi-join."""
-    points, _ = _cells(changes.select("user_id", "trip_id", "t", "lat", "lon"), s)
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    left = points.withColumn("o", around).withColumn("ci", F.col("ci") + F.col("o.di")).withColumn("cj", F.col("cj") + F.col("o.dj")).drop("o")
-    right = points.select("ci", "cj", F.col("user_id").alias("u2"), F.col("trip_id").alias("d2"), F.col("t").alias("t2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    near = left.join(right, ["ci", "cj"]).where(distance_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= s.radius_m)
-    return near.groupBy("user_id", "trip_id", "t").agg((F.count("*") - 1).alias("n"))
-
-
-def _optics(lat: np.ndarray, lon: np.ndarray, weight: np.ndarray, radius: float, least: int) -> np.ndarray:
-    """Cluster of each place (-1: none) by the reachability order of OPTICS,
-    cut at the radius; weight is how many points a place stands for."""
-    n = len(lat)
-    y, x = np.radians(lat) * EARTH_M, np.radians(lon) * EARTH_M * np.cos(np.radians(lat.mean() if n else 0))
-    done, reach, cluster, current = np.zeros(n, bool), np.full(n, np.inf), np.full(n, -1), -1
-    for _ in range(n):
-        open_ = np.flatnonzero(~done)
-        i = open_[np.argmin(reach[open_])]
-        done[i] = True
-        d = np.hypot(y - y[i], x - x[i])
-        near = np.flatnonzero(d <= radius)
-        order = near[np.argsort(d[near], kind="stable")]
-        enough = np.cumsum(weight[order]) >= least
-        core = d[order][np.argmax(enough)] if enough.any() else np.inf
-        if reach[i] > radius:
-            if core == np.inf:
-                continue
-            current += 1
-        cluster[i] = current
-        if core < np.inf:
-            cluster[near[done[near] & (cluster[near] < 0)]] = current  # border places that came too early
-            ahead = near[~done[near]]
-            reach[ahead] = np.minimum(reach[ahead], np.maximum(core, d[ahead]))
-    return cluster
-
-
-def clusters(changes: DataFrame, s: Settings = DEFAULTS, least: int = 3, cells: int = 2000, areas: int = 20) -> DataFrame:
-    """(lat_cell, lon_cell, area, cluster) of the fine cells with change
-    points. Points are first counted by fine cell, so an area, 1/areas of a
-    degree, never holds more than (cells/areas) squared rows; clusters end at
-    the borders of areas."""
-    fine = changes.groupBy(F.floor(F.col("lat") * cells).alias("lat_cell"), F.floor(F.col("lon") * cells).alias("lon_cell")).agg(F.count("*").alias("n"))
-    per = cells // areas
-    zoned = fine.withColumn("area", F.concat_ws(":", F.floor(F.col("lat_cell") / per).cast("string"), F.floor(F.col("lon_cell") / per).cast("string")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["lat_cell", "lon_cell"], ignore_index=True)
-        found = _optics((rows["lat_cell"] + 0.5).to_numpy() / cells, (rows["lon_cell"] + 0.5).to_numpy() / cells, rows["n"].to_numpy(), s.radius_m, least)
-        return rows.assign(cluster=found)[["lat_cell", "lon_cell", "area", "cluster"]]
-
-    return zoned.groupBy("area").applyInPandas(run, "lat_cell long, lon_cell long, area string, cluster long")
-
-
-def spatial_post_process(predictions: DataFrame, changes: DataFrame, s: Settings = DEFAULTS, cells: int = 2000) -> DataFrame:
-    """Weak predictions in a cluster's cell take the mode with the greatest
+    """(user_id, trip_id, seg_id, n): other change points within radius_m, by
+    the centres of places of 1/places_per_degree."""
+    placed = changes.select("user_id", "trip_id", "seg_id", *_place(s.places_per_degree))
+    places = placed.groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
+    around = _neighbours(places, s.places_per_degree, s).groupBy("lat_cell", "lon_cell").agg((F.sum("n_2") - 1).alias("n"))
+    return placed.join(around, ["lat_cell", "lon_cell"]).select("user_id", "trip_id", "seg_id", "n")
+
+
+def clusters(changes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(lat_cell, lon_cell, cluster) of the places with change points, of
+    1/cluster_cells of a degree: the density clusters that the reachability
+    order of OPTICS gives when it is cut at radius_m.
+
+    A place with ``dense`` changes or more within the radius is a core; cores
+    within the radius of each other are one cluster, named by the least of its
+    places; a place near a core joins the nearest one's cluster (of equally near
+    ones the least), and the rest have -1.
+    """
+    places = changes.groupBy(*_place(s.cluster_cells)).agg(F.count("*").alias("n"))
+    pairs = _neighbours(places, s.cluster_cells, s)
+    name = [(F.col(a) * (1 << 32) + F.col(b)).alias(c) for a, b, c in (("lat_cell", "lon_cell", "u"), ("lat_2", "lon_2", "v"))]
+    cores = pairs.groupBy("lat_cell", "lon_cell").agg(F.sum("n_2").alias("around")).where(F.col("around") >= s.dense).select("lat_cell", "lon_cell")
+    to_core = pairs.join(cores.toDF("lat_2", "lon_2"), ["lat_2", "lon_2"])
+    links = to_core.join(cores, ["lat_cell", "lon_cell"]).select(*name)
+    root = connected(links)
+    alone = cores.select((F.col("lat_cell") * (1 << 32) + F.col("lon_cell")).alias("node"))
+    grouped = alone.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("node").alias("cluster")), "root").select("node", "cluster")
+    joined = to_core.select("lat_cell", "lon_cell", "metres", name[1].alias("node")).join(named, "node")
+    nearest = joined.groupBy("lat_cell", "lon_cell").agg(F.min(F.struct("metres", "cluster")).alias("best"))
+    return places.join(nearest, ["lat_cell", "lon_cell"], "left").select("lat_cell", "lon_cell", F.coalesce("best.cluster", F.lit(-1)).alias("cluster"))
+
+
+def spatial_post_process(predictions: DataFrame, changes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Weak predictions in a cluster's place take the mode with the greatest
     product of its probability and its share of the changes in the cluster."""
-    found = clusters(changes, s, cells=cells).where("cluster >= 0")
-    cell = [F.floor(F.col("lat") * cells).alias("lat_cell"), F.floor(F.col("lon") * cells).alias("lon_cell")]
-    modes = changes.select("mode", *cell).join(found, ["lat_cell", "lon_cell"]).groupBy("area", "cluster", "mode").agg(F.count("*").alias("n"))
-    share = modes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("area", "cluster"))).groupBy("area", "cluster").agg(F.map_from_entries(F.collect_list(F.struct("mode", "share"))).alias("shares"))
-    prior = found.join(share, ["area", "cluster"]).select("lat_cell", "lon_cell", "shares")
-    joined = predictions.select("*", *cell).join(prior, ["lat_cell", "lon_cell"], "left")
+    found = clusters(changes, s).where("cluster >= 0")
+    modes = changes.select("mode", *_place(s.cluster_cells)).join(found, ["lat_cell", "lon_cell"]).groupBy("cluster", "mode").agg(F.count("*").alias("n"))
+    share = modes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cluster"))).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("mode", "share"))).alias("shares"))
+    prior = found.join(share, "cluster").select("lat_cell", "lon_cell", "shares")
+    joined = predictions.select("*", *_place(s.cluster_cells)).join(prior, ["lat_cell", "lon_cell"], "left")
     best = F.array_max(F.array(*(F.struct((F.col(f"p_{m.lower()}") * F.coalesce(F.try_element_at("shares", F.lit(m)), F.lit(0.0))).alias("score"), F.lit(m).alias("mode")) for m in CANONICAL)))
     weak = (F.col("confidence") < s.tau) & F.col("shares").isNotNull()
     return joined.withColumn("best", best).withColumn("mode", F.when(weak & (F.col("best.score") > 0), F.col("best.mode")).otherwise(F.col("mode"))).select(*predictions.columns)

@@ -1,36 +1,48 @@
-"""Trips: declared time windows, and what lies outside them."""
+"""Trips: declared time windows, and what lies outside them. Everything is in
+order of time within a user, so one shuffle by user serves it all."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modetrace.config import DEFAULTS, EARTH_M, Settings
-from modetrace.functions.motion import by_time
+from modetrace.functions.motion import by_time, with_steps
+
+
+POINT = ("user_id", "event_id", "t", "lat", "lon")
 
 
 def _windows(displacements: DataFrame) -> DataFrame:
-    return displacements.select(F.col("user_id").alias("d_user"), "blk", "t_start", "t_end")
+    """The declared windows less what an earlier one covers: disjoint, so that
+    the last one to start is the only one a point can lie in."""
+    before = Window.partitionBy("user_id").orderBy("t_start", "blk").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.max("t_end").over(before) + 1
+    return displacements.select("user_id", "blk", F.greatest("t_start", covered).alias("t_start"), "t_end").where("t_start <= t_end")
 
 
-def _inside():
-    return (F.col("user_id") == F.col("d_user")) & F.col("t").between(F.col("t_start"), F.col("t_end"))
+def with_windows(points: DataFrame, displacements: DataFrame) -> DataFrame:
+    """Points with the blk of the declared window they lie in, of several the
+    earliest, or null. A merge in order of time: window starts are rows among
+    the points, and each point looks back at the last one. One sort by user,
+    whatever the number of windows."""
+    starts = _windows(displacements).select("user_id", F.col("t_start").alias("t"), F.struct("blk", "t_end").alias("window"))
+    both = points.select(*POINT, F.lit(True).alias("is_point")).unionByName(starts.withColumn("is_point", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy("user_id").orderBy("t", "is_point", "event_id")
+    last = F.last("window", ignorenulls=True).over(w)
+    return both.withColumn("window", last).where("is_point").select(*POINT, F.when(F.col("t") <= F.col("window.t_end"), F.col("window.blk")).alias("blk"))
 
 
 def declared_points(points: DataFrame, displacements: DataFrame) -> DataFrame:
-    """Points inside a declared window, with its blk; of several windows the
-    earliest. The user equality keeps the interval join an equi-join."""
-    joined = points.join(_windows(displacements), _inside())
-    first = F.min(F.struct("t_start", "blk")).alias("first")
-    keys = ["user_id", "event_id", "t", "lat", "lon"]
-    return joined.groupBy(*keys).agg(first).select(*keys, F.col("first.blk").alias("blk"))
+    """Points inside a declared window, with its blk."""
+    return with_windows(points, displacements).where("blk IS NOT NULL")
 
 
 def extra_points(points: DataFrame, displacements: DataFrame) -> DataFrame:
     """Points outside all declared windows."""
-    return points.join(_windows(displacements), _inside(), "left_anti")
+    return with_windows(points, displacements).where("blk IS NULL").drop("blk")
 
 
 def gap_trips(points: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -45,7 +57,8 @@ def stay_points(points: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
     An anchor starts a stay if every following point up to stay_s or more
     later lies within stay_m of it; the scan goes on after the stay. It is
-    sequential, so a user's points are one group.
+    sequential, but no stay holds two neighbours more than twice stay_m apart:
+    a user's points are cut there, and each piece is a group.
     """
     radius, least = s.stay_m, s.stay_s * 1_000_000
 
@@ -58,7 +71,7 @@ def stay_points(points: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
             while j < n:  # look ahead in growing blocks until a point is outside
                 stop = min(n, j + size)
                 h = np.sin((lat[j:stop] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j:stop]) * np.sin((lon[j:stop] - lon[i]) / 2) ** 2
-                out = np.flatnonzero(2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h))) > radius)
+                out = np.flatnonzero(np.round(2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h))), 3) > radius)
                 if len(out):
                     j += int(out[0])
                     break
@@ -70,25 +83,31 @@ def stay_points(points: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
                 i += 1
         return pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "stay": stay})
 
-    return points.select("user_id", "event_id", "t", "lat", "lon").groupBy("user_id").applyInPandas(scan, "user_id long, event_id long, stay boolean")
-
-
-def stay_trips(points: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """``gap_trips`` that also cut where a stay ends; points of stays belong
-    to the trip before."""
     w = by_time("user_id")
-    marked = points.join(stay_points(points, s), ["user_id", "event_id"])
-    cut = F.when((F.col("t") - F.lag("t").over(w) > s.gap_s * 1_000_000) | (F.lag("stay").over(w) & ~F.col("stay")), 1).otherwise(0)
-    return marked.withColumn("cut", cut).withColumn("n", F.sum("cut").over(w)).drop("cut")
+    apart = F.when(F.col("dist_m") > 2 * radius + 0.01, 1).otherwise(0)  # distances are rounded
+    pieces = with_steps(points.select(*POINT), "user_id").withColumn("apart", apart).withColumn("piece", F.sum("apart").over(w))
+    return pieces.select(*POINT, "piece").groupBy("user_id", "piece").applyInPandas(scan, "user_id long, event_id long, stay boolean")
 
 
 def trips(points: DataFrame, displacements: DataFrame, s: Settings = DEFAULTS, stays: bool = False) -> DataFrame:
-    """All points with kind (declared or extra) and trip_id."""
-    cut = stay_trips if stays else gap_trips
-    columns = ["user_id", "event_id", "t", "lat", "lon"]
-
-    def named(df: DataFrame, kind: str, number: str) -> DataFrame:
-        return df.select(*columns, F.lit(kind).alias("kind"), F.concat_ws("-", F.lit(kind[0].upper()), F.col("user_id").cast("string"), F.col(number).cast("string")).alias("trip_id"))
-
-    declared = named(declared_points(points, displacements), "declared", "blk")
-    return declared.unionByName(named(cut(extra_points(points, displacements), s), "extra", "n"))
+    """All points with kind (declared or extra) and trip_id. Extra trips end at
+    a gap of more than gap_s between extra points and, with ``stays``, where a
+    stay ends; points of stays belong to the trip before."""
+    found = with_windows(points, displacements)
+    if stays:
+        found = found.join(stay_points(found.where("blk IS NULL"), s), ["user_id", "event_id"], "left")
+    extra, before = F.col("blk").isNull(), by_time("user_id").rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(column: str):
+        """The value at the extra point before."""
+        return F.last(F.when(extra, F.col(column)), ignorenulls=True).over(before)
+
+    ends = F.col("t") - last("t") > s.gap_s * 1_000_000
+    if stays:
+        ends = ends | (last("stay") & ~F.col("stay"))
+    numbered = found.withColumn("cut", F.when(extra & ends, 1).otherwise(0)).withColumn("n", F.sum("cut").over(by_time("user_id")))
+
+    def named(letter: str, number: str):
+        return F.concat_ws("-", F.lit(letter), F.col("user_id").cast("string"), F.col(number).cast("string"))
+
+    return numbered.select(*POINT, F.when(extra, "extra").otherwise("declared").alias("kind"), F.when(extra, named("E", "n")).otherwise(named("D", "blk")).alias("trip_id"))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from modetrace.operators import analyse as A
 from modetrace.operators import clean as C
@@ -19,6 +18,8 @@ from modetrace.operators import trips as T
 from modetrace.operators.features import features
 from modetrace.functions.motion import with_motion
 from modetrace.sources import fixture as fx
+from modetrace.sources import writers
+from modetrace.sources.scratch import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 POINT = ("user_id", "event_id", "t", "lat", "lon")
@@ -32,9 +33,10 @@ class Tables:
     works user by user, and a filter doesn't pass below a window by itself.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.points, self.displacements, self.individuals = (f(spark, sf_dir) for f in (fx.gps_points, fx.displacements, fx.individuals))
-        self._post: DataFrame | None = None
+    def __init__(self, spark: SparkSession, sf_dir: str, source: str = "events"):
+        self.spark, self.sf_dir, self.source = spark, sf_dir, source
+        self.points, self.displacements = (f(spark, sf_dir, source) for f in (fx.gps_points, fx.displacements))
+        self.individuals = fx.individuals(spark, sf_dir)
 
     def valid(self) -> DataFrame:
         return C.in_region(C.in_range(C.drop_missing(self.points)))
@@ -64,23 +66,43 @@ class Tables:
         return P.transition_matrix(self.rule("train"))
 
     def post(self) -> DataFrame:
-        """Smoothed predictions of the test users, kept while they are used."""
-        if self._post is None:
-            self._post = P.post_process(self.rule("test"), self.matrix()).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._post
+        """Smoothed predictions of the test users."""
+        return P.post_process(self.rule("test"), self.matrix())
+
+    def kept_post(self) -> DataFrame:
+        """The same, written for what reads it more than once."""
+        return materialise(self.post(), "post")
 
     def changes(self) -> DataFrame:
         return A.change_points(self.post())
 
+    def kept_changes(self) -> DataFrame:
+        return materialise(self.changes(), "changes")
+
     def forest(self, method: str = "v1"):
-        return M.fit(self.training(method).persist(StorageLevel.MEMORY_AND_DISK), method)
+        """The model of these tables, fitted and saved once a session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.source, method)
+        if key not in _MODELS:
+            path = shared_folder(self.spark, "model")
+            writers.model(M.fit(materialise(self.training(method), "training"), method), path)
+            _MODELS[key] = path
+        return writers.load_model(_MODELS[key])
 
     def test_features(self, method: str = "v1") -> DataFrame:
         return self.features(method, "test")
 
 
-def _q(build: Callable[[Tables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(Tables(spark, sf_dir))
+#: Where the session's models were saved.
+_MODELS: dict[tuple[str, str, str, str], str] = {}
+
+
+def _q(build: Callable[[Tables], DataFrame], source: str = "events") -> Query:
+    return lambda spark, sf_dir: build(Tables(spark, sf_dir, source))
+
+
+def _rides(build: Callable[[Tables], DataFrame]) -> Query:
+    """Over rides, where trips have several modes."""
+    return _q(build, "rides")
 
 
 def _motion(column: str) -> Query:
@@ -143,19 +165,25 @@ QUERIES: dict[str, Query] = {
     "p6_time": _q(lambda t: P.time_per_mode(t.post())),
     "p7_metrics": _q(lambda t: P.compare_predictions(t.post(), t.displacements)),
     "p8_info": _q(lambda t: P.traveller_info(t.points, t.individuals)),
-    "p9_radius": _q(lambda t: X.radius_counts(t.changes())),
-    "p9_clusters": _q(lambda t: X.clusters(t.changes())),
-    "p9_spatial": _q(lambda t: X.spatial_post_process(t.rule("test"), t.changes())),
+    "p9_radius": _rides(lambda t: X.radius_counts(t.kept_changes())),
+    "p9_clusters": _rides(lambda t: X.clusters(t.kept_changes())),
+    "p9_spatial": _rides(lambda t: X.spatial_post_process(t.rule("test"), t.kept_changes())),
     "p10_post": _q(lambda t: t.post()),
     "a1_test": _q(lambda t: t.rule("test")),
-    "a3_changes": _q(lambda t: t.changes()),
-    "a4_declared": _q(lambda t: A.declared_trips(t.post(), t.displacements)),
-    "a5_trips": _q(lambda t: A.all_trips(t.post(), t.displacements)),
-    "a6_histogram": _q(lambda t: A.transition_histogram(t.changes())),
-    "a7_matrix": _q(lambda t: A.observed_matrix(t.changes())),
-    "a8_density": _q(lambda t: A.change_density(t.changes())),
-    "a9_labels": _q(lambda t: A.transition_labels(t.changes()).select("user_id", "trip_id", "t", "kind")),
+    "a3_changes": _rides(lambda t: t.changes()),
+    "a4_declared": _q(lambda t: A.declared_trips(t.kept_post(), t.displacements)),
+    "a5_trips": _q(lambda t: A.all_trips(t.kept_post(), t.displacements)),
+    "a6_histogram": _rides(lambda t: A.transition_histogram(t.changes())),
+    "a7_matrix": _rides(lambda t: A.observed_matrix(t.changes())),
+    "a8_density": _rides(lambda t: A.change_density(t.changes())),
+    "a9_labels": _rides(lambda t: A.transition_labels(t.changes()).select("user_id", "trip_id", "seg_id", "t", "kind")),
     "a10_sex": _q(lambda t: A.modal_split(t.post(), t.individuals, "sex")),
     "a11_age": _q(lambda t: A.modal_split(t.post(), t.individuals, "age")),
     "a12_diploma": _q(lambda t: A.modal_split(t.post(), t.individuals, "diploma")),
+    "rides_points": _rides(lambda t: t.points),
+    "rides_displacements": _rides(lambda t: t.displacements),
+    "rides_matrix": _rides(lambda t: t.matrix()),
+    "rides_post": _rides(lambda t: t.post()),
+    "rides_metrics": _rides(lambda t: P.compare_predictions(t.post(), t.displacements)),
+    "rides_trips": _rides(lambda t: A.all_trips(t.kept_post(), t.displacements)),
 }

@@ -115,6 +115,21 @@ def _split_by(group: str) -> str:
 _AGES = "CASE WHEN age IS NULL THEN 'unknown' " + " ".join(f"WHEN age < {b} THEN '{a}-{b - 1}'" for a, b in zip((0, *S.ages), S.ages, strict=False)) + f" ELSE '{S.ages[-1]}+' END"
 _TRIP_COLUMNS = "user_id, trip_id, kind, date, hour, t_start, t_end, predicted"
 
+
+
+def _cell(x: str, per_degree: int) -> str:
+    return f"CAST(floor({x} * {per_degree}) AS BIGINT)"
+
+
+def _places(name: str, per_degree: int) -> dict[str, str]:
+    """Places with change points, and their pairs within the radius."""
+    near = f"abs(a.lat - b.lat) <= 0.01 AND {_distance('a.', 'b.')} <= {S.radius_m}"
+    return {
+        name: f"SELECT *, (y + 0.5) / {per_degree} AS lat, (x + 0.5) / {per_degree} AS lon FROM (SELECT {_cell('lat', per_degree)} AS y, {_cell('lon', per_degree)} AS x, count(*) AS n FROM changes GROUP BY 1, 2)",
+        f"{name}_pairs": f"SELECT a.y, a.x, b.y AS y2, b.x AS x2, b.n AS n2, {_distance('a.', 'b.')} AS metres FROM {name} a JOIN {name} b ON {near}",
+    }
+
+
 CTES: dict[str, str] = {
     **duckdb_ctes(),
     "c1": "SELECT * FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)",
@@ -153,10 +168,30 @@ CTES: dict[str, str] = {
     "time_post": _time("post"),
     "sets": f"SELECT user_id, trip_id, list_distinct(list(mode)) AS m, any_value({_canonical('mode_1')}) AS d FROM post JOIN declared_modes USING (user_id, trip_id) GROUP BY user_id, trip_id",
     "metrics": "SELECT user_id, trip_id, CAST(hit AS DOUBLE) / size AS precision, CAST(hit AS DOUBLE) AS recall, CASE WHEN hit > 0 THEN 2 * (CAST(hit AS DOUBLE) / size) * CAST(hit AS DOUBLE) / (CAST(hit AS DOUBLE) / size + hit) ELSE 0.0 END AS f1 FROM (SELECT user_id, trip_id, len(m) AS size, CAST(list_contains(m, d) AS INTEGER) AS hit FROM sets WHERE d IS NOT NULL)",
-    "changes": f"SELECT user_id, trip_id, t_start AS t, lat, lon, prev, mode FROM (SELECT *, lag(mode) OVER ({WS}) AS prev FROM post) WHERE prev <> mode",
+    "changes": f"SELECT user_id, trip_id, seg_id, t_start AS t, lat, lon, prev, mode FROM (SELECT *, lag(mode) OVER ({WS}) AS prev FROM post) WHERE prev <> mode",
     "declared_trips": f"SELECT {_TRIP_COLUMNS}, {_canonical('mode_1')} AS declared, precision, recall, f1 FROM ({_trips('declared')}) LEFT JOIN declared_modes USING (user_id, trip_id) LEFT JOIN metrics USING (user_id, trip_id)",
     "extra_trips": _trips("extra"),
+    # stays: from each point the first one outside its radius, then the anchors that the scan reaches
+    "stay_rows": f"SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY user_id) AS size_ FROM c5",
+    "stay_outside": f"SELECT a.user_id, a.rn, min(b.rn) AS j FROM stay_rows a JOIN stay_rows b ON a.user_id = b.user_id AND b.rn > a.rn AND {_distance('a.', 'b.')} > {S.stay_m} GROUP BY a.user_id, a.rn",
+    "stay_jumps": f"SELECT a.user_id, a.rn, a.size_, b.rn + 1 AS j, b.t - a.t >= {S.stay_s * 1_000_000} AS stays FROM stay_rows a LEFT JOIN stay_outside o ON a.user_id = o.user_id AND a.rn = o.rn JOIN stay_rows b ON a.user_id = b.user_id AND b.rn = coalesce(o.j, a.size_ + 1) - 1",
+    "stay_anchors": "SELECT user_id, rn, j, stays, size_ FROM stay_jumps WHERE rn = 1 UNION ALL SELECT n.user_id, n.rn, n.j, n.stays, n.size_ FROM stay_anchors p JOIN stay_jumps n ON n.user_id = p.user_id AND n.rn = CASE WHEN p.stays THEN p.j ELSE p.rn + 1 END",
+    "stays": "SELECT r.user_id, r.event_id, count(a.rn) > 0 AS stay FROM stay_rows r LEFT JOIN stay_anchors a ON a.user_id = r.user_id AND a.stays AND r.rn >= a.rn AND r.rn < a.j GROUP BY r.user_id, r.event_id",
+    **_places("place", S.places_per_degree),
+    **_places("fine", S.cluster_cells),
+    "cores": f"SELECT y, x, y * 4294967296 + x AS node FROM fine_pairs GROUP BY y, x HAVING sum(n2) >= {S.dense}",
+    "core_links": "SELECT DISTINCT a.node AS u, b.node AS v FROM fine_pairs p JOIN cores a ON a.y = p.y AND a.x = p.x JOIN cores b ON b.y = p.y2 AND b.x = p.x2",
+    "core_reach": "SELECT node AS u, node AS v FROM cores UNION SELECT r.u, k.v FROM core_reach r JOIN core_links k ON k.u = r.v",
+    "core_names": "SELECT u AS node, min(v) AS cluster FROM core_reach GROUP BY u",
+    "nearest_core": "SELECT p.y, p.x, min({'m': p.metres, 'c': k.cluster}).c AS cluster FROM fine_pairs p JOIN cores c ON c.y = p.y2 AND c.x = p.x2 JOIN core_names k ON k.node = c.node GROUP BY p.y, p.x",
+    "found_clusters": "SELECT f.y AS lat_cell, f.x AS lon_cell, coalesce(k.cluster, -1) AS cluster FROM fine f LEFT JOIN nearest_core k ON k.y = f.y AND k.x = f.x",
+    "shares": f"SELECT cluster, mode, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY cluster) AS share FROM found_clusters JOIN changes ON {_cell('lat', S.cluster_cells)} = lat_cell AND {_cell('lon', S.cluster_cells)} = lon_cell WHERE cluster >= 0 GROUP BY cluster, mode",
+    "placed_rule": f"SELECT r.*, k.cluster FROM rule_test r LEFT JOIN (SELECT * FROM found_clusters WHERE cluster >= 0) k ON {_cell('r.lat', S.cluster_cells)} = k.lat_cell AND {_cell('r.lon', S.cluster_cells)} = k.lon_cell",
+    "spatial_best": "SELECT user_id, trip_id, seg_id, m AS better FROM (SELECT *, row_number() OVER (PARTITION BY user_id, trip_id, seg_id ORDER BY score DESC, m DESC) AS k FROM (SELECT user_id, trip_id, seg_id, l.m, l.p * coalesce(share, 0.0) AS score FROM ("
+    + " UNION ALL ".join(f"SELECT user_id, trip_id, seg_id, cluster, '{m}' AS m, {p} AS p FROM placed_rule WHERE confidence < {S.tau} AND cluster IS NOT NULL" for m, p in P.items())
+    + ") l LEFT JOIN shares s ON s.cluster = l.cluster AND s.mode = l.m)) WHERE k = 1 AND score > 0",
 }
+RECURSIVE = {"stay_anchors", "core_reach"}
 
 _POINT = "user_id, event_id, t, lat, lon"
 _SEG = "user_id, event_id, trip_id"
@@ -203,30 +238,45 @@ SELECTS: dict[str, str] = {
     "p6_time": "SELECT user_id, mode, us, pct FROM time_post",
     "p7_metrics": "SELECT user_id, trip_id, precision, recall, f1 FROM metrics",
     "p8_info": "SELECT user_id, sex, age, diploma FROM users LEFT JOIN individuals USING (user_id)",
-    "p9_radius": f"SELECT a.user_id, a.trip_id, a.t, count(*) - 1 AS n FROM changes a JOIN changes b ON abs(a.lat - b.lat) <= 0.01 AND {_distance('a.', 'b.')} <= {S.radius_m} GROUP BY a.user_id, a.trip_id, a.t",
+    "p9_radius": f"SELECT user_id, trip_id, seg_id, CAST(n AS BIGINT) AS n FROM changes JOIN (SELECT y, x, sum(n2) - 1 AS n FROM place_pairs GROUP BY y, x) ON {_cell('lat', S.places_per_degree)} = y AND {_cell('lon', S.places_per_degree)} = x",
+    "p9_clusters": "SELECT lat_cell, lon_cell, cluster FROM found_clusters",
+    "p9_spatial": f"SELECT {RESULT} FROM ({_with_mode('rule_test LEFT JOIN spatial_best USING (user_id, trip_id, seg_id)', 'coalesce(better, mode)')})",
+    "g4_stay": "SELECT user_id, event_id, stay FROM stays",
     "p10_post": f"SELECT {RESULT} FROM post",
     "a1_test": f"SELECT {RESULT} FROM rule_test",
-    "a3_changes": "SELECT user_id, trip_id, t, lat, lon, prev, mode FROM changes",
+    "a3_changes": "SELECT user_id, trip_id, seg_id, t, lat, lon, prev, mode FROM changes",
     "a4_declared": "SELECT * FROM declared_trips",
     "a5_trips": f"SELECT {_TRIP_COLUMNS}, declared, precision, recall, f1 FROM declared_trips UNION ALL SELECT {_TRIP_COLUMNS}, NULL, NULL, NULL, NULL FROM extra_trips",
     "a6_histogram": "SELECT prev, mode, count(*) AS n FROM changes GROUP BY prev, mode",
     "a7_matrix": "SELECT prev, " + ", ".join(f"count(*) FILTER (mode = '{m}') AS to_{m.lower()}" for m in CANONICAL) + " FROM changes GROUP BY prev",
     "a8_density": f"SELECT CAST(floor(lat * {S.cells_per_degree}) AS BIGINT) AS lat_cell, CAST(floor(lon * {S.cells_per_degree}) AS BIGINT) AS lon_cell, count(*) AS n FROM changes GROUP BY 1, 2",
-    "a9_labels": "SELECT user_id, trip_id, t, concat(prev, '→', mode) AS kind FROM changes",
+    "a9_labels": "SELECT user_id, trip_id, seg_id, t, concat(prev, '→', mode) AS kind FROM changes",
     "a10_sex": _split_by("coalesce(sex, 'unknown')"),
     "a11_age": _split_by(_AGES),
     "a12_diploma": _split_by("coalesce(diploma, 'unknown')"),
 }
 
 
-def oracle_sql() -> dict[str, str]:
+#: Queries over the rides, and what they select.
+RIDES: dict[str, str] = {
+    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial")},
+    **{f"rides_{k}": SELECTS[v] for k, v in (("points", "fx_points"), ("displacements", "fx_displacements"), ("matrix", "p1_matrix"), ("post", "p10_post"), ("metrics", "p7_metrics"), ("trips", "a5_trips"))},
+}
+
+
+def _queries(ctes: dict[str, str], selects: dict[str, str]) -> dict[str, str]:
     cache: dict[str, set[str]] = {}
-    for n in CTES:  # each refers to earlier ones only
-        direct = {m for m in cache if re.search(rf"\b{m}\b", CTES[n])}
+    for n in ctes:  # each refers to earlier ones only
+        direct = {m for m in cache if re.search(rf"\b{m}\b", ctes[n])}
         cache[n] = direct.union(*(cache[m] for m in direct))
     out = {}
-    for key, sql in SELECTS.items():
-        direct = {m for m in CTES if re.search(rf"\b{m}\b", sql)}
-        all_ = direct.union(*(cache[m] for m in direct))
-        out[key] = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in all_) + f"\n{sql}"
+    for key, sql in selects.items():
+        direct = {m for m in ctes if re.search(rf"\b{m}\b", sql)}
+        used = direct.union(*(cache[m] for m in direct))
+        start = "WITH RECURSIVE " if used & RECURSIVE else "WITH "
+        out[key] = start + ",\n".join(f"{n} AS ({ctes[n]})" for n in ctes if n in used) + f"\n{sql}"
     return out
+
+
+def oracle_sql() -> dict[str, str]:
+    return _queries(CTES, SELECTS) | _queries(CTES | duckdb_ctes("rides"), RIDES)

@@ -1,4 +1,5 @@
-"""GPS tables derived from the driver's ``events`` and ``customer`` tables.
+"""GPS tables derived from the driver's tables: short traces of one speed a
+declared trip from ``events``, and rides of several modes from ``lineitem``.
 
 The recipe is SQL in which only the two engines' spellings differ: the epoch
 microseconds of a timestamp and integer division.
@@ -55,30 +56,72 @@ SELECT c_custkey AS user_id, CASE c_nationkey % 2 WHEN 0 THEN 'F' ELSE 'M' END A
 FROM customer
 """
 
-#: The tables in the order in which they build on each other.
-RECIPE = {"trace": TRACE, "points": POINTS, "displacements": DISPLACEMENTS, "individuals": INDIVIDUALS}
+# Rides: a point each 30 s and an hour's pause each 240 points. Each 60 points the
+# speed changes, and the rider goes out and comes back to near the same station.
+RIDE_TRACE = """
+SELECT user_id, event_id, rn {div} 240 AS blk, reg, w, 1704067200000000 + rn * 30000000 + (rn {div} 240) * 3600000000 AS t,
+       CASE WHEN rn % 60 < 30 THEN 1 ELSE -1 END * (CASE reg WHEN 0 THEN 300 WHEN 1 THEN 1400 WHEN 2 THEN 3000 ELSE 5000 END * (90 + w % 20)) {div} 100 AS st
+FROM (
+  SELECT user_id, user_id * 100000 + rn AS event_id, w, rn, (rn {div} 60 + user_id + (rn {div} 240) * user_id) % 4 AS reg
+  FROM (
+    SELECT l_suppkey AS user_id, l_partkey AS w, cast(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS bigint) AS rn
+    FROM lineitem
+  ) r
+) x
+"""
+
+RIDE_POINTS = """
+SELECT user_id, event_id, t,
+       CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 103 = 0 THEN 95.0e0 WHEN event_id % 97 = 0 THEN 0.0e0
+            WHEN event_id % 89 = 0 THEN (la + 400000) / 1e6 ELSE la / 1e6 END AS lat,
+       lo / 1e6 AS lon
+FROM (
+  SELECT user_id, event_id, t,
+         48700000 + (user_id % 5) * 20000 + sum(CASE (user_id + blk) % 2 WHEN 0 THEN st ELSE 0 END) OVER w AS la,
+         2400000 + (user_id % 3) * 30000 + sum(CASE (user_id + blk) % 2 WHEN 1 THEN st ELSE 0 END) OVER w AS lo
+  FROM trace
+  WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+) p
+"""
+
+RIDE_DISPLACEMENTS = """
+SELECT user_id, blk, min(t) AS t_start, max(t) AS t_end,
+       CASE user_id % 5 WHEN 0 THEN 'BUS' WHEN 1 THEN 'BIKE' WHEN 2 THEN 'PRIV_CAR_DRIVER' WHEN 3 THEN 'WALKING' ELSE 'OTHER' END AS mode_1
+FROM trace
+WHERE blk % 3 <> 1
+GROUP BY user_id, blk
+"""
+
+#: The tables of each fixture in the order in which they build on each other.
+RECIPES = {
+    "events": {"trace": TRACE, "points": POINTS, "displacements": DISPLACEMENTS, "individuals": INDIVIDUALS},
+    "rides": {"trace": RIDE_TRACE, "points": RIDE_POINTS, "displacements": RIDE_DISPLACEMENTS, "individuals": INDIVIDUALS},
+}
 
 
-def duckdb_ctes() -> dict[str, str]:
-    return {name: sql.format(**DUCKDB) for name, sql in RECIPE.items()}
+def duckdb_ctes(source: str = "events") -> dict[str, str]:
+    return {name: sql.format(**DUCKDB) for name, sql in RECIPES[source].items()}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TRACE.format(**SPARK).replace("FROM events", "FROM {events}").replace("{div}", "div"), events=_read(spark, sf_dir, "events", "user_id", "event_id", "value", "ts"))
+def _trace(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """The recipe over the columns that it reads."""
+    name, columns = {"events": ("events", ("user_id", "event_id", "value", "ts")), "rides": ("lineitem", ("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"))}[source]
+    sql = RECIPES[source]["trace"].format(**SPARK).replace(f"FROM {name}", "FROM {rows}")
+    return spark.sql(sql, rows=_read(spark, sf_dir, name, *columns))
 
 
-def gps_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gps_points(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
     """user_id, event_id, t (microseconds), lat, lon."""
-    return spark.sql(POINTS.format(**SPARK).replace("FROM trace", "FROM {trace}"), trace=_trace(spark, sf_dir))
+    return spark.sql(RECIPES[source]["points"].format(**SPARK).replace("FROM trace", "FROM {trace}"), trace=_trace(spark, sf_dir, source))
 
 
-def displacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def displacements(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
     """user_id, blk, t_start, t_end, mode_1."""
-    return spark.sql(DISPLACEMENTS.format(**SPARK).replace("FROM trace", "FROM {trace}"), trace=_trace(spark, sf_dir))
+    return spark.sql(RECIPES[source]["displacements"].format(**SPARK).replace("FROM trace", "FROM {trace}"), trace=_trace(spark, sf_dir, source))
 
 
 def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:

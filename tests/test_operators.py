@@ -1,12 +1,15 @@
 """Hand-made rows at the boundaries of each operator."""
 
+import collections
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from modetrace.functions.graph import connected
 from modetrace.config import CANONICAL, MODE_MAP, Settings
 from modetrace.operators import analyse, clean, labels, model, postprocess, segment, spatial, trips
 from modetrace.operators.features import features
@@ -73,8 +76,10 @@ def test_stay(spark):
     rows = [(0, 0), (100, 900)] + [(200 + 300 * i, 1000 + i) for i in range(6)] + [(2000, 3000)]
     found = trips.stay_points(points(spark, rows)).orderBy("event_id").collect()
     assert [r.stay for r in found] == [False] + [True] * 7 + [False]
-    cut = trips.stay_trips(points(spark, rows)).orderBy("event_id").collect()
-    assert [r.n for r in cut] == [0] * 8 + [1]
+    none = spark.createDataFrame([], "user_id long, blk long, t_start long, t_end long, mode_1 string")
+    cut = trips.trips(points(spark, rows), none, stays=True).orderBy("event_id").collect()
+    assert [r.trip_id for r in cut] == ["E-1-0"] * 8 + ["E-1-1"]
+    assert {r.trip_id for r in trips.trips(points(spark, rows), none).collect()} == {"E-1-0"}
 
 
 def one_trip(spark, rows):
@@ -166,10 +171,100 @@ def test_metrics_and_trip_tables(spark):
     assert sum(r.pct for r in postprocess.time_per_mode(df).collect()) == pytest.approx(100)
 
 
+CHANGE = "user_id long, trip_id string, seg_id long, t long, lat double, lon double, prev string, mode string"
+
+
+def test_clusters_by_brute_force(spark):
+    """Density clusters over a wide area, across all borders of cells."""
+    rng = random.Random(3)
+    spots = [(48.7 + rng.random() * 0.05, 2.3 + rng.random() * 0.05) for _ in range(25)]
+    places = [(la + rng.gauss(0, 0.0012), lo + rng.gauss(0, 0.0018)) for la, lo in spots for _ in range(12)]
+    places += [(48.75 + i * 0.0016, 2.349) for i in range(40) for _ in range(2)]  # a line some cells long, of one cluster
+    changes = spark.createDataFrame([(1, "E-1-0", i, i, la, lo, "BUS", "CAR") for i, (la, lo) in enumerate(places)], CHANGE)
+    s = Settings()
+    cells = collections.Counter((math.floor(la * s.cluster_cells), math.floor(lo * s.cluster_cells)) for la, lo in places)
+
+    def metres(a, b):
+        (la, lo), (lb, mb) = (((y + 0.5) / s.cluster_cells, (x + 0.5) / s.cluster_cells) for y, x in (a, b))
+        h = math.sin(math.radians(lb - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lb)) * math.sin(math.radians(mb - lo) / 2) ** 2
+        return round(2 * 6_371_000 * math.asin(math.sqrt(min(1, h))), 3)
+
+    near = {a: [b for b in cells if metres(a, b) <= s.radius_m] for a in cells}
+    cores = {a for a in cells if sum(cells[b] for b in near[a]) >= s.dense}
+    name = {}
+    for a in sorted(cores):
+        if a not in name:
+            todo = [a]
+            while todo:
+                b = todo.pop()
+                if b not in name:
+                    name[b] = a
+                    todo += [c for c in near[b] if c in cores]
+    want = {}
+    for a in cells:
+        best = min(((metres(a, b), name[b]) for b in near[a] if b in cores), default=(0, None))[1]
+        want[a] = -1 if best is None else best[0] * (1 << 32) + best[1]
+    got = {(r.lat_cell, r.lon_cell): r.cluster for r in spatial.clusters(changes).collect()}
+    assert got == want and len({c for c in want.values() if c >= 0}) > 5 and -1 in want.values()
+
+
+def test_stays_by_brute_force(spark):
+    rng, s = random.Random(9), Settings()
+    rows = []
+    for user in range(6):
+        t, y = 0, 0.0
+        for i in range(300):
+            t += rng.choice((20, 60, 200))
+            y += rng.choice((0, 3, 30, -40, 150, 450) if (i // 40) % 2 else (0, 1, -1, 5))
+            rows.append((user, i, t * S, 48.8 + y * M, 2.3))
+    got = {(r.user_id, r.event_id): r.stay for r in trips.stay_points(spark.createDataFrame(rows, POINT)).collect()}
+    for user in range(6):
+        mine = [r for r in rows if r[0] == user]
+        want, i = [False] * len(mine), 0
+        while i < len(mine):
+            j = i + 1
+            while j < len(mine) and round(abs(mine[j][3] - mine[i][3]) / M, 3) <= s.stay_m:
+                j += 1
+            if mine[j - 1][2] - mine[i][2] >= s.stay_s * S:
+                want[i:j] = [True] * (j - i)
+                i = j
+            else:
+                i += 1
+        assert [got[user, r[1]] for r in mine] == want and any(want) and not all(want)
+
+
+def test_overlapping_windows_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(u, i, rng.randrange(200), 48.8, 2.3) for u in range(5) for i in range(80)]
+    windows = [(u, b, a := rng.randrange(200), a + rng.randrange(40), "BUS") for u in range(5) for b in range(12)]
+    shown = spark.createDataFrame(windows, "user_id long, blk long, t_start long, t_end long, mode_1 string")
+    got = {(r.user_id, r.event_id): r.blk for r in trips.with_windows(spark.createDataFrame(rows, POINT), shown).collect()}
+    for u, i, t, _, _ in rows:
+        inside = sorted((a, b) for w, b, a, z, _ in windows if w == u and a <= t <= z)
+        assert got[u, i] == (inside[0][1] if inside else None)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(got) == {x for e in edges if e[0] != e[1] for x in e}
+    assert len({(got[x], find(x)) for x in got}) == len(set(got.values())) == len({find(x) for x in got})
+
+
 def test_radius_and_clusters(spark):
-    rows = [(1, "E-1-0", i, 48.81 + y * M, 2.3, "BUS", "CAR") for i, y in enumerate((0, 100, 220, 5000))]
-    changes = spark.createDataFrame(rows, "user_id long, trip_id string, t long, lat double, lon double, prev string, mode string")
-    assert [r.n for r in spatial.radius_counts(changes).orderBy("t").collect()] == [1, 2, 1, 0]
+    rows = [(1, "E-1-0", i, i, 48.81 + y * M, 2.3, "BUS", "CAR") for i, y in enumerate((0, 100, 220, 5000, 5000))]
+    changes = spark.createDataFrame(rows, CHANGE)
+    assert [r.n for r in spatial.radius_counts(changes).orderBy("seg_id").collect()] == [1, 2, 1, 1, 1]
     found = spatial.clusters(changes).orderBy("lat_cell").collect()
     assert [r.cluster >= 0 for r in found] == [True, True, True, False]
     weak = predicted(spark, ["BUS"], 0.4, probabilities={"BUS": 0.4, "CAR": 0.3}).withColumn("lat", F.lit(48.81))

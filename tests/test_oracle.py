@@ -7,13 +7,13 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 #: One query for each step; the others differ from these in a column or a filter.
-KEYS = ("c4_spikes", "c6_clean", "k4_accel", "k6_turn", "g1_declared", "g3_gap", "g8_sub", "g9_short", "g10_breaks", "features_v1", "features_v2", "t0_split", "t5_training_v1", "p1_matrix", "p2_correct", "p3_vote", "p4_fusion", "p5_names", "p6_time", "p7_metrics", "p9_radius", "a5_trips", "a7_matrix", "a11_age")
+KEYS = ("c4_spikes", "c6_clean", "k4_accel", "k6_turn", "g1_declared", "g3_gap", "g8_sub", "g9_short", "g10_breaks", "features_v1", "features_v2", "t0_split", "t5_training_v1", "p1_matrix", "p2_correct", "p3_vote", "p4_fusion", "p5_names", "p6_time", "p7_metrics", "p9_radius", "p9_clusters", "p9_spatial", "g4_stay", "a3_changes", "a5_trips", "a7_matrix", "a11_age", "rides_post", "rides_trips")
 
 
 @pytest.fixture(scope="module")
 def con():
     out = duckdb.connect()
-    for t in ("events", "customer"):
+    for t in ("events", "customer", "lineitem"):
         out.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return out
 
