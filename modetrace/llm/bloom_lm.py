@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words, word pairs and word triples are quantised to levels, whose
-least counts are THRESHOLDS: exact up to 4, then two levels a doubling. An
+Counts of words, word pairs and, with an order of 3, word triples are quantised to
+levels, whose least counts are THRESHOLDS: exact up to 4, then two a doubling. An
 n-gram is entered once for each level up to its own; a lookup probes level
 after level until one is missing, so that frequent n-grams cost a few probes
 and absent ones about one. A level stands for the mean count q of the n-grams
@@ -9,8 +9,8 @@ that have it. Every n-gram of the training texts is entered, those seen once
 too. Probabilities back off by history (Dirichlet smoothing):
 
     p(w)       = (q(w) + 0.5) / (N + 0.5 (V + 1))
-    p(w | v)   = (q(v w) + m2 p(w)) / (c(v) + f2 + m2)
-    p(w | u v) = (q(u v w) + m3 p(w | v)) / (q(u v) + f3 + m3)
+    p(w | v)   = (q(v w) + (m2 + f2) p(w)) / (c(v) + m2 + 2 f2)
+    p(w | u v) = (q(u v w) + (m3 + f3) p(w | v)) / (q(u v) + m3 + 2 f3)
 
 m2 and m3 are the mean numbers of distinct words that follow a word and a pair.
 A history never seen leaves the shorter history's probability as it is. c(v)
@@ -18,7 +18,9 @@ is exact for the words of the head. An n-gram counts at most as often as its
 history and as itself without its first word, which removes most of what the
 filter holds by mistake; f2 = e V q2 and f3 = e (min(r c(v), V) + e V) q3 are about
 what is left of it, with e the share of mistaken lookups, measured on the filter,
-r the number of distinct pairs a token, and q2 and q3 the counts of level 1. So each distribution sums to 1 but
+r the number of distinct pairs a token, and q2 and q3 the counts of level 1. They
+stand below the line for the mistakes, and once more on both sides, so that
+histories rarer than the mistakes lean on the shorter one. So each distribution sums to 1 but
 for quantisation and chance.
 
 The hash of an n-gram picks its part of the filter, and each part is made by one
@@ -51,7 +53,8 @@ from pyspark.sql import functions as F
 from .common import fold_column, lower_words_of, materialise, shuffle_partitions, text_slices, texts
 
 END = "\n"  # no word holds a line end
-ORDER = 3
+#: Production scores by words and pairs; a filter with triples is twice as large.
+ORDER = 2
 #: Least count of each level from 1 on; two a doubling, as far as counts go.
 THRESHOLDS = np.array(sorted({math.ceil(2 ** (k / 2)) for k in range(2 * 62)} | {1, 2, 3, 4}), dtype=np.int64)
 #: Bits of the filter for each entry, and bits that an entry sets in each of its two words.
@@ -461,15 +464,16 @@ class Scorer:
         self.history = np.concatenate((self.history, np.where(hit, count, q)))
         p, own = self.p[ids], self.history[ids]
         before = np.concatenate((self.history[:1], own[:-1]))  # c(v)
-        false = self.s.error * self.s.distinct
-        history, mistaken = before, np.full(len(ids), false)
+        strangers = self.s.error * self.s.distinct
+        history, mistaken = before, np.full(len(ids), strangers)
         for n in range(1, len(self.s.mean)):
             q = self.s.mean[n][levels[len(new) + (n - 1) * len(ids) :][: len(ids)]]
             q, m = np.minimum(np.minimum(q, history), own), self.s.mass[n]
-            longer = (q + m * p) / (history + mistaken * self.s.mean[n][1] + m)
+            false = mistaken * self.s.mean[n][1]
+            longer = (q + (m + false) * p) / (history + m + 2 * false)
             p = np.where((history > 0) & ~(first & (n > 1)), longer, p)
             own, history = q, np.concatenate(([0.0], q[:-1]))
-            mistaken = self.s.error * (np.minimum(before * self.s.follow, self.s.distinct) + false)
+            mistaken = self.s.error * (np.minimum(before * self.s.follow, self.s.distinct) + strangers)
         return ids, sizes, np.log10(p)
 
 
