@@ -11,7 +11,6 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import gc
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modetrace.sources.scratch import materialise, shared_folder  # noqa: F401
+
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Spark's setting by which a query's shuffle files go when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: How many bytes of text a Python worker holds in one slice.
 SLICE_BYTES = 8 << 20
 
@@ -70,32 +69,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as
-    in tests on one machine, a folder below the warehouse is used.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that nothing
-    after it recomputes what came before and a lost executor loses no data."""
-    spark = df.sparkSession
-    path = shared_folder(spark, purpose)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # what was shuffled isn't needed once the table is written
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of about ``limit`` bytes of text, whole rows."""
     if not batch.num_rows:

@@ -9,12 +9,12 @@ bound first, only for vectors that can still reach the k-th score. Each task
 carries its k best on from shard to shard; the tasks' results are merged.
 
 Components become floor(256 x). Vectors that are null or hold a null or
-non-finite component, or one that is no BIGINT when scaled (as SQL can't score
-it), and rows with a null vec_id take no part; vectors with a component beyond
-LARGEST are scored in Python integers, and a score that is no BIGINT is an error; a component that a shorter vector lacks is 0. Ties go to
-the smaller vec_id. An id on several rows is one query, the least of its
-vectors, and none of its rows is a candidate for it; for other queries each
-of its rows is.
+non-finite component, and rows with a null vec_id, take no part. Vectors with a
+component beyond LARGEST are scored in Python integers; a score that is no
+BIGINT is an error. A component that a shorter vector lacks is 0. Ties go to the
+smaller vec_id. Every row is a query or candidate of its own, also where vec_ids
+or whole rows repeat: a query gets one more than k rows, and of those that are
+like itself one is dropped; of equal query rows one is searched for.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ QUERIES, SHARD = 4096, 4096
 QUERY_EVERY, K = 50, 5
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
-    x = F.transform(F.col("embedding"), lambda c: F.floor(c.cast("double") * SCALE))
-    sound = F.forall("embedding", lambda c: F.coalesce(F.abs(c.cast("double") * SCALE) < float(1 << 63), F.lit(False)))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select("vec_id", x.alias("v"))
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) of the rows that take part, components as doubles."""
+    v = F.transform("embedding", lambda c: c.cast("double"))
+    finite = F.forall(v, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
 
 
 class Shard:
@@ -60,7 +60,7 @@ class Shard:
         most = np.maximum(query * self.high, query * self.low)
         return np.where(self.untouched, np.maximum(most, 0.0), most)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the vectors that may be among the k best, given
         that the k-th score so far is ``least``."""
         dims = np.flatnonzero(query[: len(self.columns)])
@@ -84,9 +84,9 @@ class Shard:
                 score[places] += query[d] * self.columns[d][places]
                 if touched is not None:
                     touched[places] = True
-        live = self.ids != query_id
+        live = np.ones(self.size, dtype=bool)
         if touched is not None and first:
-            live &= touched  # without an essential posting a vector can't reach the k-th score
+            live = touched  # without an essential posting a vector can't reach the k-th score
         if least > -np.inf:
             live &= score + below[first] >= least
         at = np.flatnonzero(live)
@@ -106,101 +106,116 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
-def _wide(lists: list[list[int]]) -> np.ndarray:
-    return np.array([any(abs(c) >= LARGEST for c in v) for v in lists], dtype=bool)
+def scaled(vector: list[float]) -> list[int]:
+    """floor(256 x) of each component, whatever its size."""
+    return [int(x) * SCALE if abs(x) >= 1 << 52 else int(np.floor(x * SCALE)) for x in vector]
 
 
 def _exact(query: list[int], lists: list[list[int]]) -> np.ndarray:
-    return np.array([sum(a * b for a, b in zip(query, v, strict=False)) for v in lists], dtype=np.int64)
+    scores = [sum(a * b for a, b in zip(query, v, strict=False)) for v in lists]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
+        raise OverflowError("a score is no BIGINT")
+    return np.array(scores, dtype=np.int64)
 
 
-def _matrix(lists: list[list[int]]) -> np.ndarray:
-    width = max(map(len, lists), default=0)
-    out = np.zeros((len(lists), width))
-    for row, values in zip(out, lists, strict=True):
-        row[: len(values)] = values
-    return out
+def _matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(floor(256 x) of each list as a row, zeros after its end; whether the row
+    has a component beyond LARGEST)."""
+    ends = lists.offsets.to_numpy()
+    size = np.diff(ends)
+    inside = np.arange(size.max(initial=0)) < size[:, None]
+    out = np.zeros(inside.shape)
+    with np.errstate(over="ignore"):
+        out[inside] = np.floor(lists.values.to_numpy()[ends[0] : ends[-1]] * SCALE)
+    return out, (np.abs(out) >= LARGEST).any(axis=1)
+
+
+class Queries:
+    """A pass's queries: distinct (vec_id, v), how many rows have each, and the
+    score of each with itself."""
+
+    def __init__(self, rows: list):
+        self.ids, self.lists, self.times = [r.vec_id for r in rows], [scaled(r.v) for r in rows], [r.times for r in rows]
+        self.own = [int(_exact(v, [v])[0]) for v in self.lists]
+        self.matrix, self.wide = _matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())))
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) of ``quantised`` queries and vectors.
+    """(query_id, rank, vec_id, score) of ``usable`` queries and vectors, where
+    the queries are among the vectors.
 
-    A pass broadcasts about QUERIES queries, cut by their ids, and reads all
-    vectors; passes append what tasks found, k rows a query and task.
+    A pass broadcasts about QUERIES queries, cut by a hash, and reads all
+    vectors; passes append what tasks found, k + 1 rows a query and task.
     """
     spark = vectors.sparkSession
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = queries.count()
-    passes = max(1, -(-total // QUERIES))
-    cuts = [None, None]
-    if passes > 1:
-        inner = queries.agg(F.percentile_approx("vec_id", [i / passes for i in range(1, passes)], 100 * passes)).first()[0]
-        cuts = [None, *sorted(set(inner)), None]
+    queries = queries.groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    passes = max(1, -(-queries.count() // QUERIES))
     folder = shared_folder(spark, "topk")
-    schema = "query_id long, vec_id long, score long"
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        some = queries
-        if low is not None:
-            some = some.where(F.col("vec_id") > low)
-        if high is not None:
-            some = some.where(F.col("vec_id") <= high)
-        rows = some.orderBy("vec_id").collect()
-        sent = spark.sparkContext.broadcast(([r.vec_id for r in rows], [r.v for r in rows]))
-
-        def find(batches, sent=sent):
-            query_ids, sought = sent.value
-            wide_query = _wide(sought)
-            matrix = _matrix(sought)
-            top = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
+    schema = "pass long, q long, query_id long, own long, times long, vec_id long, score long"
+    for number in range(passes):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(passes)) == number).orderBy("vec_id", "v").collect()
+        sent = spark.sparkContext.broadcast(Queries(rows))
+
+        def find(batches, sent=sent, number=number):
+            sought = sent.value
+            top = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(sought.ids)
             for batch in batches:
                 for start in range(0, batch.num_rows, SHARD):
                     part = batch.slice(start, SHARD)
-                    lists, all_ids = part.column("v").to_pylist(), part.column("vec_id").to_numpy()
-                    wide = _wide(lists)
-                    shard = Shard(all_ids[~wide], _matrix([v for v, w in zip(lists, wide, strict=True) if not w]))
-                    for i, query_id in enumerate(query_ids):
+                    all_ids = part.column("vec_id").to_numpy()
+                    matrix, wide = _matrix(part.column("v"))
+                    at = np.flatnonzero(wide | sought.wide.any())
+                    lists = {i: scaled(part.column("v")[i].as_py()) for i in at.tolist()}
+                    shard = Shard(all_ids[~wide], matrix[~wide])
+                    for i, query in enumerate(sought.matrix):
                         ids, scores = top[i]
-                        # just below the k-th score, which may be no double
-                        least = np.nextafter(float(scores[-1]), -np.inf) if len(scores) == k else -np.inf
-                        more_ids, more = (all_ids[:0], scores[:0]) if wide_query[i] else shard.search(query_id, matrix[i], k, least)
+                        # just below the last score, which may be no double
+                        least = np.nextafter(float(scores[-1]), -np.inf) if len(scores) > k else -np.inf
+                        more_ids, more = (all_ids[:0], scores[:0]) if sought.wide[i] else shard.search(query, k + 1, least)
                         more = more.astype(np.int64)
-                        at = np.flatnonzero((wide | wide_query[i]) & (all_ids != query_id))
-                        if len(at):
-                            more_ids, more = np.concatenate((more_ids, all_ids[at])), np.concatenate((more, _exact(sought[i], [lists[a] for a in at])))
+                        left = at if sought.wide[i] else np.flatnonzero(wide)
+                        if len(left):
+                            more_ids, more = np.concatenate((more_ids, all_ids[left])), np.concatenate((more, _exact(sought.lists[i], [lists[j] for j in left.tolist()])))
                         if len(more):
-                            top[i] = best(np.concatenate((ids, more_ids)), np.concatenate((scores, more)), k)
-            for i in range(0, len(query_ids), 1000):
-                found = list(zip(query_ids[i : i + 1000], top[i : i + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([q for q, _ in found], [len(t[0]) for _, t in found]).astype(np.int64)), pa.array(np.concatenate([t[0] for _, t in found])), pa.array(np.concatenate([t[1] for _, t in found]).astype(np.int64))],
-                    ["query_id", "vec_id", "score"],
-                )
+                            top[i] = best(np.concatenate((ids, more_ids)), np.concatenate((scores, more)), k + 1)
+            for i in range(0, len(top), 1000):
+                found = top[i : i + 1000]
+                each = [len(ids) for ids, _ in found]
+                of = np.repeat(np.arange(i, i + len(found)), each)
+                known = [np.array(x, dtype=np.int64)[of] for x in (sought.ids, sought.own, sought.times)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(of), number), of, *known, np.concatenate([ids for ids, _ in found]), np.concatenate([x for _, x in found]))], ["pass", "q", "query_id", "own", "times", "vec_id", "score"])
 
         vectors.mapInArrow(find, schema).write.mode("append").parquet(folder)
         sent.unpersist()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = spark.read.schema(schema).parquet(folder)
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    of = Window.partitionBy("pass", "q")
+    place = F.row_number().over(of.orderBy(F.desc("score"), "vec_id"))
+    itself = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    gone = F.coalesce(F.min(F.when(itself, F.col("place"))).over(of), F.lit(1 << 40))
+    ranked = found.withColumn("place", place).where(F.col("place") <= k + 1).withColumn("gone", gone).where("place <> gone")
+    ranked = ranked.withColumn("rank", F.col("place") - (F.col("gone") < F.col("place")).cast("int")).where(F.col("rank") <= k)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def search_own(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K) -> DataFrame:
     """The rows whose vec_id is divisible by ``every``, against all rows."""
-    all_rows = quantised(vectors)
+    all_rows = usable(vectors)
     return search(all_rows.where(F.col("vec_id") % every == 0), all_rows, k)
 
 
 ORACLE_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  SELECT q.place, q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.place <> q.place
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5

@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modetrace.functions.graph import connected
+
 from .common import lower_words_of, materialise, text_slices, texts
-from .simhash import SEED, TILE, TILES, _join_labels, connected
+from .simhash import SEED, TILE, TILES, _join_labels
 
 SHINGLE = 5
 #: Similarity of near copies, as a fraction.

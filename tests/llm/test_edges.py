@@ -92,16 +92,22 @@ def test_mix_repeats_documents(docs):
 
 
 def test_vectors(spark):
-    rows = [(0, [1.0, -0.5]), (0, [1.0, -0.5]), (50, [0.25, 0.25]), (1, [1.0, -0.5]), (2, [1.0, -0.5]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0]), (9, [1e300, 0.0])]
+    rows = [(0, [1.0, -0.5]), (0, [1.0, -0.5]), (50, [0.25, 0.25]), (1, [1.0, -0.5]), (2, [1.0, -0.5]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("x")).withColumn("score", F.lit(1))
     got = {}
     for r in maxscore.search_own(df).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got[0] == [(1, 81920), (2, 81920), (8, 65536), (50, 8192), (7, 0)]
-    assert got[50][:3] == [(8, 16384), (0, 8192), (0, 8192)]
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert got[0] == [(i, v, s) for i, (v, s) in enumerate([(0, 81920), (1, 81920), (2, 81920), (8, 65536), (50, 8192)], 1) for _ in range(2)]
+    assert got[50][:3] == [(1, 8, 16384), (2, 0, 8192), (3, 0, 8192)]
     assert maxscore.search_own(df.where("false")).count() == 0
 
 
+def test_a_score_beyond_bigint_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0, -0.5]), (9, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="no BIGINT"):
+        maxscore.search_own(df).collect()
+
+
 def test_toxicity_locates(spark):
     rows = [("you are a moron. nice day", 1), ("what a moron he is. hello there", 1), ("nice day to all. hello there", 0), ("hello there. fine words", 0)] * 40
     model = toxicity.train([(t + f" u{i}. v{i}", y) for i, (t, y) in enumerate(rows)])

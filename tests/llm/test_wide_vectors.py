@@ -2,15 +2,24 @@
 
 import math
 
+import duckdb
+import pyarrow as pa
+
 from modetrace.llm import maxscore
 
 
 def test_every_scale_is_scored_exactly(spark):
-    rows = [(0, [1.0, -0.5]), (50, [5000.0, 3.0]), (1, [4096.0, 1.0]), (2, [-1e6, 2.0]), (3, [0.25, 0.25]), (4, [1e6 + 0.5, 1e6]), (5, [1.0, 1.0]), (6, [4095.0, 0.0]), (100, [2.0**21 + 1, 1.0])]
-    v = {i: [math.floor(256 * c) for c in x] for i, x in rows}
+    rows = [(0, [1.0, -0.5]), (50, [5000.0, 3.0]), (1, [4096.0, 1.0]), (2, [-1e6, 2.0]), (3, [0.25, 0.25]), (4, [1e6 + 0.5, 1e6]), (5, [1.0, 1.0]), (6, [4095.0, 0.0]), (100, [2.0**21 + 1, 1.0]), (7, [1e7, 0.5]), (50, [5000.0, 3.0]), (50, [0.5, 0.5])]
+    v = [(i, [math.floor(256 * c) for c in x]) for i, x in rows]
     want = []
-    for q in (0, 50, 100):
-        scored = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q)
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    for at, (q, x) in enumerate(v):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for other, (i, y) in enumerate(v) if other != at)
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    want.sort()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, maxscore.search_own(df).collect())) == want
+    duckdb.register("rows", pa.table({"vec_id": [i for i, _ in rows], "embedding": [x for _, x in rows]}))
+    duckdb.sql("CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM rows")
+    assert sorted(duckdb.sql(maxscore.ORACLE_SQL).fetchall()) == want
+    duckdb.sql("DROP VIEW temp.embeddings")
