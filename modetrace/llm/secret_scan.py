@@ -1,11 +1,13 @@
 """Secrets in texts: fixed patterns, and random strings by token efficiency.
 
 A BPE vocabulary is learnt from prose and code, so it spells a random string
-with few characters a token and a word with many. A run of key characters
-that no fixed pattern took is a secret of kind ``random`` if it has fewer than
-``MAX_RATIO`` characters a token, once known digests (hexadecimal of a digest's
-length, UUIDs), numbers and identifiers (words joined by separators or by
-case) are put aside. Null and empty texts have no spans.
+with few characters a token and a word with many. A run of 20 key characters or
+more is a secret of kind ``random`` if it has at most ``MAX_RATIO`` characters a
+token (``MAX_RATIO_WORD`` if it could be a word, all small letters), once known
+digests (hexadecimal of a digest's length, UUIDs), numbers and identifiers
+(several words joined by separators or by case) are put aside. A run within a
+span of the fixed patterns adds nothing; one that reaches beyond it does. Null
+and empty texts have no spans.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}+={0,2}")
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Words of an identifier: letters of one case (a first capital aside), and short numbers.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-MAX_RATIO = 2.2
+MAX_RATIO, MAX_RATIO_WORD = 2.05, 1.9
 
 
 @functools.lru_cache(maxsize=2)
@@ -52,19 +54,19 @@ def is_known(run: str) -> bool:
     if HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
         return True
     body = run.strip("=")
-    if not any(c.isdigit() for c in body) and (body.islower() or body.isupper() or "/" in body):
-        return True
     pieces = [x for x in re.split(r"[_/+=-]+", body) if x]
     if all(x.isdigit() for x in pieces):
         return True
-    # an identifier is made of few parts for its length: words of four letters or more on average
+    # an identifier is made of several parts, few for its length: of four letters or more on average
     parts = [p for x in pieces for p in PART.findall(x)]
-    return len("".join(parts)) >= 4 * len(parts)
+    plain = all(x.isalpha() or x.isdigit() for x in pieces)
+    return plain and len(parts) > 1 and len("".join(parts)) >= 4 * len(parts)
 
 
 class SecretFinder:
     def __init__(self, path: str, max_ratio: float = MAX_RATIO):
         self.encoding, self.max_ratio = _encoding(path), max_ratio
+        self.max_ratio_word = min(max_ratio, MAX_RATIO_WORD)
         self.ratios = Memo(lambda run: len(run) / max(1, len(self.encoding.encode_ordinary(run))), 20_000)
 
     def base(self, text: str) -> list[Span]:
@@ -81,10 +83,11 @@ class SecretFinder:
         taken = [(a, b) for _, a, b, _ in found]
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y in taken):
+            if any(x <= a and b <= y for x, y in taken):
                 continue
             run = m.group()
-            if not is_known(run) and self.ratios[run] < self.max_ratio:
+            word = run.isalpha() and run.islower()
+            if not is_known(run) and self.ratios[run] <= (self.max_ratio_word if word else self.max_ratio):
                 found.append(("random", a, b, False))
         return in_order(found, KINDS) if len(found) > 1 else found
 
