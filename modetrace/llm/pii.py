@@ -1,12 +1,18 @@
 """Personal data in texts, also in disguise.
 
 Fixed patterns find e-mail and IP addresses, card and phone numbers. Then a
-transducer rewrites the text: look-alike characters become the ASCII ones,
-invisible ones go, spelled digits become digits, and at/dot disguises become
-'@' and '.'. It keeps for each piece of its output the source range it came
-from, the same patterns run over the output, and each match is mapped back to
-source code points. A match within a base span of its kind adds nothing. An
-address in bare words must end in a top-level domain.
+cascade of transducers rewrites the text: each look-alike character becomes the
+ASCII one (those that Unicode's compatibility form or its digits tell, and a list
+of Cyrillic, Greek and other letters), invisible ones go, spelled digits become
+digits, and at/dot disguises become '@' and '.'. It keeps for each piece of its
+output the source range it came from, the same patterns run over the output, and
+each match is mapped back to source code points. A match within a base span of
+its kind adds nothing.
+
+At and dot in bare words are an address only together: 'name at host dot end',
+in words of one language; the end must look like one (two letters or more), and
+where the dots are signs, so that only 'at' speaks for an address, be of two
+letters or a common one. 'at the ...' starts no host.
 
 Null and empty texts have no spans; ``redact`` leaves them as they are.
 """
@@ -14,13 +20,13 @@ Null and empty texts have no spans; ``redact`` leaves them as they are.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts, text_slices
-from .endings import ENDINGS
 from .spans import Span, digests as span_digests, find_spans, in_order
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,7 +46,6 @@ LOOKALIKES = {
     "ο": "o", "α": "a", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ı": "i", "ɑ": "a", "ɡ": "g", "․": ".", "。": ".", "﹒": ".", "•": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " ", "﹢": "+",
 }
-INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
@@ -50,8 +55,26 @@ DIGIT_WORDS = {
 #: Fewer digits in a row than this are left as words.
 RUN = 4
 
-_HOMOGLYPH = {**LOOKALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **{chr(z + i): str(i) for z in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}, **dict.fromkeys(INVISIBLE, "")}
-_ODD = re.compile("[" + re.escape("".join(_HOMOGLYPH)) + "]")
+#: Where disguised ASCII characters are looked for: up to the end of the mathematical letters.
+_REACH = 0x1D800
+
+
+def _ascii_of(c: str) -> str | None:
+    """What a character stands for: an ASCII one, nothing, or itself (None)."""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    kind = unicodedata.category(c)
+    if kind == "Cf":
+        return ""
+    if kind == "Nd":
+        return str(unicodedata.digit(c))
+    same = unicodedata.normalize("NFKC", c)
+    return same if len(same) == 1 and " " <= same < "\x7f" else None
+
+
+_STANDS_FOR = {c: to for c in map(chr, range(0x80, _REACH)) if (to := _ascii_of(c)) is not None}
+_ONE_TO_ONE = str.maketrans({c: to for c, to in _STANDS_FOR.items() if to})
+_INVISIBLE = re.compile("[" + re.escape("".join(c for c, to in _STANDS_FOR.items() if not to)) + "]+")
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9])"
 _SPELLED = re.compile(rf"(?<![^\W_]){_DIGIT}(?:[\x20,.-]{{1,2}}{_DIGIT}){{{RUN - 1},}}(?![^\W_])", re.IGNORECASE)
 _DIGIT_PART = re.compile(_DIGIT, re.IGNORECASE)
@@ -59,12 +82,18 @@ _PLUS = re.compile(r"(?<![^\W_])plus\x20+(?=[0-9])", re.IGNORECASE)
 _AT, _DOT = r"(?:at|ät|arobase|arroba|chez|@)", r"(?:dot|punkt|point|punto|\.)"
 _BRACKETED_AT = re.compile(rf"\x20*[\[({{<]\x20*{_AT}\x20*[\])}}>]\x20*", re.IGNORECASE)
 _BRACKETED_DOT = re.compile(rf"\x20*[\[({{<]\x20*{_DOT}\x20*[\])}}>]\x20*", re.IGNORECASE)
-#: Bare words count only as a whole address: name at host dot domain.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\x20+(?:at|ät|arobase|arroba)\x20+|@|\x20+@\x20+)[A-Za-z0-9-]+((?:(?:\x20+(?:dot|punkt|point|punto)\x20+|\.)[A-Za-z0-9-]+)+)", re.IGNORECASE)
-_BARE_DOT = re.compile(r"\x20+(?:dot|punkt|point|punto)\x20+", re.IGNORECASE)
-#: What any match of the bracketed patterns and of the bare one holds.
 _BRACKET = re.compile(r"[\[({<]")
-_BARE_AT = re.compile(r"\x20(?:at|ät|arobase|arroba)\x20|@", re.IGNORECASE)
+#: At in bare words, and the words for a dot that go with it.
+_DOTS_OF = {"at": ("dot", "punkt"), "ät": ("dot", "punkt"), "arobase": ("dot", "point"), "arroba": ("dot", "punto")}
+_SEPARATOR = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\x20+(at|ät|arobase|arroba)\x20+|_(at)_|\x20*@\x20*)(?=[A-Za-z0-9])", re.IGNORECASE)
+_DOT_WORD = r"(?:\x20+(?:dot|punkt|point|punto)\x20+|_dot_)"
+_HOST = re.compile(rf"([A-Za-z0-9-]+)((?:(?:{_DOT_WORD}|\.)[A-Za-z0-9-]+)+)", re.IGNORECASE)
+_DOTS = re.compile(_DOT_WORD, re.IGNORECASE)
+_DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
+_END = re.compile(r"(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)\Z")
+# Common ends of addresses, and words that follow 'at' in prose.
+COMMON_ENDS = frozenset("com org net edu gov mil int info biz name dev app pro museum jobs mobi travel online site shop blog cloud email".split())
+NO_HOST = frozenset("a an the this that these those his her its my your our their some any each every no which what one".split())
 
 
 def luhn(digits: str) -> bool:
@@ -158,29 +187,68 @@ class Rewritten:
         self.text, self.at, self.source = "".join(parts), at or [0], source or [(0, 0, True)]
 
 
+def _back(text: str, at: int, floor: int, inside) -> int:
+    while at > floor and inside(text[at - 1]):
+        at -= 1
+    return at
+
+
+def _local_start(text: str, end: int, floor: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the local part that ends at ``end`` starts, and its dots in words."""
+    start, dots = _back(text, end, floor, _LOCAL.__contains__), []
+    while True:
+        space = _back(text, start, floor, " ".__eq__)
+        word = _back(text, space, floor, str.isalpha)
+        before = _back(text, word, floor, " ".__eq__)
+        if not before < word < space < start or text[word:space].lower() not in _DOT_WORDS or before == floor or text[before - 1] not in _LOCAL:
+            return start, dots[::-1]
+        dots.append((before, start))
+        start = _back(text, before, floor, _LOCAL.__contains__)
+
+
+def _addresses_in_words(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn addresses in bare words into plain ones."""
+    edits, floor = [], 0
+    for m in _SEPARATOR.finditer(text):
+        if m.start() < floor or not (host := _HOST.match(text, m.end())):
+            continue
+        word = (m.group(1) or m.group(2) or "").lower()
+        dots = [(d.start(), d.end()) for d in _DOTS.finditer(text, host.start(2), host.end(2))]
+        names = {text[a:b].strip(" _").lower() for a, b in dots}
+        end = re.split(r"[\x20._]", host.group(2))[-1]
+        if not _END.search(end) or word and not names <= set(_DOTS_OF[word]):
+            continue
+        if word and not m.group(2):
+            if host.group(1).lower() in NO_HOST or not dots and not (end.islower() and (len(end) == 2 or end in COMMON_ENDS)):
+                continue
+        start, before = _local_start(text, m.start(), floor)
+        if start == m.start() or m.group() == "@" and not dots and not before:
+            continue
+        edits += [(a, b, ".") for a, b in before] + [(*m.span(), "@")] + [(a, b, ".") for a, b in dots]
+        floor = host.end()
+    return edits
+
+
 def rewrite(text: str) -> Rewritten | None:
     """The text without its disguises, or None if it has none."""
     out = Rewritten(text)
-    out.replace([(m.start(), m.end(), _HOMOGLYPH[m.group()]) for m in _ODD.finditer(out.text)])
-    out.replace([(*m.span(), "".join(DIGIT_WORDS.get(p.lower(), p) for p in _DIGIT_PART.findall(m.group()))) for m in _SPELLED.finditer(out.text) if not m.group().replace(" ", "").replace("-", "").isdigit() and any(c.isalpha() for c in m.group())])
+    if not text.isascii():
+        out.text = text.translate(_ONE_TO_ONE)  # one for one, so that places stay
+        out.replace([(*m.span(), "") for m in _INVISIBLE.finditer(out.text)])
+    out.replace([(*m.span(), "".join(DIGIT_WORDS.get(p.lower(), p) for p in _DIGIT_PART.findall(m.group()))) for m in _SPELLED.finditer(out.text) if any(c.isalpha() for c in m.group())])
     out.replace([(*m.span(), "+") for m in _PLUS.finditer(out.text)])
     if _BRACKET.search(out.text):
         out.replace([(*m.span(), "@") for m in _BRACKETED_AT.finditer(out.text)])
         out.replace([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(out.text)])
-    edits = []
-    for m in _BARE.finditer(out.text) if _BARE_AT.search(out.text) else ():
-        if m.group(1) == "@" and not _BARE_DOT.search(m.group(2)) or re.split(r"[\x20.]", m.group(2))[-1].lower() not in ENDINGS:
-            continue
-        edits += [(*m.span(1), "@"), *((m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(2)))]
-    out.replace(edits)
-    return out if len(out.source) > 1 or out.text != text else None
+    out.replace(_addresses_in_words(out.text))
+    return out if out.text != text else None
 
 
 def find_in(text: str) -> list[Span]:
     base = identifiers(text)
     found: list[Span] = [(k, a, b, True) for k, a, b in base]
     clear = rewrite(text)
-    if clear is not None and clear.text != text:
+    if clear is not None:
         for kind, a, b in identifiers(clear.text):
             a, b = clear.back(a, b)
             if not any(kind == k and x <= a and b <= y for k, x, y in base):
