@@ -131,7 +131,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(doc_id, text, label) of at most ``per_class`` labelled rows of each
     class 0 and 1, outside the held-out fold 0, the first in a seeded order of
     doc_ids. Only the chosen ids, a bounded number, are broadcast. Ids with a
-    null label, or with both labels, are not taken."""
+    null label, or with both labels, are not taken; of rows that repeat an id the
+    one of the least text is."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold_column() != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("most")).where("label = most").drop("most")
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
@@ -139,4 +140,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

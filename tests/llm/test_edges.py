@@ -3,6 +3,8 @@ tables and extra columns with clashing names."""
 
 import hashlib
 import importlib
+import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,11 +112,20 @@ def test_a_score_beyond_bigint_is_an_error(spark):
 
 def test_toxicity_locates(spark):
     rows = [("you are a moron. nice day", 1), ("what a moron he is. hello there", 1), ("nice day to all. hello there", 0), ("hello there. fine words", 0)] * 40
-    model = toxicity.train([(t + f" u{i}. v{i}", y) for i, (t, y) in enumerate(rows)])
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][: len(rows)]
+    docs = spark.createDataFrame([(i, t + f" u{i}. v{i}") for i, (t, _) in zip(ids, rows, strict=True)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows, strict=True)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.weights["moron"] > 1 > model.weights.get("nice", 0.0)
     text = "Hello there. Such a MORON here! Nice day"
-    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
-    found = {r.doc_id: r.sentences for r in toxicity.locate(docs, model).collect()}
-    assert [text[s.start : s.end] for s in found[1]] == ["Such a MORON here"] and found[2] == [] == found[3]
+    found = {r.doc_id: r for r in toxicity.score(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), model).collect()}
+    assert [text[s.start : s.end] for s in found[1].sentences] == ["Such a MORON here"] and found[2].sentences == [] == found[3].sentences
+    # the noisy-or over sentences, written plainly
+    clean = 1.0
+    for sentence in ("hello there", "such a moron here", "nice day"):
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in sentence.split() for f in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)])
+        clean *= 1 - 1 / (1 + math.exp(-z))
+    assert found[1].score == pytest.approx(1 - clean)
 
 
 def test_bpe_encode_decode(docs):

@@ -1,6 +1,8 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import collections
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +14,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from modetrace.llm import bpe, common, maxscore, mixing, pii, quality, registry, secret_scan, simhash, simple8b, spans
+from modetrace.llm import bpe, common, maxscore, mixing, pii, quality, registry, secret_scan, simhash, simple8b, spans, toxicity
 
 SF = "/root/testdata/sf0.001"
 settings.register_profile("slow", deadline=None)
@@ -155,6 +157,22 @@ def test_mix(spark, texts):
     got = frame(spark, "op5_mixing")
     assert got["size"].tolist() == [len(WORD.findall(t or "")) for _, t in texts]
     source = dict(duckdb.sql(f"SELECT doc_id, source FROM read_parquet('{SF}/documents.parquet')").fetchall())
+    sizes = collections.Counter()
+    for i, t in texts:
+        sizes[source[i]] += len(WORD.findall(t or ""))
+    # the targets, written plainly: shares by weight, and what a source can't take goes to the others
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight, full, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, set(order)
+    while True:
+        rest = 1.5 * sum(sizes.values()) - sum(full.values())
+        target = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        above = {s for s in left if target[s] > 2 * sizes[s]}
+        if not above:
+            break
+        full |= {s: 2.0 * sizes[s] for s in above}
+        left -= above
+    target |= full
+    assert got["target"].tolist() == pytest.approx([target[source[i]] for i, _ in texts])
     for _, g in got.groupby(got["doc_id"].map(source)):
         assert g["source_size"].iloc[0] == g["size"].sum() and abs(g["taken"].sum() - g["target"].iloc[0]) <= max(g["size"])
         assert (g["taken"] <= 2 * g["size"]).all()
@@ -272,11 +290,48 @@ def test_trees_are_monotone_and_accurate():
     flip = rng.random(3000) < 0.05
     trees = quality.grow(x[:2000], np.where(flip, 1 - y, y)[:2000], [-1, 0, 0])
     assert ((trees.probability(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.95
+    # the flat arrays against a walk from node to node
+    for row, logit in zip(x[2000:2100], trees.logit(x[2000:2100]), strict=True):
+        total = trees.base
+        for at in trees.roots.tolist():
+            while trees.left[at] != at:
+                at = int((trees.left if row[trees.feature[at]] <= trees.threshold[at] else trees.right)[at])
+            total += trees.value[at]
+        assert logit == pytest.approx(total)
     more = x[2000:].copy()
     more[:, 0] = np.minimum(1, more[:, 0] + rng.random(1000))
     assert (trees.logit(more) <= trees.logit(x[2000:]) + 1e-12).all()
 
 
+def test_noisy_or_of_every_text(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    texts = duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{sf}/documents.parquet') ORDER BY 1").fetchall()
+    model = toxicity.fit(docs, labels)
+    got = registry.op1_toxicity(spark, sf).toPandas().sort_values("doc_id", ignore_index=True)
+    assert model.weights and model == toxicity.fit(docs.repartition(5), labels)
+    for (_, text), r in zip(texts, got.itertuples(), strict=True):
+        clean, low = 1.0, (text or "").lower()
+        for sentence in re.split(r"[.!?\n]+", low):
+            words = re.findall(r"[^\W\d_]+", sentence)
+            if words:
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)])
+                clean *= 1 - 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and r.predicted == (r.score >= 0.5)
+        spans = [tuple(map(int, s.split(":"))) for s in r.offending.split(",")] if r.offending else []
+        assert all(0 <= a < b <= len(text) for a, b in spans) and (r.predicted or not spans)
+
+
+def test_bpe_rows(spark, texts):
+    from tokenizers import Tokenizer
+
+    library = _open("byte_bpe_50k.json", Tokenizer)
+    for (_, text), r in zip(texts, frame(spark, "op4_bpe").itertuples(), strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
 def test_toxicity_held_out(spark):
     rows = registry.queries()["op1_toxicity"](spark, "/root/testdata/sf0.1").toPandas()
     labels = duckdb.sql("SELECT doc_id, toxic FROM read_parquet('/root/testdata/sf0.1/labels.parquet')").df()
@@ -287,7 +342,8 @@ def test_toxicity_held_out(spark):
 
 
 def test_quality_keeps_good_documents(spark):
-    rows = registry.queries()["op8_quality"](spark, "/root/testdata/sf0.01").toPandas()
-    labels = duckdb.sql("SELECT doc_id, quality AS good FROM read_parquet('/root/testdata/sf0.01/labels.parquet')").df()
-    known = rows.merge(labels, on="doc_id").query("not base_failed")
+    rows = registry.queries()["op8_quality"](spark, "/root/testdata/sf0.1").toPandas()
+    labels = duckdb.sql("SELECT doc_id, quality AS good FROM read_parquet('/root/testdata/sf0.1/labels.parquet')").df()
+    rows["fold"] = [zlib.crc32(str(i).encode()) % 5 for i in rows["doc_id"]]
+    known = rows.merge(labels, on="doc_id").query("not base_failed and fold == 0")  # the trees never see this fold
     assert known[known["good"] == 1]["kept"].mean() > 0.98 and known[known["good"] == 0]["kept"].mean() < 0.2
