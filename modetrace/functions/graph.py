@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modetrace.sources.scratch import materialise
+from modetrace.sources.scratch import discard, materialise
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -13,14 +13,17 @@ def connected(edges: DataFrame) -> DataFrame:
     component. Each round hooks every node to its least neighbour and contracts
     the edges, which at least halves what is left; each is a written table."""
     edges = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    found = edges.toDF("node", "root").where("false")
+    found, before = edges.toDF("node", "root").where("false"), None
     while not edges.isEmpty():
         hooks = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root"))
-        hooks = materialise(hooks, "hooks")
-        up = hooks.toDF("root", "up")
-        hooks = materialise(hooks.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "hooks")
+        first = materialise(hooks, "hooks")
+        up = first.toDF("root", "up")
+        hooks = materialise(first.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "hooks")
+        discard(first)
         later = hooks.toDF("root", "up")
         found = materialise(found.join(later, "root", "left").select("node", F.coalesce("up", "root").alias("root")).union(hooks.join(found, "node", "left_anti")), "roots")
         ends = edges.join(hooks.toDF("u", "a"), "u").join(hooks.toDF("v", "b"), "v").where("a <> b")
-        edges = materialise(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        contracted = materialise(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        discard(edges, hooks, *([before] if before is not None else []))
+        edges, before = contracted, found
     return found
