@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE, TIMES = 1.5, 2
@@ -142,10 +142,11 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, with their columns, each as often as the mix takes it."""
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    sized = materialise(with_sizes(rows.select("doc_id", "text", F.col("source").cast("string").alias("source"), "__row")).select("doc_id", "source", "__size", "__row"), "sizes")
-    taken = _copies(sized, seed, ("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    place, copies, copy = fresh(docs, "row", "copies", "copy")
+    rows = materialise(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
+    sized = materialise(with_sizes(rows.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col(place).alias("__row"))).select("doc_id", "source", "__size", "__row"), "sizes")
+    taken = _copies(sized, seed, ("__row",)).where("copies > 0").select(F.col("__row").alias(place), F.col("copies").alias(copies))
+    return rows.join(taken, place).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def _copies(sized: DataFrame, seed: int, more: tuple[str, ...] = ()) -> DataFrame:

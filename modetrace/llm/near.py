@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from modetrace.functions.graph import connected
 
-from .common import lower_words_of, materialise, text_slices, texts
+from .common import fresh, lower_words_of, materialise, text_slices, texts
 from .simhash import SEED, TILE, TILES, _join_labels
 
 SHINGLE = 5
@@ -209,31 +209,32 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, less all but one of each
     component: the one of the least doc_id stays (null only if all are), of
     equal doc_ids the first that was read."""
-    extra = (*(f"__{k}" for k in SKETCH), "__size", "__set", "__row")
+    extra = fresh(docs, *SKETCH, "size", "set", "row")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in extra)])
 
     def run(batches):
         from xxhash import xxh64_intdigest as digest
 
-        row = TaskContext.get().partitionId() << 40
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in text_slices(batch):
                 made = []
                 for t in texts(part):
                     found = shingles(t)
-                    made.append((*sketch(found), len(found), digest(found.tobytes(), SEED), row))
-                    row += 1
+                    made.append((*sketch(found), len(found), digest(found.tobytes(), SEED), place))
+                    place += 1
                 columns = np.array(made, dtype=np.uint64).reshape(-1, len(extra)).T
                 for name, values in zip(extra, columns, strict=True):
                     part = part.append_column(name, pa.array(np.ascontiguousarray(values).view(np.int64)))
                 yield part
 
     printed = materialise(docs.mapInArrow(run, schema), "printed")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row"))
-    sketches = F.struct(*(F.col(f"__{k}").alias(k) for k in SKETCH), F.col("__size").alias("size"))
-    same = printed.groupBy("__set").agg(F.min(key).alias("own"), F.min(sketches).alias("s"))
+    *words, size, set_, row = extra
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
+    sketches = F.struct(*(F.col(c).alias(k) for c, k in zip(words, SKETCH, strict=True)), F.col(size).alias("size"))
+    same = printed.groupBy(set_).agg(F.min(key).alias("own"), F.min(sketches).alias("s"))
     nodes = materialise(same.select(F.col("own.row").alias("id"), "own", "s.*"), "nodes")
     clusters = connected(links(nodes)).toDF("id", "root")
-    root = connected(exact_links(nodes, clusters, printed.select(F.col("__row").alias("id"), "text"))).toDF("id", "root")
-    stay = nodes.join(root, "id", "left").groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("own").alias("own")).select(F.col("own.row").alias("__row"))
-    return printed.join(stay, "__row", "left_semi").select(*docs.columns)
+    root = connected(exact_links(nodes, clusters, printed.select(F.col(row).alias("id"), "text"))).toDF("id", "root")
+    stay = nodes.join(root, "id", "left").groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("own").alias("own")).select(F.col("own.row").alias(row))
+    return printed.join(stay, row, "left_semi").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from modetrace.functions.graph import connected
 
-from .common import lower_words_of, map_text, materialise, text_slices, texts
+from .common import fresh, lower_words_of, map_text, materialise, text_slices, texts
 
 SEED = 42
 SHINGLE = 4
@@ -190,22 +190,23 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """The rows of ``docs``, with their columns, less all but one of each
     component: the one of the least doc_id stays (null only if all are), of
     equal doc_ids the first that was read."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__row", T.LongType())])
+    fp, place = fresh(docs, "fp", "row")
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(place, T.LongType())])
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in text_slices(batch):
                 prints = np.array([fingerprint(t, shingle) for t in texts(part)], dtype=np.uint64)
-                part = part.append_column("__fp", pa.array(prints.view(np.int64)))
-                yield part.append_column("__row", pa.array(np.arange(row, row + len(prints))))
+                part = part.append_column(fp, pa.array(prints.view(np.int64)))
+                yield part.append_column(place, pa.array(np.arange(row, row + len(prints))))
                 row += len(prints)
 
     printed = materialise(docs.mapInArrow(run, schema), "printed")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row"))
-    found = classes(printed.select(F.col("__fp").alias("fp"), key.alias("key")), radius, "key")
-    stay = found.select(F.col("least.row").alias("__row")).distinct()
-    return printed.join(stay, "__row", "left_semi").select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(place).alias("row"))
+    found = classes(printed.select(F.col(fp).alias("fp"), key.alias("key")), radius, "key")
+    stay = found.select(F.col("least.row").alias(place)).distinct()
+    return printed.join(stay, place, "left_semi").select(*docs.columns)
 
 
 def digests(rows: DataFrame) -> DataFrame:

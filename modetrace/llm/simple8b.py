@@ -171,14 +171,28 @@ def read_segments(source) -> Iterator[Segment]:
         yield Segment(doc_ids, offsets, unpack(words, starts, escapes, n, block))
 
 
+# The normaliser and the pre-tokeniser of a file whose Latin-1 texts PIECE cuts.
+CUT_BY_PIECE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class WordTokenizer:
     """The library's ids for a whole text.
 
     The file's pipeline lower-cases, drops white space and cuts at character
     classes, so a piece's ids depend on the piece alone. For Latin-1 texts the
     pieces are cut here and each goes through the library's own model once;
-    any other text, and one that holds a special token, goes through the
-    library whole.
+    any other text, one that holds a special token, and every text where the
+    file's pipeline is another one, goes through the library whole.
     """
 
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -190,7 +204,9 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+            parts = json.load(f)
+        self.specials = [t["content"] for t in parts["added_tokens"]]
+        self.by_piece = all(parts.get(k) == v for k, v in CUT_BY_PIECE.items())
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # the characters that stand for the UTF-8 bytes of each Latin-1 character
         self.standing = {i: mapped.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
@@ -202,7 +218,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.OTHER.search(text) or any(s in text for s in self.specials):
+        if not self.by_piece or self.OTHER.search(text) or any(s in text for s in self.specials):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(text.lower())))
 
@@ -221,8 +237,9 @@ def _filesystem(uri: str):
 def encode(docs: DataFrame, path: str | None = None, folder: str | None = None, end_id: int = END_ID) -> list[tuple[str, int, int]]:
     """Write the shards; (shard file, its documents, its ids) in doc_id order.
 
-    Range partitioning by doc_id makes partition numbers ascend with the ids,
-    and Spark's sort, which can spill, orders each. A task names its file after
+    Range partitioning by doc_id, and by a hash of the text where many rows share
+    one, makes partition numbers ascend with the ids, and Spark's sort, which can
+    spill, orders each. A task names its file after
     its attempt and only what successful attempts report is listed, so a lost
     or repeated task leaves at most an unlisted file.
     """
@@ -267,9 +284,10 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None,
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "docs": [docs_in], "ids": [ids_in]})
 
     rows = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(shuffle_partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+        .repartitionByRange(shuffle_partitions(spark), "doc_id", "mark")
+        .sortWithinPartitions("doc_id", "mark", "text")
+        .select("doc_id", "text")
         .mapInArrow(write, "shard long, file string, docs long, ids long")
         .collect()
     )

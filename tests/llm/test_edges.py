@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from modetrace.llm import bloom_lm, bpe, maxscore, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
 
 pipeline = importlib.import_module("corpus_pipeline")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, fp long, size long, component_id string, spans string, kept boolean, Level string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, fp long, size long, component_id string, spans string, kept boolean, Level string, row long, __row long, copies int, copy int, s0 long, `set` long, __size long"
 LONG = " ".join(f"word{i % 997} mail{i}@host.org" for i in range(20_000))
 PROSE = " ".join(f"a{i}x and b{i * 7 % 89} of" for i in range(60)) + "."
 TEXTS = [None, "", " \n\t", "one", "one two", PROSE, PROSE, PROSE + " end", LONG, "idiot. " + PROSE, "​ ７ Ünï \x85 x", "<|endoftext|> a", "a\nb\na\nb\n"]
-ROWS = [(None if i == 4 else min(i, 11), t, "en", (None, "s1", "s2")[i % 3], 0 if t is None else len(t), 0.5, "x", 1, 2, "c", "s", True, "l") for i, t in enumerate(TEXTS)]
+ROWS = [(None if i == 4 else min(i, 11), t, "en", (None, "s1", "s2")[i % 3], 0 if t is None else len(t), 0.5, "x", 1, 2, "c", "s", True, "l", 7, 7, 7, 7, 7, 7, 7) for i, t in enumerate(TEXTS)]
 LABELS = [(i, int(i % 2), int(i in (9, 3))) for i in range(12)] + [(5, None, None), (None, 1, 1), (7, 0, 0), (7, 1, 1)]
 
 
@@ -73,6 +73,7 @@ def test_stages_keep_columns(spark, docs, nothing, tmp_path):
             before, now = now, stage(spark, now, str(tmp_path))
             assert now.columns == before.columns, name
             now = pipeline.materialise(now, name)
+            assert now.where("row <> 7 OR __row <> 7 OR copies <> 7 OR copy <> 7 OR s0 <> 7 OR `set` <> 7 OR __size <> 7").count() == 0, name
         last = pipeline.STAGES[-1][1](spark, now, str(tmp_path))
         assert last.count() == now.count()
     assert len(simhash.deduplicate(docs).where(F.col("text") == PROSE).collect()) == 1

@@ -61,6 +61,14 @@ def test_word_ids_are_the_librarys(text):
     assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_another_pipeline_goes_through_the_library(monkeypatch):
+    path = common.tokenizer_path("word_bpe_49k.json")
+    assert simple8b.WordTokenizer(path).by_piece
+    monkeypatch.setattr(simple8b, "CUT_BY_PIECE", {"normalizer": None})
+    other = simple8b.WordTokenizer(path)
+    assert not other.by_piece and other.encode("Some words, 12") == simple8b._tokenizer(path).encode("Some words, 12")
+
+
 _CACHE = {}
 
 
