@@ -5,12 +5,12 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 from modetrace.config import DEFAULTS, Settings
 from modetrace.operators import analyse, clean, labels, model, postprocess, segment, trips
 from modetrace.operators.features import features
 from modetrace.sources import render, writers
+from modetrace.sources.scratch import discard, materialise
 
 
 def segment_features(points: DataFrame, displacements: DataFrame, method: str = "v1", s: Settings = DEFAULTS, stays: bool = True) -> DataFrame:
@@ -24,10 +24,11 @@ def train(points: DataFrame, displacements: DataFrame, out: str, method: str = "
     split = labels.split_users(points, s)
     writers.user_lists(split, out)
     mine = labels.of_split(points, split, "train")
-    rows = labels.build_training(segment_features(mine, displacements, method, s), displacements, split, method)
+    rows = materialise(labels.build_training(segment_features(mine, displacements, method, s), displacements, split, method), "training")
     writers.training(rows, f"{out}/training.csv", method)
     fitted = model.fit(rows, method, s)
     writers.model(fitted, f"{out}/model_{method}")
+    discard(rows)
     return fitted
 
 
@@ -37,10 +38,10 @@ def analyse_all(spark: SparkSession, points: DataFrame, displacements: DataFrame
     The maps and figures go to the folder ``out`` on the driver's machine."""
     fitted = writers.load_model(f"{out}/model_{method}")
     split = labels.split_users(points, s)
-    described = segment_features(points, displacements, method, s).persist(StorageLevel.MEMORY_AND_DISK)
+    described = materialise(segment_features(points, displacements, method, s), "segments")
     predicted = model.predict(labels.of_split(described, split, "test"), fitted, method)
     matrix = postprocess.transition_matrix(model.predict(labels.of_split(described, split, "train"), fitted, method))
-    final = postprocess.post_process(predicted, matrix, s).persist(StorageLevel.MEMORY_AND_DISK)
+    final = materialise(postprocess.post_process(predicted, matrix, s), "final")
     table, changes = analyse.all_trips(final, displacements), analyse.change_points(final)
     writers.trips(table, out)
     writers.change_points(changes, out)
@@ -49,5 +50,5 @@ def analyse_all(spark: SparkSession, points: DataFrame, displacements: DataFrame
     render.density_map(analyse.change_density(changes, s), f"{out}/heatmap_transitions.html")
     render.transition_figure(analyse.transition_histogram(changes), f"{out}/analyse_transitions.svg")
     render.demographic_figure({by: analyse.modal_split(final, individuals, by, s) for by in ("sex", "age", "diploma")}, f"{out}/analyse_demographique_transport.svg")
-    described.unpersist()
+    discard(described)
     return table

@@ -18,7 +18,7 @@ def _read(spark: SparkSession, path: str, schema: str, form: str) -> DataFrame:
 
 def gps(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """All users' traces at once, from a folder of files of any split."""
-    return _read(spark, path, GPS, form)
+    return _read(spark, path, GPS, form).select("user_id", "event_id", "t", "lat", "lon")
 
 
 def gps_by_file(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:

@@ -1,12 +1,13 @@
 """Maps and figures as self-contained HTML and SVG.
 
-They draw aggregates: at most ``LIMIT`` rows, the largest first, are taken to
-the driver and a figure says how many it shows of how many there are.
+They draw aggregates. A map that would have more than ``LIMIT`` marks is drawn
+with coarser places, so that every change is counted in one of them.
 """
 
 from __future__ import annotations
 
 import html
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,28 @@ from modetrace.operators.analyse import transition_labels
 
 LIMIT = 5000
 PALETTE = {m: f"hsl({i * 360 // len(CANONICAL)},65%,45%)" for i, m in enumerate(CANONICAL)}
+#: A colour for each type of transition: the hue tells the mode before, the lightness the mode after.
+TYPES = {f"{a}→{b}": f"hsl({i * 360 // len(CANONICAL)},75%,{25 + 8 * j}%)" for i, a in enumerate(CANONICAL) for j, b in enumerate(CANONICAL) if a != b}
+#: Places of a map, from fine to coarse: so many to a degree, and so many cells of ``change_density`` to a side.
+PER_DEGREE, SIDES = (10_000, 2000, 500, 100, 20, 5, 1), (1, 2, 5, 10, 50, 200, 1000)
+#: Wheel and drag change the part of a picture that shows.
+_MOVE = """<script>
+const s = document.querySelector("svg"), v = s.viewBox.baseVal;
+s.addEventListener("wheel", e => {
+  e.preventDefault();
+  const k = e.deltaY > 0 ? 1.2 : 1 / 1.2, r = s.getBoundingClientRect();
+  v.x += (e.clientX - r.left) / r.width * v.width * (1 - k);
+  v.y += (e.clientY - r.top) / r.height * v.height * (1 - k);
+  v.width *= k;
+  v.height *= k;
+}, { passive: false });
+s.addEventListener("pointermove", e => {
+  if (!e.buttons) return;
+  const r = s.getBoundingClientRect();
+  v.x -= e.movementX / r.width * v.width;
+  v.y -= e.movementY / r.height * v.height;
+});
+</script>"""
 _W, _H = 900, 700
 
 
@@ -36,28 +59,41 @@ def _place(rows: list, lat: str, lon: str):
     return lambda r: (20 + (r[lon] - west) / wide * (_W - 40), _H - 20 - (r[lat] - low) / tall * (_H - 40))
 
 
+def _coarse_enough(rows: DataFrame, places: list[list], *kinds: str) -> list:
+    """The finest of the ``places``, lists of columns, that gives LIMIT marks at most."""
+    numbers = rows.agg(*(F.approx_count_distinct(F.struct(*place, *kinds), 0.02).alias(f"n{i}") for i, place in enumerate(places))).first()
+    return next((place for place, n in zip(places, numbers, strict=True) if n <= 0.9 * LIMIT), places[-1])
+
+
 def transition_map(changes: DataFrame, path: str) -> None:
-    """Change points by place, coloured by the mode after, titled by type."""
-    cells = transition_labels(changes).groupBy(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "kind", "mode").agg(F.count("*").alias("n"))
-    total, rows = cells.count(), cells.orderBy(F.desc("n"), "lat", "lon", "kind").limit(LIMIT).collect()
-    xy = _place(rows, "lat", "lon")
-    dots = [f'<circle cx="{xy(r)[0]:.1f}" cy="{xy(r)[1]:.1f}" r="{3 + r.n**0.5:.1f}" fill="{PALETTE.get(r.mode, "gray")}" fill-opacity="0.6"><title>{html.escape(r.kind)}: {r.n}</title></circle>' for r in rows]
-    Path(path).write_text(_page("Mode changes", _svg(dots), f"{len(rows)} of {total} places"), encoding="utf-8")
+    """Change points by place, coloured and titled by the type of transition."""
+    labelled = transition_labels(changes)
+    place = _coarse_enough(labelled, [[((F.floor(F.col(c) * n) + 0.5) / n).alias(c) for c in ("lat", "lon")] for n in PER_DEGREE], "kind")
+    rows = labelled.groupBy(*place, "kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lat", "lon", "kind").collect()
+    xy, by_type = _place(rows, "lat", "lon"), Counter()
+    dots = []
+    for r in rows:
+        x, y = xy(r)
+        by_type[r.kind] += r.n
+        dots.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{3 + r.n**0.25:.1f}" fill="{TYPES.get(r.kind, "gray")}" fill-opacity="0.6"><title>{html.escape(r.kind)}: {r.n}</title></circle>')
+    legend = "".join(f'<li><span style="background:{TYPES.get(k, "gray")}">&emsp;</span> {html.escape(k)}: {n}</li>' for k, n in by_type.most_common())
+    Path(path).write_text(_page("Mode changes", f"{_svg(dots)}<ul>{legend}</ul>{_MOVE}", f"{by_type.total()} changes at {len(rows)} places and types"), encoding="utf-8")
 
 
 def density_map(density: DataFrame, path: str) -> None:
     """Cells of ``change_density``, darker the more changes they hold."""
-    total, rows = density.count(), density.orderBy(F.desc("n"), "lat_cell", "lon_cell").limit(LIMIT).collect()
+    cell = _coarse_enough(density, [[F.floor(F.col(c) / n).alias(c) for c in ("lat_cell", "lon_cell")] for n in SIDES])
+    rows = density.groupBy(*cell).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lat_cell", "lon_cell").collect()
     xy, most = _place(rows, "lat_cell", "lon_cell"), max((r.n for r in rows), default=1)
     cells = [f'<rect x="{xy(r)[0] - 4:.1f}" y="{xy(r)[1] - 4:.1f}" width="8" height="8" fill="crimson" fill-opacity="{0.15 + 0.85 * r.n / most:.2f}"><title>{r.n}</title></rect>' for r in rows]
-    Path(path).write_text(_page("Density of mode changes", _svg(cells), f"{len(rows)} of {total} cells"), encoding="utf-8")
+    Path(path).write_text(_page("Density of mode changes", _svg(cells) + _MOVE, f"{sum(r.n for r in rows)} changes in {len(rows)} cells"), encoding="utf-8")
 
 
 def transition_figure(histogram: DataFrame, path: str) -> None:
     """Bars and a matrix of the transitions; at most 49 rows."""
     rows = histogram.orderBy(F.desc("n"), "prev", "mode").collect()
     most = max((r.n for r in rows), default=1)
-    bars = [f'<rect x="160" y="{20 + 16 * i}" width="{300 * r.n / most:.1f}" height="12" fill="{PALETTE.get(r.mode, "gray")}"/><text x="10" y="{30 + 16 * i}">{html.escape(r.prev)}→{html.escape(r.mode)}</text><text x="{165 + 300 * r.n / most:.1f}" y="{30 + 16 * i}">{r.n}</text>' for i, r in enumerate(rows)]
+    bars = [f'<rect x="160" y="{20 + 16 * i}" width="{300 * r.n / most:.1f}" height="12" fill="{TYPES.get(f"{r.prev}→{r.mode}", "gray")}"/><text x="10" y="{30 + 16 * i}">{html.escape(r.prev)}→{html.escape(r.mode)}</text><text x="{165 + 300 * r.n / most:.1f}" y="{30 + 16 * i}">{r.n}</text>' for i, r in enumerate(rows)]
     counts = {(r.prev, r.mode): r.n for r in rows}
     cell = [f'<rect x="{560 + 45 * j}" y="{60 + 30 * i}" width="43" height="28" fill="steelblue" fill-opacity="{counts.get((a, b), 0) / most:.2f}" stroke="silver"/><text x="{565 + 45 * j}" y="{78 + 30 * i}">{counts.get((a, b), 0)}</text>' for i, a in enumerate(CANONICAL) for j, b in enumerate(CANONICAL)]
     names = [f'<text x="490" y="{78 + 30 * i}">{m}</text><text x="{560 + 45 * i}" y="50" font-size="8">{m}</text>' for i, m in enumerate(CANONICAL)]

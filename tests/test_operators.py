@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -295,14 +296,58 @@ def test_whole_run(spark, tmp_path):
     from modetrace.sources import fixture, readers, writers
 
     sf, out, s = "/root/testdata/sf0.001", str(tmp_path), Settings(trees=5, depth=4)
-    gps, shown, people = (f(spark, sf) for f in (fixture.gps_points, fixture.displacements, fixture.individuals))
+    gps, shown, people = (f(spark, sf) for f in (lambda x, d: fixture.gps_points(x, d, "rides"), lambda x, d: fixture.displacements(x, d, "rides"), fixture.individuals))
     pipeline.train(gps, shown, out, "v1", s)
-    assert pipeline.analyse_all(spark, gps, shown, people, out, "v1", s).count() > 0
-    for name in ("points_changement_map.html", "heatmap_transitions.html", "analyse_transitions.svg", "analyse_demographique_transport.svg"):
-        assert (tmp_path / name).stat().st_size > 100
-    assert readers.user_list(spark, f"{out}/train_users.json").count() == 10
-    writers.cleaned(clean.clean(gps), f"{out}/fichiers_nettoyes")
-    assert readers.gps(spark, f"{out}/fichiers_nettoyes").count() == clean.clean(gps).count()
+    table = pipeline.analyse_all(spark, gps, shown, people, out, "v1", s)
+    want = {r.trip_id: r for r in table.collect()}
+    back = {r.trip_id: r for r in spark.read.option("header", True).csv(f"{out}/trajets_par_utilisateur.csv").collect()}
+    assert want and set(back) == set(want)
+    for k, r in want.items():
+        assert (int(back[k].user_id), back[k].kind, back[k].date, int(back[k].hour), back[k].predicted, back[k].declared) == (r.user_id, r.kind, r.date, r.hour, r.predicted, r.declared)
+        assert r.f1 is None or float(back[k].f1) == pytest.approx(r.f1)
+    changes = spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/points_changement.csv").collect()
+    assert all({"user_id", "trip_id", "seg_id", "t", "lat", "lon", "prev", "mode"} == set(r.asDict()) and r.prev != r["mode"] for r in changes)
+    page = (tmp_path / "points_changement_map.html").read_text()
+    assert f"{len(changes)} changes" in page and sum(map(int, re.findall(r"<title>[A-Z]+→[A-Z]+: ([0-9]+)</title>", page))) == len(changes)
+    heat = (tmp_path / "heatmap_transitions.html").read_text()
+    assert sum(map(int, re.findall(r"<title>([0-9]+)</title></rect>", heat))) == len(changes)
+    figure = (tmp_path / "analyse_transitions.svg").read_text()
+    assert figure.count("→") == len({(r.prev, r["mode"]) for r in changes})
+    assert (tmp_path / "analyse_demographique_transport.svg").read_text().count("<title>") > 0
+    users = {k: {r.user_id for r in readers.user_list(spark, f"{out}/{k}_users.json").collect()} for k in ("train", "test")}
+    assert not users["train"] & users["test"] and users["train"] | users["test"] == {r.user_id for r in gps.select("user_id").distinct().collect()}
+    tidy = clean.clean(gps)
+    writers.cleaned(tidy, f"{out}/fichiers_nettoyes")
+    again = readers.gps(spark, f"{out}/fichiers_nettoyes")
+    assert again.exceptAll(tidy).count() == 0 == tidy.exceptAll(again).count()
+
+
+@pytest.mark.parametrize("form", ["csv", "parquet", "json"])
+def test_readers(spark, tmp_path, form):
+    from modetrace.sources import readers
+
+    trips_of = [(1, 0, 5, 9, "BUS"), (2, 1, 0, 4, None)]
+    people = [(1, "F", 30, "BAC"), (2, None, None, None)]
+    for name, rows, schema, read in (("d", trips_of, readers.DISPLACEMENTS, readers.displacements), ("i", people, readers.INDIVIDUALS, readers.individuals)):
+        spark.createDataFrame(rows, schema).write.format(form).option("header", True).save(str(tmp_path / name))
+        df = read(spark, str(tmp_path / name), form)
+        assert sorted(map(tuple, df.collect())) == rows and df.schema == spark.createDataFrame([], schema).schema
+
+
+def test_maps_count_every_change(spark, tmp_path, monkeypatch):
+    from modetrace.sources import render
+
+    rng = random.Random(5)
+    rows = [(1, "E-1-0", i, i, 48.5 + rng.random(), 2.0 + rng.random(), *rng.sample(CANONICAL, 2)) for i in range(500)]
+    changes = spark.createDataFrame(rows, CHANGE)
+    for limit in (5000, 60):
+        monkeypatch.setattr(render, "LIMIT", limit)
+        render.transition_map(changes, str(tmp_path / "m.html"))
+        render.density_map(analyse.change_density(changes), str(tmp_path / "d.html"))
+        page, heat = (tmp_path / "m.html").read_text(), (tmp_path / "d.html").read_text()
+        assert sum(map(int, re.findall(r"→[A-Z]+: ([0-9]+)</title>", page))) == 500 == sum(map(int, re.findall(r"<title>([0-9]+)</title>", heat)))
+        assert heat.count("<rect") <= limit
+    assert len(set(render.TYPES.values())) == len(render.TYPES) == 42
 
 
 def test_stream_gives_the_batch_trips(spark, tmp_path):
