@@ -1,7 +1,14 @@
 """A training corpus from ``documents``, stage by stage.
 
 Each stage reads what the one before it wrote, works on all of it and hands on
-the columns of ``documents``; the last returns token ids.
+the columns of ``documents``, and any others of any name; the last returns token ids.
+
+A null text is an empty text: the quality rules reject both, and texts of fewer
+than 50 words. Of rows whose texts are near copies, repeated rows among them, the
+one of the least doc_id stays, a null one only if all are, and of equal doc_ids the
+first that was read. Masking keeps every row and nulls as they are. A null source is
+a source of its own, the last. A document that the mix takes twice is two rows, and
+gets its ids twice. Every stage of an empty table is empty.
 """
 
 from __future__ import annotations
@@ -47,7 +54,8 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: SQL can't express the trees, fingerprints or merges: stages are tested against brute force.
+#: SQL can't express the trees, fingerprints or merges: tests/llm/test_pipeline.py has each
+#: stage's rows against plain Python.
 ORACLE_SQL = None
 
 
