@@ -56,13 +56,14 @@ SELECT c_custkey AS user_id, CASE c_nationkey % 2 WHEN 0 THEN 'F' ELSE 'M' END A
 FROM customer
 """
 
-# Rides: a point each 30 s and an hour's pause each 240 points. Each 60 points the
+# Rides: a point each 40 s and an hour's pause each 180 points. Each 45 points the
 # speed changes, and the rider goes out and comes back to near the same station.
 RIDE_TRACE = """
-SELECT user_id, event_id, rn {div} 240 AS blk, reg, w, 1704067200000000 + rn * 30000000 + (rn {div} 240) * 3600000000 AS t,
-       CASE WHEN rn % 60 < 30 THEN 1 ELSE -1 END * (CASE reg WHEN 0 THEN 300 WHEN 1 THEN 1400 WHEN 2 THEN 3000 ELSE 5000 END * (90 + w % 20)) {div} 100 AS st
+SELECT user_id, event_id, rn {div} 180 AS blk, reg, w, 1704067200000000 + rn * 40000000 + (rn {div} 180) * 3600000000 AS t,
+       CASE WHEN rn % 45 < 22 THEN 1 WHEN rn % 45 < 44 THEN -1 ELSE 0 END
+         * (CASE reg WHEN 0 THEN 400 WHEN 1 THEN 1900 WHEN 2 THEN 4000 WHEN 3 THEN 6600 ELSE 9300 END * (90 + w % 20)) {div} 100 AS st
 FROM (
-  SELECT user_id, user_id * 100000 + rn AS event_id, w, rn, (rn {div} 60 + user_id + (rn {div} 240) * user_id) % 4 AS reg
+  SELECT user_id, user_id * 100000 + rn AS event_id, w, rn, ((rn {div} 45) * (rn {div} 45) * 3 + (rn {div} 45) * user_id + user_id) % 5 AS reg
   FROM (
     SELECT l_suppkey AS user_id, l_partkey AS w, cast(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS bigint) AS rn
     FROM lineitem
