@@ -33,7 +33,7 @@ SHARE, TIMES = 1.5, 2
 #: The dynamic program covers so many words; more are first met by whole documents.
 PROGRAM = 1 << 16
 #: Ranges of the hash that a group of equal length is cut into.
-RANGES = 4096
+RANGES, STRIDE = 4096, 64
 SEED = 11
 
 
@@ -160,10 +160,13 @@ def _copies(sized: DataFrame, seed: int, more: tuple[str, ...] = ()) -> DataFram
     spread = F.pmod(mark, F.lit(RANGES)).cast("int")
     partial = takes.where("take > 0 AND take < n").select("source", "__size", "take")
     ranged = sized.select("source", "__size", spread.alias("range")).join(partial, (sized["source"].eqNullSafe(partial["source"])) & (sized["__size"] == partial["__size"])).select(sized["source"], sized["__size"], "range", "take")
-    cells = ranged.groupBy("source", "__size", "range", "take").agg(F.count("*").alias("k"))
-    up_to = Window.partitionBy("source", "__size").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    # at most RANGES rows a length; the range where the count is met is the only one whose documents are ranked
-    met = materialise(cells.withColumn("upto", F.sum("k").over(up_to)).where("upto >= take AND upto - k < take").select("source", "__size", F.col("range").alias("last"), (F.col("take") - F.col("upto") + F.col("k")).alias("need")), "met")
+    cells = materialise(ranged.groupBy("source", "__size", "range", "take").agg(F.count("*").alias("k")).withColumn("part", F.floor(F.col("range") / STRIDE)), "cells")
+    # the range where the count is met is the only one whose documents are ranked; first
+    # the part of the ranges is found, then the range in it, so that a window has few rows
+    whole = ("source", "__size")
+    parts = _met(cells.groupBy(*whole, "part", "take").agg(F.sum("k").alias("k")), whole, "part")
+    inner = _left(cells.drop("take"), parts.select(*whole, F.col("part").alias("own"), F.col("need").alias("take")), whole).where("part = own")
+    met = materialise(_met(inner, (*whole, "part"), "range").select(*whole, F.col("range").alias("last"), "need"), "met")
     plan = materialise(_left(takes, met, ("source", "__size")), "plan")
     joined = _left(sized.withColumn("mark", mark).withColumn("range", spread), plan, ("source", "__size"))
     edge = F.col("range") == F.col("last")
@@ -176,6 +179,13 @@ def _copies(sized: DataFrame, seed: int, more: tuple[str, ...] = ()) -> DataFram
     return out.select(*more, "doc_id", "source", F.col("__size").alias("size"), "source_size", "target", (F.col("whole") + F.col("in").cast("int")).alias("copies"))
 
 
+def _met(cells: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
+    """Of each group's cells, in order, the one with which ``k`` adds up to
+    ``take``; ``need`` is what is missing before it."""
+    up_to = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("upto", F.sum("k").over(up_to)).where("upto >= take AND upto - k < take").withColumn("need", F.col("take") - F.col("upto") + F.col("k"))
+
+
 def _left(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Left join on keys of which the source may be null."""
     renamed = b
