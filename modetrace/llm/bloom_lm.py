@@ -69,7 +69,7 @@ HEAD = 1 << 20
 #: Words a worker knows at once, and tokens it counts before it passes them on.
 KNOWN, HELD = 300_000, 2_000_000
 #: Bytes of text that a worker looks up at once, and n-grams that it probes at once.
-LOOKED_UP, PROBED = 6 << 20, 1 << 18
+LOOKED_UP, PROBED = 4 << 20, 1 << 18
 #: Random lookups in each part that measure its mistakes.
 TRIALS = 1 << 15
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
