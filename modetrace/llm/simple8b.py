@@ -197,7 +197,7 @@ class WordTokenizer:
 
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
     OTHER = re.compile("[^\0-\xff]")
-    MEMO = 120_000
+    MEMO = 60_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -269,7 +269,7 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None,
             held = 0
 
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=2 << 20):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
                     ids = tokenizer.encode(text) + end
                     n = len(ids) // 4
