@@ -47,7 +47,7 @@ ESCAPE = 15
 _PAD = 60
 _COUNT = np.array([0, *(n for n, _ in PACKINGS), 1], dtype=np.int64)
 #: A segment is closed at this many ids.
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 250_000
 END_ID = 2
 NULL_ID = -(1 << 63)
 
