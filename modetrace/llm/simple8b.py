@@ -197,7 +197,7 @@ class WordTokenizer:
 
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
     OTHER = re.compile("[^\0-\xff]")
-    MEMO = 60_000
+    MEMO = 120_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
