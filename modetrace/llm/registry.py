@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe, maxscore, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
+from . import bloom_lm, bpe, fim, maxscore, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
 from .common import table
 
 
@@ -54,9 +54,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op5_mixing, op6_maxscore, op7_secrets, op8_quality, op9_bloom_lm, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op5_mixing, op6_maxscore, op7_secrets, op8_quality, op9_bloom_lm, op10_pii, op13_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_maxscore": maxscore.ORACLE_SQL}
+    return {"op6_maxscore": maxscore.ORACLE_SQL, "op13_fim": fim.ORACLE_SQL}
