@@ -25,6 +25,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -39,14 +40,14 @@ A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Most pairs of which every worker gets the counts.
 FREQUENT = 1 << 20
 #: Bytes of text whose tokens a worker holds at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """The least node of each node's component, for edges (u, v) of n nodes.
     Each round hooks the greater root of an edge to the lesser and then makes
     every node point at its root."""
-    parent = np.arange(n)
+    parent = np.arange(n, dtype=np.int32)
     while len(u):
         ru, rv = parent[u], parent[v]
         apart = ru != rv
@@ -78,16 +79,22 @@ class Aligned(NamedTuple):
         return self.a[last_a], self.b[last_b]
 
 
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    tool.no_truncation()
+    tool.no_padding()
+    tool.encode_special_tokens = True
+    return tool
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path_a)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
+        self.path_a, self._library = path_a, None
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
@@ -114,27 +121,39 @@ class Aligner:
         self.width = n
 
     def encode_a(self, text: str) -> list[int]:
+        """A's ids of a space and the text."""
         if self.quick is None or self.unlike.search(text):
-            return self.library.encode(" " + text, add_special_tokens=False).ids
+            if self._library is None:
+                self._library = _library(self.path_a)
+            return self._library.encode(" " + text, add_special_tokens=False).ids
         return self.quick.encode_ordinary(" " + text)
 
+    def tokens(self, text: str) -> tuple[bytes, bytes]:
+        """The packed ids of both tokenizers; none if they don't spell the text."""
+        if not text:
+            return b"", b""
+        a, b, whole = self.encode_a(text), self.pieces.encode(text, num_threads=1), (" " + text).encode()
+        if not b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
+            return b"", b""
+        return array("i", a).tobytes(), array("i", b).tobytes()
+
     def align(self, found: list[str]) -> Aligned:
-        pairs = []
-        for text in found:
-            a, b = (self.encode_a(text), self.pieces.encode(text, num_threads=1)) if text else ([], [])
-            whole = (" " + text).encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-                a, b = [], []
-            pairs.append((a, b))
-        n_a, n_b = (np.array([len(p[i]) for p in pairs], dtype=np.int64) for i in (0, 1))
-        a, b = (np.array([x for p in pairs for x in p[i]], dtype=np.int64) for i in (0, 1))
+        pairs = [self.tokens(text) for text in found]
+        n_a, n_b = (np.array([len(p[i]) // 4 for p in pairs], dtype=np.int64) for i in (0, 1))
+        a, b = (np.frombuffer(b"".join([p[i] for p in pairs]), dtype=np.int32) for i in (0, 1))
         # both spell the same bytes, so that one line of offsets serves all texts
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        ends = np.union1d(end_a, end_b)
-        roots = components(np.searchsorted(end_a, ends), len(a) + np.searchsorted(end_b, ends), len(a) + len(b))
-        _, group = np.unique(roots, return_inverse=True)  # a component's least node is its first A token
+        size = int(end_a[-1]) + 1 if len(a) else 1
+        ends_a, ends_b = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        ends_a[end_a] = ends_b[end_b] = True
+        ends = np.flatnonzero(ends_a | ends_b)
+        # every stretch between two ends lies in one token of each: an edge
+        of_a, of_b = (np.cumsum(e, dtype=np.int32)[ends] - e[ends] for e in (ends_a, ends_b))
+        roots = components(of_a, len(a) + of_b, len(a) + len(b))
+        first = roots == np.arange(len(roots))  # a component's least node is its first A token
+        group = (np.cumsum(first, dtype=np.int32) - 1)[roots]
         group_a, group_b = group[: len(a)], group[len(a) :]
-        upto = np.concatenate([[0], group_a + 1])[np.cumsum(n_a)] if len(a) else np.zeros(len(n_a), dtype=np.int64)
+        upto = np.concatenate([[0], group_a + 1])[np.cumsum(n_a)]
         return Aligned(a, b, n_a, n_b, group_a, group_b, np.diff(upto, prepend=0))
 
     def digests(self, x: Aligned) -> list[str]:
@@ -177,7 +196,7 @@ def groups(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
         def work(batch):
             x = tool.align(texts(batch))
             count = int(x.groups.sum())
-            lists = {c: _lists(_lists(pa.array(ids, pa.int32()), np.bincount(group, minlength=count)), x.groups) for c, ids, group in (("a", x.a, x.group_a), ("b", x.b, x.group_b))}
+            lists = {c: _lists(_lists(pa.array(ids), np.bincount(group, minlength=count)), x.groups) for c, ids, group in (("a", x.a, x.group_a), ("b", x.b, x.group_b))}
             return {"doc_id": batch.column("doc_id").cast(pa.int64())} | lists
 
         return work
@@ -203,7 +222,7 @@ def links(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
                 "n_b": x.n_b,
                 "n_groups": x.groups,
                 "groups_sha256": tool.digests(x),
-                "links": _lists(pa.array(a << 32 | b), x.groups),
+                "links": _lists(pa.array(a.astype(np.int64) << 32 | b), x.groups),
             }
 
         return work
