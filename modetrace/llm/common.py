@@ -96,7 +96,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     yield batch.slice(begin)
 
 
-def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = SLICE_BYTES) -> DataFrame:
+def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = SLICE_BYTES, column: str = "text") -> DataFrame:
     """Apply a function to every row's text in Arrow slices of about ``limit`` bytes.
 
     ``make`` is called once in each task and returns the function, which gets
@@ -111,7 +111,7 @@ def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
         gc.set_threshold(200_000, 50, 100)  # what a worker remembers isn't garbage; seldom look through it
         work = make()
         for batch in batches:
-            for part in text_slices(batch, limit=limit):
+            for part in text_slices(batch, column, limit):
                 got = work(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
 

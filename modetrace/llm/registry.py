@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bloom_lm, bpe, fim, maxscore, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
+from . import alignment, bloom_lm, bpe, fim, main_text, maxscore, mixing, pii, quality, secret_scan, simhash, simple8b, toxicity
 from .common import table
 
 
@@ -58,12 +58,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.main_text(pages, main_text.fit(pages))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op5_mixing, op6_maxscore, op7_secrets, op8_quality, op9_bloom_lm, op10_pii, op11_alignment, op13_fim)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simple8b, op3_simhash, op4_bpe, op5_mixing, op6_maxscore, op7_secrets, op8_quality, op9_bloom_lm, op10_pii, op11_alignment, op12_main_text, op13_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
