@@ -34,6 +34,8 @@ class Settings:
     spike_mps: float = 50.0
     merge_m: float = 10.0
     merge_s: int = 30
+    # long traces: a user's points are dealt out by so many microseconds
+    block_us: int = 3 * 3600 * 1_000_000
     # trips
     gap_s: int = 600
     stay_m: float = 200.0

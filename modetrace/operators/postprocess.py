@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from modetrace.config import CANONICAL, DEFAULTS, Settings
 from modetrace.operators.labels import canonical, declared_modes
 
-def by_segment():
+TRIP = ("user_id", "trip_id")
+
+
+def by_segment(lane: tuple[str, ...] = TRIP):
     """Segments of a trip in order of time."""
-    return Window.partitionBy("user_id", "trip_id").orderBy("t_start", "seg_id")
+    return Window.partitionBy(*lane).orderBy("t_start", "seg_id")
 
 
 def transition_matrix(predictions: DataFrame) -> DataFrame:
     """(prev, next, n, p): at most 49 rows; p sums to 1 over next."""
-    pairs = predictions.select(F.lag("mode").over(by_segment()).alias("prev"), F.col("mode").alias("next")).where("prev IS NOT NULL")
+    return matrix_of(predictions.select(F.lag("mode").over(by_segment()).alias("prev"), F.col("mode").alias("next")))
+
+
+def matrix_of(pairs: DataFrame) -> DataFrame:
+    """The matrix of (prev, next), a row a segment; its first has no prev."""
+    pairs = pairs.where("prev IS NOT NULL")
     n = pairs.groupBy("prev", "next").agg(F.count("*").alias("n"))
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("prev")))
 
 
-def correct_by_transitions(predictions: DataFrame, matrix: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+def correct_by_transitions(predictions: DataFrame, matrix: DataFrame, s: Settings = DEFAULTS, lane: tuple[str, ...] = TRIP) -> DataFrame:
     """Predictions below tau take the mode with the greatest product of its
     probability and of the transition from the mode before; ties go to the
     later name. Without a mode before, or a transition from it, they stay."""
-    before = predictions.withColumn("prev", F.lag("mode").over(by_segment()))
+    before = predictions.withColumn("prev", F.lag("mode").over(by_segment(lane)))
     rows = matrix.groupBy("prev").agg(F.map_from_entries(F.collect_list(F.struct("next", "p"))).alias("to"))
     joined = before.join(F.broadcast(rows), "prev", "left")  # at most one row a mode
     options = F.array(*(F.struct((F.col(f"p_{m.lower()}") * F.coalesce(F.try_element_at("to", F.lit(m)), F.lit(0.0))).alias("score"), F.lit(m).alias("mode")) for m in CANONICAL))
@@ -33,18 +41,18 @@ def correct_by_transitions(predictions: DataFrame, matrix: DataFrame, s: Setting
     return joined.withColumn("best", best).withColumn("mode", F.when(weak & (F.col("best.score") > 0), F.col("best.mode")).otherwise(F.col("mode"))).select(*predictions.columns)
 
 
-def sliding_majority_vote(predictions: DataFrame, k: int | None = None, s: Settings = DEFAULTS) -> DataFrame:
+def sliding_majority_vote(predictions: DataFrame, k: int | None = None, s: Settings = DEFAULTS, lane: tuple[str, ...] = TRIP) -> DataFrame:
     """The commonest mode of the k segments around, within the trip; edges are
     cut short and ties go to the first name."""
     half = (k or s.vote) // 2
-    around = F.collect_list("mode").over(by_segment().rowsBetween(-half, half))
+    around = F.collect_list("mode").over(by_segment(lane).rowsBetween(-half, half))
     counted = F.transform(F.array_distinct("around"), lambda m: F.struct((-F.size(F.filter("around", lambda x: x == m))).alias("n"), m.alias("mode")))
     return predictions.withColumn("around", around).withColumn("mode", F.array_min(counted)["mode"]).select(*predictions.columns)
 
 
-def fusion_segments(predictions: DataFrame) -> DataFrame:
+def fusion_segments(predictions: DataFrame, lane: tuple[str, ...] = TRIP) -> DataFrame:
     """A, B, A becomes A, A, A; all at once, from the modes as they were."""
-    a, b = F.lag("mode").over(by_segment()), F.lead("mode").over(by_segment())
+    a, b = F.lag("mode").over(by_segment(lane)), F.lead("mode").over(by_segment(lane))
     return predictions.withColumn("mode", F.when((a == b) & (a != F.col("mode")), a).otherwise(F.col("mode")))
 
 
@@ -53,9 +61,9 @@ def normalise_names(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("mode", F.coalesce(canonical(F.col("mode")), F.upper("mode")))
 
 
-def post_process(predictions: DataFrame, matrix: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    corrected = correct_by_transitions(predictions, matrix, s)
-    return normalise_names(fusion_segments(sliding_majority_vote(corrected, s=s)))
+def post_process(predictions: DataFrame, matrix: DataFrame, s: Settings = DEFAULTS, lane: tuple[str, ...] = TRIP) -> DataFrame:
+    corrected = correct_by_transitions(predictions, matrix, s, lane)
+    return normalise_names(fusion_segments(sliding_majority_vote(corrected, s=s, lane=lane), lane))
 
 
 def time_per_mode(predictions: DataFrame) -> DataFrame:

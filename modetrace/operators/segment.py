@@ -17,14 +17,14 @@ def _numbered(df: DataFrame, starts, name: str) -> DataFrame:
     return df.withColumn("__start", F.when(starts(w), 1).otherwise(0)).withColumn(name, F.sum("__start").over(w)).drop("__start")
 
 
-def label_points(trips: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+def label_points(trips: DataFrame, s: Settings = DEFAULTS, lane: tuple[str, ...] = TRIP) -> DataFrame:
     """Walk or other by speed and acceleration. A trip's first point, which
     has no speed, takes the label of the next; alone it is a walk."""
-    moved = with_motion(trips, *TRIP)
+    moved = with_motion(trips, *lane)
     calm = F.coalesce(F.abs("a") <= s.walk_mps2, F.lit(True))
     known = F.when(F.col("v").isNotNull(), F.when((F.col("v") <= s.walk_mps) & calm, "walk").otherwise("other"))
     moved = moved.withColumn("known", known)
-    return moved.withColumn("label", F.coalesce("known", F.lead("known").over(by_time(*TRIP)), F.lit("walk"))).drop("known")
+    return moved.withColumn("label", F.coalesce("known", F.lead("known").over(by_time(*lane)), F.lit("walk"))).drop("known")
 
 
 def runs(labelled: DataFrame) -> DataFrame:
@@ -49,15 +49,22 @@ def merge_short(run: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return runs(kept.drop("size", "long", "run"))
 
 
+def smoothed(trips: DataFrame, s: Settings = DEFAULTS, lane: tuple[str, ...] = TRIP) -> DataFrame:
+    """Points with motion columns, mmps (whole mm/s) and smooth, its mean over three."""
+    moved = with_motion(trips, *lane).withColumn("mmps", F.round(F.col("v") * 1000).cast("long"))
+    three = by_time(*lane).rowsBetween(-1, 1)
+    return moved.withColumn("smooth", F.sum("mmps").over(three) / F.count("mmps").over(three))
+
+
+def speed_break(w, s: Settings = DEFAULTS):
+    before = F.lag("smooth").over(w)
+    return (before > 0) & (F.abs(F.col("smooth") - before) / before >= s.break_rate)
+
+
 def speed_breaks(trips: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Method 2: a new segment where the speed, a mean over three points in
     whole mm/s, changes by break_rate or more."""
-    w = by_time(*TRIP)
-    moved = with_motion(trips, *TRIP).withColumn("mmps", F.round(F.col("v") * 1000).cast("long"))
-    three = w.rowsBetween(-1, 1)
-    smooth = moved.withColumn("smooth", F.sum("mmps").over(three) / F.count("mmps").over(three))
-    before = F.lag("smooth").over(w)
-    return _numbered(smooth, lambda _: (before > 0) & (F.abs(F.col("smooth") - before) / before >= s.break_rate), "seg_id").drop("mmps", "smooth")
+    return _numbered(smoothed(trips, s), lambda w: speed_break(w, s), "seg_id").drop("mmps", "smooth")
 
 
 def segments(trips: DataFrame, method: str = "v1", s: Settings = DEFAULTS, merge: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modetrace.config import DEFAULTS, EARTH_M, Settings
@@ -15,7 +15,7 @@ from modetrace.functions.motion import by_time, with_steps
 POINT = ("user_id", "event_id", "t", "lat", "lon")
 
 
-def _windows(displacements: DataFrame) -> DataFrame:
+def disjoint_windows(displacements: DataFrame) -> DataFrame:
     """The declared windows less what an earlier one covers: disjoint, so that
     the last one to start is the only one a point can lie in."""
     before = Window.partitionBy("user_id").orderBy("t_start", "blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,13 +28,17 @@ def with_windows(points: DataFrame, displacements: DataFrame) -> DataFrame:
     earliest, or null. A merge in order of time: window starts are rows among
     the points, and each point looks back at the last one. One sort by user,
     whatever the number of windows."""
-    starts = _windows(displacements).select("user_id", F.col("t_start").alias("t"), F.struct("blk", "t_end").alias("window"))
+    starts = disjoint_windows(displacements).select("user_id", F.col("t_start").alias("t"), F.struct("blk", "t_end").alias("window"))
     both = points.select(*POINT, F.lit(True).alias("is_point")).unionByName(starts.withColumn("is_point", F.lit(False)), allowMissingColumns=True)
     w = Window.partitionBy("user_id").orderBy("t", "is_point", "event_id")
     last = F.last("window", ignorenulls=True).over(w)
     return both.withColumn("window", last).where("is_point").select(*POINT, F.when(F.col("t") <= F.col("window.t_end"), F.col("window.blk")).alias("blk"))
 
 
+def trip_name(letter: str, number: str) -> Column:
+    return F.concat_ws("-", F.lit(letter), F.col("user_id").cast("string"), F.col(number).cast("string"))
+
+
 def declared_points(points: DataFrame, displacements: DataFrame) -> DataFrame:
     """Points inside a declared window, with its blk."""
     return with_windows(points, displacements).where("blk IS NOT NULL")
@@ -107,7 +111,4 @@ def trips(points: DataFrame, displacements: DataFrame, s: Settings = DEFAULTS, s
         ends = ends | (last("stay") & ~F.col("stay"))
     numbered = found.withColumn("cut", F.when(extra & ends, 1).otherwise(0)).withColumn("n", F.sum("cut").over(by_time("user_id")))
 
-    def named(letter: str, number: str):
-        return F.concat_ws("-", F.lit(letter), F.col("user_id").cast("string"), F.col(number).cast("string"))
-
-    return numbered.select(*POINT, F.when(extra, "extra").otherwise("declared").alias("kind"), F.when(extra, named("E", "n")).otherwise(named("D", "blk")).alias("trip_id"))
+    return numbered.select(*POINT, F.when(extra, "extra").otherwise("declared").alias("kind"), F.when(extra, trip_name("E", "n")).otherwise(trip_name("D", "blk")).alias("trip_id"))

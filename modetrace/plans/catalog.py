@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modetrace.operators import analyse as A
+from modetrace.operators import blocks as B
 from modetrace.operators import clean as C
 from modetrace.operators import labels as L
 from modetrace.operators import model as M
@@ -79,6 +80,17 @@ class Tables:
     def kept_changes(self) -> DataFrame:
         return materialise(self.changes(), "changes")
 
+    def long_features(self, method: str = "v1", split: str | None = None) -> DataFrame:
+        """``features`` with a user's points dealt out by blocks of time."""
+        points = self.points if split is None else L.of_split(self.points, self.split(), split)
+        return features(B.segmented(points, self.displacements, method))
+
+    def long_post(self) -> DataFrame:
+        """``post`` with trips dealt out by blocks; one pass over all users' points."""
+        predicted = materialise(M.rule_predict(self.long_features()), "predicted")
+        train, test = (L.of_split(predicted, self.split(), x) for x in ("train", "test"))
+        return B.post(test, B.transition_matrix(train))
+
     def forest(self, method: str = "v1"):
         """The model of these tables, fitted and saved once a session."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.source, method)
@@ -180,6 +192,9 @@ QUERIES: dict[str, Query] = {
     "a10_sex": _q(lambda t: A.modal_split(t.post(), t.individuals, "sex")),
     "a11_age": _q(lambda t: A.modal_split(t.post(), t.individuals, "age")),
     "a12_diploma": _q(lambda t: A.modal_split(t.post(), t.individuals, "diploma")),
+    "long_features_v1": _rides(lambda t: t.long_features("v1")),
+    "long_features_v2": _rides(lambda t: t.long_features("v2").select("user_id", "trip_id", "seg_id", "hcr", "sr", "vcr", "v_max", "a_max")),
+    "long_post": _rides(lambda t: t.long_post()),
     "rides_points": _rides(lambda t: t.points),
     "rides_displacements": _rides(lambda t: t.displacements),
     "rides_matrix": _rides(lambda t: t.matrix()),

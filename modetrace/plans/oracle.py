@@ -260,6 +260,9 @@ SELECTS: dict[str, str] = {
 #: Queries over the rides, and what they select.
 RIDES: dict[str, str] = {
     **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial")},
+    "long_features_v1": SELECTS["features_v1"],
+    "long_features_v2": SELECTS["features_v2"],
+    "long_post": SELECTS["p10_post"],
     **{f"rides_{k}": SELECTS[v] for k, v in (("points", "fx_points"), ("displacements", "fx_displacements"), ("matrix", "p1_matrix"), ("post", "p10_post"), ("metrics", "p7_metrics"), ("trips", "a5_trips"))},
 }
 
