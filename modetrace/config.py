@@ -63,6 +63,7 @@ class Settings:
     # post-processing
     tau: float = 0.6
     vote: int = 5
+    unseen: float = 1e-6
     # analysis
     cells_per_degree: int = 1000
     radius_m: float = 200.0

@@ -14,6 +14,7 @@ from modetrace.operators import labels as L
 from modetrace.operators import model as M
 from modetrace.operators import postprocess as P
 from modetrace.operators import segment as G
+from modetrace.operators import sequence as Q
 from modetrace.operators import spatial as X
 from modetrace.operators import trips as T
 from modetrace.operators.features import features
@@ -171,6 +172,8 @@ QUERIES: dict[str, Query] = {
     "m7_rule": _q(lambda t: t.rule()),
     "p1_matrix": _q(lambda t: t.matrix()),
     "p2_correct": _q(lambda t: P.correct_by_transitions(t.rule("test"), t.matrix())),
+    "p2_sequence": _rides(lambda t: Q.correct_by_sequence(t.rule("test"), t.matrix())),
+    "p2_sequence_events": _q(lambda t: Q.correct_by_sequence(t.rule("test"), t.matrix())),
     "p3_vote": _q(lambda t: P.sliding_majority_vote(t.rule("test"))),
     "p4_fusion": _q(lambda t: P.fusion_segments(t.rule("test"))),
     "p5_names": _q(lambda t: P.normalise_names(t.rule("test"))),

@@ -98,6 +98,10 @@ def _corrected(source: str) -> str:
       """ + _with_mode(f"{source} LEFT JOIN best USING (user_id, trip_id, seg_id)", "coalesce(better, mode)")
 
 
+def _micro(p: str) -> str:
+    return f"CAST(round(ln(greatest(coalesce({p}, 0.0), {S.unseen})) * 1000000) AS BIGINT)"
+
+
 def _time(source: str) -> str:
     return f"SELECT user_id, mode, us, CASE WHEN sum(us) OVER (PARTITION BY user_id) > 0 THEN 100.0 * CAST(us AS DOUBLE) / CAST(sum(us) OVER (PARTITION BY user_id) AS DOUBLE) END AS pct FROM (SELECT user_id, mode, CAST(sum(t_end - t_start) AS BIGINT) AS us FROM {source} GROUP BY user_id, mode)"
 
@@ -162,6 +166,13 @@ CTES: dict[str, str] = {
     "rule_test": "SELECT * FROM rule WHERE user_id IN (SELECT user_id FROM split WHERE split = 'test')",
     "matrix": f"SELECT prev, next, n, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY prev) AS DOUBLE) AS p FROM (SELECT prev, next, count(*) AS n FROM (SELECT lag(mode) OVER ({WS}) AS prev, mode AS next FROM rule_train) WHERE prev IS NOT NULL GROUP BY prev, next)",
     "corrected": _corrected("rule_test"),
+    # the best sequence of a trip: forward over its segments, then back from the last one
+    "step_rows": f"SELECT *, row_number() OVER ({WS}) AS r, count(*) OVER (PARTITION BY user_id, trip_id) AS size_ FROM rule_test",
+    "step_logs": " UNION ALL ".join(f"SELECT user_id, trip_id, r, size_, '{m}' AS m, {_micro(p)} AS w FROM step_rows WHERE confidence < {S.tau} OR mode = '{m}'" for m, p in P.items()),
+    "move_logs": f"SELECT a.m AS prev, b.m AS next, {_micro('x.p')} AS w FROM (SELECT unnest({list(CANONICAL)}) AS m) a CROSS JOIN (SELECT unnest({list(CANONICAL)}) AS m) b LEFT JOIN matrix x ON x.prev = a.m AND x.next = b.m",
+    "forward": "SELECT user_id, trip_id, r, size_, m, w AS score, '' AS back FROM step_logs WHERE r = 1 UNION ALL SELECT n.user_id, n.trip_id, n.r, n.size_, n.m, max({'s': f.score + v.w, 'k': f.m}).s + any_value(n.w), max({'s': f.score + v.w, 'k': f.m}).k FROM forward f JOIN step_logs n ON n.user_id = f.user_id AND n.trip_id = f.trip_id AND n.r = f.r + 1 JOIN move_logs v ON v.prev = f.m AND v.next = n.m GROUP BY n.user_id, n.trip_id, n.r, n.size_, n.m",
+    "backward": "SELECT user_id, trip_id, r, max({'s': score, 'k': m}).k AS m FROM forward WHERE r = size_ GROUP BY user_id, trip_id, r UNION ALL SELECT f.user_id, f.trip_id, b.r - 1, f.back FROM backward b JOIN forward f ON f.user_id = b.user_id AND f.trip_id = b.trip_id AND f.r = b.r AND f.m = b.m WHERE b.r > 1",
+    "sequenced": _with_mode("step_rows JOIN (SELECT user_id, trip_id, r, m FROM backward) USING (user_id, trip_id, r)", "CASE WHEN confidence < " + str(S.tau) + " THEN m ELSE mode END"),
     "voted": _voted("corrected"),
     "fused": _fused("voted"),
     "post": _named("fused"),
@@ -191,7 +202,7 @@ CTES: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT user_id, trip_id, seg_id, cluster, '{m}' AS m, {p} AS p FROM placed_rule WHERE confidence < {S.tau} AND cluster IS NOT NULL" for m, p in P.items())
     + ") l LEFT JOIN shares s ON s.cluster = l.cluster AND s.mode = l.m)) WHERE k = 1 AND score > 0",
 }
-RECURSIVE = {"stay_anchors", "core_reach"}
+RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward"}
 
 _POINT = "user_id, event_id, t, lat, lon"
 _SEG = "user_id, event_id, trip_id"
@@ -232,6 +243,8 @@ SELECTS: dict[str, str] = {
     "m7_rule": f"SELECT {RESULT} FROM rule",
     "p1_matrix": "SELECT prev, next, n, p FROM matrix",
     "p2_correct": f"SELECT {RESULT} FROM corrected",
+    "p2_sequence": f"SELECT {RESULT} FROM sequenced",
+    "p2_sequence_events": f"SELECT {RESULT} FROM sequenced",
     "p3_vote": f"SELECT {RESULT} FROM ({_voted('rule_test')})",
     "p4_fusion": f"SELECT {RESULT} FROM ({_fused('rule_test')})",
     "p5_names": f"SELECT {RESULT} FROM ({_named('rule_test')})",
@@ -259,7 +272,7 @@ SELECTS: dict[str, str] = {
 
 #: Queries over the rides, and what they select.
 RIDES: dict[str, str] = {
-    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial")},
+    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence")},
     "long_features_v1": SELECTS["features_v1"],
     "long_features_v2": SELECTS["features_v2"],
     "long_post": SELECTS["p10_post"],
