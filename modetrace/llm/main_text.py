@@ -65,7 +65,7 @@ KINDS = ("p pre blockquote", "h1 h2 h3 h4 h5 h6", "li dd dt", "ul ol dl menu", "
 _KIND = {t: i for i, k in enumerate(KINDS) for t in k.split()}
 _MARKS = re.compile(r"[.!?…。]")
 _LEAD = re.compile(r"\W*(?:\d+\W+)?(?:comment|kommentar|comentari|repl(?:y|ies)|antwort|respuesta|réponse|leave a|discussion)", re.I)
-_STATED = re.compile(r"cookie|©|\(c\) |copyright|powered by|all rights reserved|advert|sponsored|anzeige|werbung|publicité|publicidad|subscribe|newsletter|sign up|log in", re.I)
+_STATED = ("cookie", "©", "(c) ", "copyright", "powered by", "all rights reserved", "advert", "sponsored", "anzeige", "werbung", "publicité", "publicidad", "subscribe", "newsletter", "sign up", "log in")
 N_FEATURES = 30 + 3 * len(TOKENS) + 2 * len(KINDS)
 
 
@@ -111,7 +111,7 @@ class Page:
         stop = np.array([t.rstrip()[-1:] in (".", "!", "?", "…", ":", '"', "”", "»") for t in texts], dtype=float)
         linked = np.minimum(np.array([x.linked for x in nodes], dtype=float), chars)
         lead = np.array([bool(t) and bool(_LEAD.match(t)) for t in texts], dtype=float)
-        stated = np.array([bool(t) and bool(_STATED.search(t)) for t in texts], dtype=float)
+        stated = np.array([bool(t) and any(w in low for low in (t.lower(),) for w in _STATED) for t in texts], dtype=float)
         tags = np.array([_KIND.get(x.tag, 12) for x in nodes])
         kind = tags[:, None] == np.arange(len(KINDS))
         of = np.array([_GROUPS_OF[x.names] if x.names else 0 for x in nodes], dtype=np.int64)
