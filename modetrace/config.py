@@ -46,6 +46,9 @@ class Settings:
     max_segment_s: int = 600
     short_points: int = 3
     break_rate: float = 0.26
+    # optimal breaks: what a part costs, in (mm/s)2, and how many points are searched at once
+    break_penalty: int = 60_000_000
+    break_points: int = 4096
     # features
     heading_deg: float = 19.0
     stop_mps: float = 3.4

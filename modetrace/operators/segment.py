@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modetrace.config import DEFAULTS, Settings
 from modetrace.functions.motion import by_time, with_motion
+from modetrace.operators.breaks import optimal_breaks
 
 TRIP = ("user_id", "trip_id")
 
@@ -67,11 +68,12 @@ def speed_breaks(trips: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return _numbered(smoothed(trips, s), lambda w: speed_break(w, s), "seg_id").drop("mmps", "smooth")
 
 
-def segments(trips: DataFrame, method: str = "v1", s: Settings = DEFAULTS, merge: bool = False) -> DataFrame:
-    """Points with motion columns and seg_id, by method 'v1' or 'v2'."""
+def segments(trips: DataFrame, method: str = "v1", s: Settings = DEFAULTS, merge: bool = False, optimal: bool = False) -> DataFrame:
+    """Points with motion columns and seg_id, by method 'v1' or 'v2'; the breaks of
+    v2 are steps of the speed or, with ``optimal``, the best change points."""
     if method == "v1":
         run = runs(label_points(trips, s))
         return sub_segments(merge_short(run, s) if merge else run, s)
     if method == "v2":
-        return speed_breaks(trips, s)
+        return optimal_breaks(trips, s) if optimal else speed_breaks(trips, s)
     raise ValueError(f"method is 'v1' or 'v2', not {method!r}")

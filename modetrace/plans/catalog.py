@@ -154,6 +154,8 @@ QUERIES: dict[str, Query] = {
     "g8_sub": _q(lambda t: G.segments(t.trips(), "v1").select(*SEG, "seg_id")),
     "g9_short": _q(lambda t: G.merge_short(G.runs(G.label_points(t.trips()))).select(*SEG, "label", "run")),
     "g10_breaks": _q(lambda t: G.segments(t.trips(), "v2").select(*SEG, "seg_id")),
+    "g10_optimal": _rides(lambda t: G.segments(t.trips(), "v2", optimal=True).select(*SEG, "seg_id")),
+    "g10_optimal_features": _rides(lambda t: features(G.segments(t.trips(), "v2", optimal=True)).select("user_id", "trip_id", "seg_id", "hcr", "sr", "vcr", "v_max", "a_max")),
     **{f"f{i}_{n}": _feature(n) for i, n in enumerate(FEATURES, 1)},
     "features_v1": _q(lambda t: t.features("v1")),
     "features_v2": _q(lambda t: t.features("v2").select("user_id", "trip_id", "seg_id", "hcr", "sr", "vcr", "v_max", "a_max")),

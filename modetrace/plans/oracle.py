@@ -156,6 +156,14 @@ CTES: dict[str, str] = {
     "merged": _starts("merged_label", WT, "label <> lag(label) OVER w", "run"),
     "smooth": f"SELECT *, CAST(sum(mm_) OVER w3 AS DOUBLE) / nullif(count(mm_) OVER w3, 0) AS smooth_ FROM (SELECT *, CAST(round(v * 1000) AS BIGINT) AS mm_ FROM trip_motion) WINDOW w3 AS ({WT} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
     "breaks": _starts("smooth", WT, f"lag(smooth_) OVER w > 0 AND abs(smooth_ - lag(smooth_) OVER w) / lag(smooth_) OVER w >= {S.break_rate}", "seg_id"),
+    # the best cut of a trip: forward over its points with lists of what is best so far, then back
+    "speeds": f"SELECT user_id, trip_id, event_id, row_number() OVER ({WT}) AS r, CAST(round(v * 1000) AS BIGINT) AS x FROM trip_motion",
+    "profiles": "SELECT user_id, trip_id, count(*) AS size_, list_prepend(CAST(0 AS HUGEINT), list(c ORDER BY r)) AS c, list_prepend(CAST(0 AS HUGEINT), list(s ORDER BY r)) AS s, list_prepend(CAST(0 AS HUGEINT), list(q ORDER BY r)) AS q FROM (SELECT user_id, trip_id, r, CAST(sum(CASE WHEN x IS NULL THEN 0 ELSE 1 END) OVER w AS HUGEINT) AS c, CAST(sum(coalesce(x, 0)) OVER w AS HUGEINT) AS s, CAST(sum(coalesce(x * x, 0)) OVER w AS HUGEINT) AS q FROM speeds WINDOW w AS (PARTITION BY user_id, trip_id ORDER BY r)) GROUP BY user_id, trip_id",
+    "cutting": f"SELECT user_id, trip_id, CAST(0 AS BIGINT) AS j, [CAST(0 AS DOUBLE)] AS best, [CAST(0 AS BIGINT)] AS back FROM profiles UNION ALL SELECT user_id, trip_id, j + 1, list_append(best, w.v + {S.break_penalty}), list_append(back, w.i) FROM (SELECT k.user_id, k.trip_id, k.j, k.best, k.back, list_min(list_transform(range(0, k.j + 1), lambda i: {{'v': k.best[i + 1] + CASE WHEN p.c[k.j + 2] > p.c[i + 1] THEN round_even(CAST(p.q[k.j + 2] - p.q[i + 1] AS DOUBLE) - CAST((p.s[k.j + 2] - p.s[i + 1]) AS DOUBLE) * CAST((p.s[k.j + 2] - p.s[i + 1]) AS DOUBLE) / CAST(p.c[k.j + 2] - p.c[i + 1] AS DOUBLE), 0) ELSE 0 END, 'i': i}})) AS w FROM cutting k JOIN profiles p ON p.user_id = k.user_id AND p.trip_id = k.trip_id WHERE k.j < p.size_)",
+    "cut_places": "SELECT k.user_id, k.trip_id, k.j AS place, k.back FROM cutting k JOIN profiles p ON p.user_id = k.user_id AND p.trip_id = k.trip_id AND p.size_ = k.j UNION ALL SELECT user_id, trip_id, back[place + 1], back FROM cut_places WHERE place > 0",
+    "cut_numbers": "SELECT user_id, trip_id, event_id, CAST((SELECT count(*) FROM cut_places c WHERE c.user_id = m.user_id AND c.trip_id = m.trip_id AND c.place > 0 AND c.place < m.r) AS BIGINT) AS seg_id FROM speeds m",
+    "seg_optimal": "SELECT m.*, n.seg_id FROM trip_motion m JOIN cut_numbers n USING (user_id, trip_id, event_id)",
+    "features_optimal": _features("seg_optimal"),
     "features_v1": _features("seg_v1"),
     "features_v2": _features("breaks"),
     "users": "SELECT DISTINCT user_id FROM points",
@@ -202,7 +210,7 @@ CTES: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT user_id, trip_id, seg_id, cluster, '{m}' AS m, {p} AS p FROM placed_rule WHERE confidence < {S.tau} AND cluster IS NOT NULL" for m, p in P.items())
     + ") l LEFT JOIN shares s ON s.cluster = l.cluster AND s.mode = l.m)) WHERE k = 1 AND score > 0",
 }
-RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward"}
+RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward", "cutting", "cut_places"}
 
 _POINT = "user_id, event_id, t, lat, lon"
 _SEG = "user_id, event_id, trip_id"
@@ -228,6 +236,8 @@ SELECTS: dict[str, str] = {
     "g8_sub": f"SELECT {_SEG}, seg_id FROM seg_v1",
     "g9_short": f"SELECT {_SEG}, label, run FROM merged",
     "g10_breaks": f"SELECT {_SEG}, seg_id FROM breaks",
+    "g10_optimal": f"SELECT {_SEG}, seg_id FROM seg_optimal",
+    "g10_optimal_features": "SELECT user_id, trip_id, seg_id, hcr, sr, vcr, v_max, a_max FROM features_optimal",
     **{f"f{i}_{n}": f"SELECT user_id, trip_id, seg_id, {n} FROM features_v1" for i, n in enumerate(("hcr", "sr", "vcr", "v_max", "v_median", "v_p99", "a_max", "share_fast", "share_very_fast", "duration_us", "length_m"), 1)},
     "features_v1": "SELECT * FROM features_v1",
     "features_v2": "SELECT user_id, trip_id, seg_id, hcr, sr, vcr, v_max, a_max FROM features_v2",
@@ -272,7 +282,7 @@ SELECTS: dict[str, str] = {
 
 #: Queries over the rides, and what they select.
 RIDES: dict[str, str] = {
-    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence")},
+    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence", "g10_optimal", "g10_optimal_features")},
     "long_features_v1": SELECTS["features_v1"],
     "long_features_v2": SELECTS["features_v2"],
     "long_post": SELECTS["p10_post"],
