@@ -1,8 +1,7 @@
 """Distance, speed, acceleration and heading between neighbouring points.
 
-Distances are rounded to millimetres, headings to a thousandth of a degree and
-accelerations to a millionth before anything compares them, so that results do
-not hang on the last bit of a sine.
+Distances are rounded to millimetres and headings to a thousandth of a degree before
+anything compares them, so that results do not hang on the last bit of a sine.
 """
 
 from __future__ import annotations
@@ -45,7 +44,7 @@ def with_motion(points: DataFrame, *partition: str) -> DataFrame:
     moved = with_steps(points, *partition).withColumn("heading", heading_deg(lat, lon, F.col("lat"), F.col("lon")))
     v0, turn = F.lag("v").over(w), F.abs(F.col("heading") - F.lag("heading").over(w))
     return (
-        moved.withColumn("a", F.when(F.col("dt_us") > 0, F.round((F.col("v") - v0) / (F.col("dt_us") / 1e6), 6)))
+        moved.withColumn("a", F.when(F.col("dt_us") > 0, (F.col("v") - v0) / (F.col("dt_us") / 1e6)))
         .withColumn("dh", F.round(F.least(turn, 360 - turn), 3))
         .withColumn("vrate", F.when(v0 > 0, F.abs(F.col("v") - v0) / v0))
     )

@@ -27,7 +27,7 @@ def _steps(source: str, window: str) -> str:
 
 
 def _motion(source: str, window: str) -> str:
-    return f"""SELECT *, CASE WHEN dt_us > 0 THEN round((v - v0) / (CAST(dt_us AS DOUBLE) / 1e6), 6) END AS a,
+    return f"""SELECT *, CASE WHEN dt_us > 0 THEN (v - v0) / (CAST(dt_us AS DOUBLE) / 1e6) END AS a,
         round(least(turn, 360 - turn), 3) AS dh, CASE WHEN v0 > 0 THEN abs(v - v0) / v0 END AS vrate FROM (
       SELECT *, lag(v) OVER w AS v0, abs(heading - lag(heading) OVER w) AS turn FROM (
         SELECT *, round(degrees(atan2(sin(radians(lon - plon)) * cos(radians(lat)),
