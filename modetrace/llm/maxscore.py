@@ -9,9 +9,10 @@ bound first, only for vectors that can still reach the k-th score. Each task
 carries its k best on from shard to shard; the tasks' results are merged.
 
 Components become floor(256 x). Vectors that are null or hold a null or
-non-finite component, and rows with a null vec_id, take no part. Vectors with a
-component beyond LARGEST are scored in Python integers; a score that is no
-BIGINT is an error. A component that a shorter vector lacks is 0. Ties go to the
+non-finite component, and rows with a null vec_id, take no part. Sums are doubles
+where the query's and the vector's sizes, over all dimensions, keep every partial sum
+below EXACT; elsewhere they are 64-bit integers, or Python's; a score that is no BIGINT
+is an error. A component that a shorter vector lacks is 0. Ties go to the
 smaller vec_id. Every row is a query or candidate of its own, also where vec_ids
 or whole rows repeat: a query gets one more than k rows, and of those that are
 like itself one is dropped; of equal query rows one is searched for.
@@ -19,6 +20,8 @@ like itself one is dropped; of equal query rows one is searched for.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 SCALE = 256
-#: Where scaled components stay below this, scores are exact in doubles.
+#: Sums of products below these are exact in doubles, and in 64-bit integers; half the
+#: true bounds, as they are compared with sums of doubles.
+EXACT, LONG = 2.0**52, 2.0**62
+#: Queries with a component beyond this are searched for apart, so that they don't slow the others.
 LARGEST = 1 << 20
-#: Queries a pass broadcasts, and vectors a shard holds.
-QUERIES, SHARD = 4096, 4096
+#: Queries a pass broadcasts, vectors a shard holds, and numbers it holds.
+QUERIES, SHARD, NUMBERS = 4096, 4096, 1 << 22
 QUERY_EVERY, K = 50, 5
 
 
@@ -111,6 +117,19 @@ def scaled(vector: list[float]) -> list[int]:
     return [int(x) * SCALE if abs(x) >= 1 << 52 else int(np.floor(x * SCALE)) for x in vector]
 
 
+def _products(query: np.ndarray, integers: list[int], matrix: np.ndarray, lists) -> np.ndarray:
+    """Exact scores of rows of whole numbers; ``lists(i)`` are those of row i."""
+    dims = min(len(query), matrix.shape[1])
+    q, m = query[:dims], matrix[:, :dims]
+    with np.errstate(over="ignore", invalid="ignore"):
+        short = np.abs(m) @ np.abs(q) < LONG
+        scores = np.where(short[:, None] & (q != 0), m, 0.0).astype(np.int64) @ np.where(np.abs(q) < LONG, q, 0.0).astype(np.int64)
+    rest = np.flatnonzero(~short)
+    if len(rest):
+        scores[rest] = _exact(integers, [lists(i) for i in rest.tolist()])
+    return scores
+
+
 def _exact(query: list[int], lists: list[list[int]]) -> np.ndarray:
     scores = [sum(a * b for a, b in zip(query, v, strict=False)) for v in lists]
     if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
@@ -118,16 +137,22 @@ def _exact(query: list[int], lists: list[list[int]]) -> np.ndarray:
     return np.array(scores, dtype=np.int64)
 
 
-def _matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(floor(256 x) of each list as a row, zeros after its end; whether the row
-    has a component beyond LARGEST)."""
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """floor(256 x) of each list as a row, zeros after its end."""
     ends = lists.offsets.to_numpy()
     size = np.diff(ends)
     inside = np.arange(size.max(initial=0)) < size[:, None]
     out = np.zeros(inside.shape)
     with np.errstate(over="ignore"):
         out[inside] = np.floor(lists.values.to_numpy()[ends[0] : ends[-1]] * SCALE)
-    return out, (np.abs(out) >= LARGEST).any(axis=1)
+    return out
+
+
+def shard_rows(lists: pa.ListArray, start: int) -> int:
+    """How many vectors from a place make a shard, by the longest of them."""
+    sizes = np.diff(lists.offsets.to_numpy())[start : start + SHARD]
+    longest = np.maximum(np.maximum.accumulate(sizes), 1)
+    return max(1, int(np.searchsorted(longest * np.arange(1, len(longest) + 1), NUMBERS, side="right")))
 
 
 class Queries:
@@ -137,7 +162,10 @@ class Queries:
     def __init__(self, rows: list):
         self.ids, self.lists, self.times = [r.vec_id for r in rows], [scaled(r.v) for r in rows], [r.times for r in rows]
         self.own = [int(_exact(v, [v])[0]) for v in self.lists]
-        self.matrix, self.wide = _matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())))
+        self.matrix = _matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())))
+        self.wide = (np.abs(self.matrix) >= LARGEST).any(axis=1)
+        #: the most that a query searched for in shards has in each dimension
+        self.most = np.abs(self.matrix[~self.wide]).max(axis=0, initial=0.0)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
@@ -160,22 +188,29 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
             sought = sent.value
             top = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(sought.ids)
             for batch in batches:
-                for start in range(0, batch.num_rows, SHARD):
-                    part = batch.slice(start, SHARD)
+                start = 0
+                while start < batch.num_rows:
+                    rows = shard_rows(batch.column("v"), start)
+                    part = batch.slice(start, rows)
+                    start += rows
                     all_ids = part.column("vec_id").to_numpy()
-                    matrix, wide = _matrix(part.column("v"))
-                    at = np.flatnonzero(wide | sought.wide.any())
-                    lists = {i: scaled(part.column("v")[i].as_py()) for i in at.tolist()}
-                    shard = Shard(all_ids[~wide], matrix[~wide])
+                    matrix = _matrix(part.column("v"))
+                    dims = min(matrix.shape[1], len(sought.most))
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        near = np.abs(matrix[:, :dims]) @ sought.most[:dims] < EXACT
+                    far = np.flatnonzero(~near)
+                    lists = functools.lru_cache(maxsize=None)(lambda i, part=part: scaled(part.column("v")[i].as_py()))
+                    shard = Shard(all_ids[near], matrix[near])
                     for i, query in enumerate(sought.matrix):
                         ids, scores = top[i]
                         # just below the last score, which may be no double
                         least = np.nextafter(float(scores[-1]), -np.inf) if len(scores) > k else -np.inf
                         more_ids, more = (all_ids[:0], scores[:0]) if sought.wide[i] else shard.search(query, k + 1, least)
                         more = more.astype(np.int64)
-                        left = at if sought.wide[i] else np.flatnonzero(wide)
+                        left = np.arange(len(all_ids)) if sought.wide[i] else far
                         if len(left):
-                            more_ids, more = np.concatenate((more_ids, all_ids[left])), np.concatenate((more, _exact(sought.lists[i], [lists[j] for j in left.tolist()])))
+                            scores_left = _products(query, sought.lists[i], matrix[left], lambda j, left=left, lists=lists: lists(int(left[j])))
+                            more_ids, more = np.concatenate((more_ids, all_ids[left])), np.concatenate((more, scores_left))
                         if len(more):
                             top[i] = best(np.concatenate((ids, more_ids)), np.concatenate((scores, more)), k + 1)
             for i in range(0, len(top), 1000):

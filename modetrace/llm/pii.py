@@ -12,7 +12,10 @@ its kind adds nothing.
 At and dot in bare words are an address only together: 'name at host dot end',
 in words of one language; the end must look like one (two letters or more), and
 where the dots are signs, so that only 'at' speaks for an address, be of two
-letters or a common one. 'at the ...' starts no host.
+letters or a common one. 'at the ...' starts no host. The English 'at' with plain dots
+('he works at example.com') needs a word for mail near it, and a name before it that is
+no pronoun or verb of the list: prose stays, and a disguise without such a word is
+missed.
 
 Null and empty texts have no spans; ``redact`` leaves them as they are.
 """
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts, text_slices
-from .spans import Span, digests as span_digests, find_spans, in_order
+from .spans import Span, Within, digests as span_digests, find_spans, in_order
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,8 +83,8 @@ _SPELLED = re.compile(rf"(?<![^\W_]){_DIGIT}(?:[\x20,.-]{{1,2}}{_DIGIT}){{{RUN -
 _DIGIT_PART = re.compile(_DIGIT, re.IGNORECASE)
 _PLUS = re.compile(r"(?<![^\W_])plus\x20+(?=[0-9])", re.IGNORECASE)
 _AT, _DOT = r"(?:at|ät|arobase|arroba|chez|@)", r"(?:dot|punkt|point|punto|\.)"
-_BRACKETED_AT = re.compile(rf"\x20*[\[({{<]\x20*{_AT}\x20*[\])}}>]\x20*", re.IGNORECASE)
-_BRACKETED_DOT = re.compile(rf"\x20*[\[({{<]\x20*{_DOT}\x20*[\])}}>]\x20*", re.IGNORECASE)
+_BRACKETED_AT = re.compile(rf"[\[({{<]\x20*{_AT}\x20*[\])}}>]\x20*", re.IGNORECASE)
+_BRACKETED_DOT = re.compile(rf"[\[({{<]\x20*{_DOT}\x20*[\])}}>]\x20*", re.IGNORECASE)
 _BRACKET = re.compile(r"[\[({<]")
 #: At in bare words, and the words for a dot that go with it.
 _DOTS_OF = {"at": ("dot", "punkt"), "ät": ("dot", "punkt"), "arobase": ("dot", "point"), "arroba": ("dot", "punto")}
@@ -93,6 +96,11 @@ _DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
 _END = re.compile(r"(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)\Z")
 # Common ends of addresses, and words that follow 'at' in prose.
 COMMON_ENDS = frozenset("com org net edu gov mil int info biz name dev app pro museum jobs mobi travel online site shop blog cloud email".split())
+#: With 'at' and plain dots only: how near a word for mail must be, words that are no name there, and ends of files.
+NEAR = 60
+_MAIL = re.compile(r"(?<![^\W_])(?:e-?mails?|mails?|mailto|contact|write|reach|address|inbox|gmail|kontakt|schreib|mailadresse|adresse|courriel|écri|ecri|contacter|correo|escrib|contacto|dirección)", re.IGNORECASE)
+NO_NAME = frozenset("i me you he him she her it we us they them one who that this these those and or but not is am are was were be been being do does did work works worked working look looks looked looking meet meets met stay stays stayed live lives lived visit visits visited arrive arrives arrived sit sits sat find found shop shops buy bought read reads see seen call calls called only also now here there all both available online hosted held sold based".split())
+FILE_ENDS = frozenset("py sh rs md js ts rb cs go pl cc hh mm vb".split())
 NO_HOST = frozenset("a an the this that these those his her its my your our their some any each every no which what one".split())
 
 
@@ -193,6 +201,23 @@ def _back(text: str, at: int, floor: int, inside) -> int:
     return at
 
 
+def _bracketed(pattern: re.Pattern, text: str, new: str) -> list[tuple[int, int, str]]:
+    """Edits of a sign in brackets, with the spaces around it."""
+    edits, floor = [], 0
+    for m in pattern.finditer(text):
+        edits.append((_back(text, m.start(), floor, " ".__eq__), m.end(), new))
+        floor = m.end()
+    return edits
+
+
+def _in_prose(text: str, start: int, end: int, host: str) -> bool:
+    """Whether 'word at host.end' with a plain dot is prose: no word for mail is
+    near, the word before 'at' is one that prose has there, or the host is a file."""
+    if text[start:end].lower() in NO_NAME or host.count(".") == 1 and host.rsplit(".", 1)[1].lower() in FILE_ENDS:
+        return True
+    return not _MAIL.search(text, max(0, start - NEAR), start) and not _MAIL.search(text, end, end + NEAR)
+
+
 def _local_start(text: str, end: int, floor: int) -> tuple[int, list[tuple[int, int]]]:
     """Where the local part that ends at ``end`` starts, and its dots in words."""
     start, dots = _back(text, end, floor, _LOCAL.__contains__), []
@@ -222,6 +247,8 @@ def _addresses_in_words(text: str) -> list[tuple[int, int, str]]:
             if host.group(1).lower() in NO_HOST or not dots and not (end.islower() and (len(end) == 2 or end in COMMON_ENDS)):
                 continue
         start, before = _local_start(text, m.start(), floor)
+        if word == "at" and not m.group(2) and not dots and not before and _in_prose(text, start, m.start(), host.group()):
+            continue
         if start == m.start() or m.group() == "@" and not dots and not before:
             continue
         edits += [(a, b, ".") for a, b in before] + [(*m.span(), "@")] + [(a, b, ".") for a, b in dots]
@@ -238,8 +265,8 @@ def rewrite(text: str) -> Rewritten | None:
     out.replace([(*m.span(), "".join(DIGIT_WORDS.get(p.lower(), p) for p in _DIGIT_PART.findall(m.group()))) for m in _SPELLED.finditer(out.text) if any(c.isalpha() for c in m.group())])
     out.replace([(*m.span(), "+") for m in _PLUS.finditer(out.text)])
     if _BRACKET.search(out.text):
-        out.replace([(*m.span(), "@") for m in _BRACKETED_AT.finditer(out.text)])
-        out.replace([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(out.text)])
+        out.replace(_bracketed(_BRACKETED_AT, out.text, "@"))
+        out.replace(_bracketed(_BRACKETED_DOT, out.text, "."))
     out.replace(_addresses_in_words(out.text))
     return out if out.text != text else None
 
@@ -249,9 +276,10 @@ def find_in(text: str) -> list[Span]:
     found: list[Span] = [(k, a, b, True) for k, a, b in base]
     clear = rewrite(text)
     if clear is not None:
+        known = Within(base)
         for kind, a, b in identifiers(clear.text):
             a, b = clear.back(a, b)
-            if not any(kind == k and x <= a and b <= y for k, x, y in base):
+            if not known(kind, a, b):
                 found.append((kind, a, b, False))
     return in_order(found, KINDS) if len(found) > 1 else found
 

@@ -17,7 +17,7 @@ of escapes.
 
 Null texts count as empty; every document gets the end id, so the fewest ids
 of a document are one. Null doc_ids come first; equal doc_ids are ordered by
-text. An empty table gives no shard.
+a hash of the text, then by the text. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -228,10 +228,31 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+#: Schemes that Spark's file systems and pyarrow's both know, and how pyarrow spells them.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def place_of(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI that every worker reads the same way: without a scheme it
+    lies where Spark itself would put it. A file system that workers can't write to
+    is an error here, before any work."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = path.toUri().getScheme()
+    if scheme is None:
+        path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+        scheme = path.toUri().getScheme()
+    if scheme not in SCHEMES:
+        raise ValueError(f"shards can't be written to {folder!r}: {scheme} isn't one of {', '.join(SCHEMES)}")
+    uri = path.toUri().toString()
+    if scheme == "file":
+        return "file://" + path.toUri().getPath()
+    return SCHEMES[scheme] + uri[len(scheme) :]
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def encode(docs: DataFrame, path: str | None = None, folder: str | None = None, end_id: int = END_ID) -> list[tuple[str, int, int]]:
@@ -244,14 +265,14 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None,
     or repeated task leaves at most an unlisted file.
     """
     spark = docs.sparkSession
-    folder = folder or shared_folder(spark, "simple8b")
+    folder = place_of(spark, folder or shared_folder(spark, "simple8b"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path or tokenizer_path("word_bpe_49k.json"))
         filesystem, place = _filesystem(folder)
         shard = TaskContext.get().partitionId()
-        file = f"{place}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.s8b"
+        file = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.s8b"
         out, docs_in, ids_in = None, 0, 0
         pending: tuple[list, list, list] = ([], [], [])
         held = 0
@@ -262,7 +283,7 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None,
                 return
             if out is None:
                 filesystem.create_dir(place, recursive=True)
-                out = filesystem.open_output_stream(file)
+                out = filesystem.open_output_stream(f"{place}/{file}")
             write_segment(out, pending[0], pending[1], np.frombuffer(b"".join(pending[2]), dtype="<u4"))
             for x in pending:
                 x.clear()
@@ -291,7 +312,7 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None,
         .mapInArrow(write, "shard long, file string, docs long, ids long")
         .collect()
     )
-    shards = [(r.file, r.docs, r.ids) for r in sorted(rows, key=lambda r: r.shard)]
+    shards = [(f"{folder}/{r.file}", r.docs, r.ids) for r in sorted(rows, key=lambda r: r.shard)]
     if shards:
         filesystem, place = _filesystem(folder)
         with filesystem.open_output_stream(f"{place}/_shards.json") as f:
@@ -299,7 +320,7 @@ def encode(docs: DataFrame, path: str | None = None, folder: str | None = None,
     return shards
 
 
-def decode(spark: SparkSession, shards: list[tuple[str, int, int]], folder: str | None = None) -> DataFrame:
+def decode(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
     """(doc_id, start, ids) of each document in the shards, read a segment at a
     time; ``start`` counts the ids of all documents before it and ``ids`` are
     little-endian unsigned 32-bit integers. The list of shards is a few dozen bytes for each shard file."""
@@ -311,8 +332,8 @@ def decode(spark: SparkSession, shards: list[tuple[str, int, int]], folder: str
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, start in zip(*(batch.column(c).to_pylist() for c in ("file", "start")), strict=True):
-                filesystem, _ = _filesystem(folder) if folder else _filesystem(file)
-                with filesystem.open_input_stream(file) as source:
+                filesystem, place = _filesystem(file)
+                with filesystem.open_input_stream(place) as source:
                     for s in read_segments(source):
                         ids = s.ids.astype("<u4")
                         view, bounds = memoryview(ids.tobytes()), s.offsets.tolist()

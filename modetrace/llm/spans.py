@@ -6,6 +6,7 @@ A span is (kind, start, end, base): code point offsets with an exclusive end;
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -24,6 +25,22 @@ def in_order(found: list[Span], kinds: tuple[str, ...]) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], kinds.index(s[0]), s[2]))
 
 
+class Within:
+    """Whether a span lies within one of many of its kind, each in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: dict[str, list[int]] = {}
+        self.ends: dict[str, list[int]] = {}
+        for kind, a, b in sorted(spans, key=lambda s: s[1]):
+            self.starts.setdefault(kind, []).append(a)
+            ends = self.ends.setdefault(kind, [])
+            ends.append(max(b, ends[-1]) if ends else b)
+
+    def __call__(self, kind: str, a: int, b: int) -> bool:
+        i = bisect_right(self.starts.get(kind, ()), a)
+        return i > 0 and b <= self.ends[kind][i - 1]
+
+
 def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], list[Span]]]) -> DataFrame:
     """(doc_id, spans) of every text; an empty or null text has none."""
 

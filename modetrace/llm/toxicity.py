@@ -147,9 +147,9 @@ class Scorer:
         if not found:
             return []
         p, of = self.sentences([m.group().lower() for m in found])
-        out = []
+        out, order = [], np.argsort(of, kind="stable")
         for i in np.flatnonzero(p >= least):
-            at = np.flatnonzero(of == i)
+            at = order[slice(*np.searchsorted(of, (i, i + 1), sorter=order))]
             inner = [k for k in at if found[k].group()[0] not in ENDS]
             out.append((found[inner[0]].start(), found[inner[-1]].end(), float(p[i])))
         return out

@@ -4,6 +4,7 @@ tables and extra columns with clashing names."""
 import hashlib
 import importlib
 import math
+import time
 import zlib
 
 import pytest
@@ -133,3 +134,23 @@ def test_bpe_encode_decode(docs):
     back = bpe.decode(bpe.encode(docs)).toPandas()
     assert sorted(back["text"]) == sorted(t or "" for t in TEXTS)
     assert bpe.digests(bpe.roundtrip(docs)).where(F.col("doc_id") == 1).first().ids_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_long_texts_are_located_in_linear_time():
+    model = toxicity.Scorer(toxicity.Model(-3.0, {"idiot": 9.0}))
+    text = " ".join(f"You are an idiot number {i}." for i in range(30_000))
+    began = time.perf_counter()
+    found = model.locate(text, 0.5)
+    assert len(found) == 30_000 and text[found[7][0] : found[7][1]].startswith("You are an idiot")
+    assert time.perf_counter() - began < 6
+
+
+def test_folders_of_shards(spark, docs, tmp_path):
+    place = simple8b.place_of(spark, str(tmp_path / "plain"))
+    assert place == f"file://{tmp_path}/plain" == simple8b.place_of(spark, f"file:{tmp_path}/plain")
+    shards = simple8b.encode(docs, folder=str(tmp_path / "plain"))
+    assert all(f.startswith(place) for f, _, _ in shards)
+    assert simple8b.decode(spark, shards).count() == docs.count()
+    assert simple8b.place_of(spark, "s3a://bucket/a/b") == "s3://bucket/a/b"
+    with pytest.raises(ValueError, match="can't be written"):
+        simple8b.encode(docs, folder="ftp://host/a")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import pytest
@@ -59,6 +60,32 @@ def test_prose_has_none(text):
     assert added(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "He works at example.com.", "Come and visit us at acme.de tomorrow.", "Have a look at setup.py first.", "They would arrive at noon.it was late.",
+        "She teaches chemistry at uni-koeln.de these days.", "Shoes were sold at outlet.fr for years.", "Data lives at storage.example.org now.",
+        "Write tests at setup.py, and mail them.", "Contact us at acme.de or call.", "You can reach him at work.in the end he left.",
+        "Der Kurs ist at home.de zu finden.", "Le cours se trouve at ecole.fr demain.", "El curso se da at escuela.es hoy.", "Sie traf ihn, at last.so war es.",
+    ],
+)
+def test_prose_with_at_is_kept(text):
+    assert added(text) == [] and pii.mask(text, pii.find_in(text)) == text
+
+
+@pytest.mark.parametrize("text", ["Please contact anna at firma.com today", "E-mail: bob.smith at site.org", "you may write to zoe at uni-x.de or come by", "Kontakt: uwe at firma.de", "courriel paul at ecole.fr merci", "mi correo es luz at casa.es ya", "reach jo at host.net by mail"])
+def test_contact_with_at_is_found(text):
+    (kind, span), = added(text)
+    assert kind == "email" and " at " in span and span in text
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "(", "( " * 300_000, "plus " * 200_000, "a at " * 200_000 + "b.com", " ".join(f"user{i}@mail.org" for i in range(20_000)) + " bob [at] site [dot] org"])
+def test_time_grows_with_the_text(text):
+    began = time.perf_counter()
+    pii.find_in(text)
+    assert time.perf_counter() - began < 3
+
+
 GLYPHS = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "i": "і", "x": "х"}
 WORDS = {
     "en": ("zero one two three four five six seven eight nine".split(), "at", "dot"),

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import duckdb
 import pytest
@@ -79,3 +80,40 @@ def test_rows_of_the_query(spark, finder):
         assert [s for s in spans if not s.startswith("random")] == joined
         extra += len(spans) - len(joined)
     assert extra < 0.01 * len(texts)  # clean documents are left alone
+
+
+CONTEXTS = {
+    "prose": "the key is {} and that is all",
+    "path": "see /var/lib/service/configuration/{}/readme for it",
+    "prefix": "use my-service-production-key-{} today",
+    "path and prefix": "in /srv/data/my-service-key-{}/latest now",
+    "url": "https://api.example.com/v1/customers/{}/orders?page=2",
+    "name": "export SERVICE_ACCOUNT_{}",
+}
+
+
+@pytest.mark.parametrize("context", CONTEXTS)
+@pytest.mark.parametrize(("alphabet", "length"), [("alphanumeric", 16), ("alphanumeric", 18), ("alphanumeric", 24), ("base32", 19), ("lower and digits", 24), ("upper and digits", 40)])
+def test_exact_spans_in_context(finder, context, alphabet, length):
+    rng, found = random.Random(f"{context} {alphabet} {length}"), 0
+    for _ in range(300):
+        key = "".join(rng.choice(ALPHABETS[alphabet]) for _ in range(length))
+        text = CONTEXTS[context].format(key)
+        found += [text[a:b] for kind, a, b, base in finder(text) if not base] == [key] or any(base for *_, base in finder(text))
+    assert found >= 0.9 * 300
+
+
+def test_contexts_alone_have_none(finder):
+    words = "quarterly report archive settings-backup user_profile_images CustomerAccount v2 2024-01-31 index".split()
+    rng = random.Random(9)
+    for context in CONTEXTS.values():
+        for _ in range(200):
+            text = context.format("/".join(rng.choice(words) for _ in range(rng.randint(1, 5))))
+            assert finder(text) == [], text
+
+
+def test_many_spans_take_linear_time(finder):
+    text = " ".join(f"token={i:012d}abcdefg /usr/share/Zq8XwPt7LmN9vKcRb3{i:05d}" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(finder(text)) >= 40_000
+    assert time.perf_counter() - began < 6
