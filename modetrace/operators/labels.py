@@ -44,8 +44,9 @@ def with_declared(features: DataFrame, displacements: DataFrame) -> DataFrame:
     return features.join(declared_modes(displacements), ["user_id", "trip_id"])
 
 
-def build_training(features: DataFrame, displacements: DataFrame, split: DataFrame, method: str = "v1") -> DataFrame:
+def build_training(features: DataFrame, displacements: DataFrame, split: DataFrame | None, method: str = "v1") -> DataFrame:
     """Features of training users' declared trips with the canonical mode;
-    modes without one, OTHER among them, are left out."""
-    joined = with_declared(of_split(features, split, "train"), displacements).withColumn("mode", canonical(F.col("mode_1")))
+    modes without one, OTHER among them, are left out. Without a ``split`` the
+    features are those of training users already."""
+    joined = with_declared(features if split is None else of_split(features, split, "train"), displacements).withColumn("mode", canonical(F.col("mode_1")))
     return joined.where(F.col("mode").isNotNull()).select("user_id", "trip_id", "seg_id", *feature_names(method), "mode")

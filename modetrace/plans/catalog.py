@@ -59,7 +59,7 @@ class Tables:
         return L.split_users(self.points)
 
     def training(self, method: str) -> DataFrame:
-        return L.build_training(self.features(method, "train"), self.displacements, self.split(), method)
+        return L.build_training(self.features(method, "train"), self.displacements, None, method)
 
     def rule(self, split: str | None = None) -> DataFrame:
         return M.rule_predict(self.features(split=split))
@@ -67,9 +67,17 @@ class Tables:
     def matrix(self) -> DataFrame:
         return P.transition_matrix(self.rule("train"))
 
+    def predicted(self) -> DataFrame:
+        """Predictions of all users with their split, from one pass over the points,
+        written for what reads it more than once."""
+        return materialise(self.rule().join(self.split(), "user_id"), "predicted")
+
     def post(self) -> DataFrame:
-        """Smoothed predictions of the test users."""
-        return P.post_process(self.rule("test"), self.matrix())
+        """Smoothed predictions of the test users: the matrix comes from the one part
+        of what was written, the predictions are the other."""
+        all_users = self.predicted()
+        train, test = (all_users.where(F.col("split") == x).drop("split") for x in ("train", "test"))
+        return P.post_process(test, P.transition_matrix(train))
 
     def kept_post(self) -> DataFrame:
         """The same, written for what reads it more than once."""
@@ -88,8 +96,8 @@ class Tables:
 
     def long_post(self) -> DataFrame:
         """``post`` with trips dealt out by blocks; one pass over all users' points."""
-        predicted = materialise(M.rule_predict(self.long_features()), "predicted")
-        train, test = (L.of_split(predicted, self.split(), x) for x in ("train", "test"))
+        predicted = materialise(M.rule_predict(self.long_features()).join(self.split(), "user_id"), "predicted")
+        train, test = (predicted.where(F.col("split") == x).drop("split") for x in ("train", "test"))
         return B.post(test, B.transition_matrix(train))
 
     def forest(self, method: str = "v1"):

@@ -24,7 +24,7 @@ def train(points: DataFrame, displacements: DataFrame, out: str, method: str = "
     split = labels.split_users(points, s)
     writers.user_lists(split, out)
     mine = labels.of_split(points, split, "train")
-    rows = materialise(labels.build_training(segment_features(mine, displacements, method, s), displacements, split, method), "training")
+    rows = materialise(labels.build_training(segment_features(mine, displacements, method, s), displacements, None, method), "training")
     writers.training(rows, f"{out}/training.csv", method)
     fitted = model.fit(rows, method, s)
     writers.model(fitted, f"{out}/model_{method}")
