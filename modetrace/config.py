@@ -73,8 +73,17 @@ class Settings:
     places_per_degree: int = 10_000
     cluster_cells: int = 2000
     dense: int = 3
+    #: clusters can be read at any radius up to this
+    reach_m: float = 500.0
+    #: neighbours that are sought, and the side of the first cells
+    nearest: int = 5
+    nearest_cell_m: float = 25.0
     ages: tuple[int, ...] = field(default=(18, 30, 45, 60))
 
+    def lat_span_m(self) -> float:
+        """The region's greater side, at most."""
+        return 111_320.0 * max(self.lat[1] - self.lat[0], self.lon[1] - self.lon[0])
+
 
 DEFAULTS = Settings()
 EARTH_M = 6_371_000

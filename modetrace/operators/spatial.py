@@ -18,19 +18,19 @@ from modetrace.functions.graph import connected
 from modetrace.functions.motion import distance_m
 
 #: Metres that the cells must span at least; a degree of latitude has 111 195.
-_DEGREE_M = 111_000
+DEGREE_M = 111_000
 
 
-def _place(per_degree: int) -> list[Column]:
+def place_cells(per_degree: int) -> list[Column]:
     return [F.floor(F.col(c) * per_degree).alias(f"{c}_cell") for c in ("lat", "lon")]
 
 
-def _neighbours(places: DataFrame, per_degree: int, s: Settings) -> DataFrame:
+def neighbours(places: DataFrame, per_degree: int, s: Settings) -> DataFrame:
     """Pairs of ``places`` (lat_cell, lon_cell, n) whose centres lie within
     radius_m: (lat_cell, lon_cell, n, lat_2, lon_2, n_2, metres), each place
     with itself too. A place looks in its own cell of the radius and the eight
     around, which one step covers up to the northern edge of the region."""
-    lat = s.radius_m / _DEGREE_M
+    lat = s.radius_m / DEGREE_M
     lon = lat / math.cos(math.radians(s.lat[1]))
     y, x = ((F.col(c) + 0.5) / per_degree for c in ("lat_cell", "lon_cell"))
     at = places.withColumns({"y": y, "x": x, "ci": F.floor(y / lat), "cj": F.floor(x / lon)})
@@ -44,9 +44,9 @@ def _neighbours(places: DataFrame, per_degree: int, s: Settings) -> DataFrame:
 def radius_counts(changes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(user_id, trip_id, seg_id, n): other change points within radius_m, by
     the centres of places of 1/places_per_degree."""
-    placed = changes.select("user_id", "trip_id", "seg_id", *_place(s.places_per_degree))
+    placed = changes.select("user_id", "trip_id", "seg_id", *place_cells(s.places_per_degree))
     places = placed.groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
-    around = _neighbours(places, s.places_per_degree, s).groupBy("lat_cell", "lon_cell").agg((F.sum("n_2") - 1).alias("n"))
+    around = neighbours(places, s.places_per_degree, s).groupBy("lat_cell", "lon_cell").agg((F.sum("n_2") - 1).alias("n"))
     return placed.join(around, ["lat_cell", "lon_cell"]).select("user_id", "trip_id", "seg_id", "n")
 
 
@@ -60,8 +60,8 @@ def clusters(changes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     places; a place near a core joins the nearest one's cluster (of equally near
     ones the least), and the rest have -1.
     """
-    places = changes.groupBy(*_place(s.cluster_cells)).agg(F.count("*").alias("n"))
-    pairs = _neighbours(places, s.cluster_cells, s)
+    places = changes.groupBy(*place_cells(s.cluster_cells)).agg(F.count("*").alias("n"))
+    pairs = neighbours(places, s.cluster_cells, s)
     name = [(F.col(a) * (1 << 32) + F.col(b)).alias(c) for a, b, c in (("lat_cell", "lon_cell", "u"), ("lat_2", "lon_2", "v"))]
     cores = pairs.groupBy("lat_cell", "lon_cell").agg(F.sum("n_2").alias("around")).where(F.col("around") >= s.dense).select("lat_cell", "lon_cell")
     to_core = pairs.join(cores.toDF("lat_2", "lon_2"), ["lat_2", "lon_2"])
@@ -79,10 +79,10 @@ def spatial_post_process(predictions: DataFrame, changes: DataFrame, s: Settings
     """Weak predictions in a cluster's place take the mode with the greatest
     product of its probability and its share of the changes in the cluster."""
     found = clusters(changes, s).where("cluster >= 0")
-    modes = changes.select("mode", *_place(s.cluster_cells)).join(found, ["lat_cell", "lon_cell"]).groupBy("cluster", "mode").agg(F.count("*").alias("n"))
+    modes = changes.select("mode", *place_cells(s.cluster_cells)).join(found, ["lat_cell", "lon_cell"]).groupBy("cluster", "mode").agg(F.count("*").alias("n"))
     share = modes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cluster"))).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("mode", "share"))).alias("shares"))
     prior = found.join(share, "cluster").select("lat_cell", "lon_cell", "shares")
-    joined = predictions.select("*", *_place(s.cluster_cells)).join(prior, ["lat_cell", "lon_cell"], "left")
+    joined = predictions.select("*", *place_cells(s.cluster_cells)).join(prior, ["lat_cell", "lon_cell"], "left")
     best = F.array_max(F.array(*(F.struct((F.col(f"p_{m.lower()}") * F.coalesce(F.try_element_at("shares", F.lit(m)), F.lit(0.0))).alias("score"), F.lit(m).alias("mode")) for m in CANONICAL)))
     weak = (F.col("confidence") < s.tau) & F.col("shares").isNotNull()
     return joined.withColumn("best", best).withColumn("mode", F.when(weak & (F.col("best.score") > 0), F.col("best.mode")).otherwise(F.col("mode"))).select(*predictions.columns)

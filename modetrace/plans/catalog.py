@@ -12,6 +12,7 @@ from modetrace.operators import blocks as B
 from modetrace.operators import clean as C
 from modetrace.operators import labels as L
 from modetrace.operators import model as M
+from modetrace.operators import optics as O
 from modetrace.operators import postprocess as P
 from modetrace.operators import segment as G
 from modetrace.operators import sequence as Q
@@ -138,6 +139,10 @@ def _proba(t: Tables) -> DataFrame:
     return M.probabilities(t.test_features(), t.forest()).select("user_id", "trip_id", "seg_id", *(c for c in M.RESULT if c.startswith("p_")))
 
 
+def _nearest(changes: DataFrame) -> DataFrame:
+    return O.nearest(changes, changes, ("user_id", "trip_id", "seg_id"))
+
+
 FEATURES = ("hcr", "sr", "vcr", "v_max", "v_median", "v_p99", "a_max", "share_fast", "share_very_fast", "duration_us", "length_m")
 
 QUERIES: dict[str, Query] = {
@@ -193,6 +198,8 @@ QUERIES: dict[str, Query] = {
     "p9_radius": _rides(lambda t: X.radius_counts(t.kept_changes())),
     "p9_clusters": _rides(lambda t: X.clusters(t.kept_changes())),
     "p9_spatial": _rides(lambda t: X.spatial_post_process(t.rule("test"), t.kept_changes())),
+    "p9_optics": _rides(lambda t: O.clusters_at(t.kept_changes(), (60.0, 200.0, 450.0))),
+    "p9_nearest": _rides(lambda t: _nearest(t.kept_changes())),
     "p10_post": _q(lambda t: t.post()),
     "a1_test": _q(lambda t: t.rule("test")),
     "a3_changes": _rides(lambda t: t.changes()),

@@ -125,6 +125,21 @@ def _cell(x: str, per_degree: int) -> str:
     return f"CAST(floor({x} * {per_degree}) AS BIGINT)"
 
 
+def _optics(radii: tuple[float, ...]) -> dict[str, str]:
+    """Clusters at several radii, each from pairs of places within it."""
+    out = {"reach_pairs": f"SELECT a.y, a.x, b.y AS y2, b.x AS x2, b.n AS n2, {_distance('a.', 'b.')} AS metres FROM fine a JOIN fine b ON abs(a.lat - b.lat) <= 0.02 AND {_distance('a.', 'b.')} <= {max(radii)}"}
+    for i, r in enumerate(radii):
+        out |= {
+            f"o{i}_pairs": f"SELECT * FROM reach_pairs WHERE metres <= {r}",
+            f"o{i}_cores": f"SELECT y, x, y * 4294967296 + x AS node FROM o{i}_pairs GROUP BY y, x HAVING sum(n2) >= {S.dense}",
+            f"o{i}_links": f"SELECT DISTINCT a.node AS u, b.node AS v FROM o{i}_pairs p JOIN o{i}_cores a ON a.y = p.y AND a.x = p.x JOIN o{i}_cores b ON b.y = p.y2 AND b.x = p.x2",
+            f"o{i}_reach": f"SELECT node AS u, node AS v FROM o{i}_cores UNION SELECT r.u, k.v FROM o{i}_reach r JOIN o{i}_links k ON k.u = r.v",
+            f"o{i}_names": f"SELECT u AS node, min(v) AS cluster FROM o{i}_reach GROUP BY u",
+            f"o{i}_nearest": f"SELECT p.y, p.x, min({{'m': p.metres, 'c': k.cluster}}).c AS cluster FROM o{i}_pairs p JOIN o{i}_cores c ON c.y = p.y2 AND c.x = p.x2 JOIN o{i}_names k ON k.node = c.node GROUP BY p.y, p.x",
+        }
+    return out | {"optics": " UNION ALL ".join(f"SELECT CAST({r} AS DOUBLE) AS radius, f.y AS lat_cell, f.x AS lon_cell, coalesce(k.cluster, -1) AS cluster FROM fine f LEFT JOIN o{i}_nearest k ON k.y = f.y AND k.x = f.x" for i, r in enumerate(radii))}
+
+
 def _places(name: str, per_degree: int) -> dict[str, str]:
     """Places with change points, and their pairs within the radius."""
     near = f"abs(a.lat - b.lat) <= 0.01 AND {_distance('a.', 'b.')} <= {S.radius_m}"
@@ -198,6 +213,7 @@ CTES: dict[str, str] = {
     "stays": "SELECT r.user_id, r.event_id, count(a.rn) > 0 AS stay FROM stay_rows r LEFT JOIN stay_anchors a ON a.user_id = r.user_id AND a.stays AND r.rn >= a.rn AND r.rn < a.j GROUP BY r.user_id, r.event_id",
     **_places("place", S.places_per_degree),
     **_places("fine", S.cluster_cells),
+    **_optics((60.0, 200.0, 450.0)),
     "cores": f"SELECT y, x, y * 4294967296 + x AS node FROM fine_pairs GROUP BY y, x HAVING sum(n2) >= {S.dense}",
     "core_links": "SELECT DISTINCT a.node AS u, b.node AS v FROM fine_pairs p JOIN cores a ON a.y = p.y AND a.x = p.x JOIN cores b ON b.y = p.y2 AND b.x = p.x2",
     "core_reach": "SELECT node AS u, node AS v FROM cores UNION SELECT r.u, k.v FROM core_reach r JOIN core_links k ON k.u = r.v",
@@ -210,7 +226,7 @@ CTES: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT user_id, trip_id, seg_id, cluster, '{m}' AS m, {p} AS p FROM placed_rule WHERE confidence < {S.tau} AND cluster IS NOT NULL" for m, p in P.items())
     + ") l LEFT JOIN shares s ON s.cluster = l.cluster AND s.mode = l.m)) WHERE k = 1 AND score > 0",
 }
-RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward", "cutting", "cut_places"}
+RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward", "cutting", "cut_places", "o0_reach", "o1_reach", "o2_reach"}
 
 _POINT = "user_id, event_id, t, lat, lon"
 _SEG = "user_id, event_id, trip_id"
@@ -263,6 +279,8 @@ SELECTS: dict[str, str] = {
     "p8_info": "SELECT user_id, sex, age, diploma FROM users LEFT JOIN individuals USING (user_id)",
     "p9_radius": f"SELECT user_id, trip_id, seg_id, CAST(n AS BIGINT) AS n FROM changes JOIN (SELECT y, x, sum(n2) - 1 AS n FROM place_pairs GROUP BY y, x) ON {_cell('lat', S.places_per_degree)} = y AND {_cell('lon', S.places_per_degree)} = x",
     "p9_clusters": "SELECT lat_cell, lon_cell, cluster FROM found_clusters",
+    "p9_optics": "SELECT radius, lat_cell, lon_cell, cluster FROM optics",
+    "p9_nearest": f"SELECT user_id, trip_id, seg_id, CAST(rank AS INTEGER) AS rank, near_user_id, near_trip_id, near_seg_id, metres FROM (SELECT a.user_id, a.trip_id, a.seg_id, b.user_id AS near_user_id, b.trip_id AS near_trip_id, b.seg_id AS near_seg_id, {_distance('a.', 'b.')} AS metres, row_number() OVER (PARTITION BY a.user_id, a.trip_id, a.seg_id ORDER BY {_distance('a.', 'b.')}, b.user_id, b.trip_id, b.seg_id) AS rank FROM changes a JOIN changes b ON (a.user_id, a.trip_id, a.seg_id) <> (b.user_id, b.trip_id, b.seg_id)) WHERE rank <= {S.nearest}",
     "p9_spatial": f"SELECT {RESULT} FROM ({_with_mode('rule_test LEFT JOIN spatial_best USING (user_id, trip_id, seg_id)', 'coalesce(better, mode)')})",
     "g4_stay": "SELECT user_id, event_id, stay FROM stays",
     "p10_post": f"SELECT {RESULT} FROM post",
@@ -282,7 +300,7 @@ SELECTS: dict[str, str] = {
 
 #: Queries over the rides, and what they select.
 RIDES: dict[str, str] = {
-    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence", "g10_optimal", "g10_optimal_features")},
+    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence", "g10_optimal", "g10_optimal_features", "p9_optics", "p9_nearest")},
     "long_features_v1": SELECTS["features_v1"],
     "long_features_v2": SELECTS["features_v2"],
     "long_post": SELECTS["p10_post"],
