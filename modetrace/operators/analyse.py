@@ -66,6 +66,20 @@ def age_band(age: Column, s: Settings = DEFAULTS) -> Column:
     return out.otherwise(f"{s.ages[-1]}+")
 
 
+def modal_splits(predictions: DataFrame, individuals: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(by, group, mode, us, pct): ``modal_split`` by sex, age and diploma at once, in
+    grouping sets over one pass."""
+    unknown = {c: F.coalesce(c, F.lit("unknown")) for c in ("sex", "diploma")}
+    joined = time_per_mode(predictions).join(individuals, "user_id", "left").withColumns(unknown | {"age": age_band(F.col("age"), s)})
+    columns = [F.col(c) for c in ("sex", "age", "diploma")]
+    sets = joined.groupingSets([[c, F.col("mode")] for c in columns], *columns, F.col("mode")).agg(F.sum("us").alias("us"), F.grouping_id().alias("gid"))
+    # a set's id has a bit for each column that it leaves out, of sex, age, diploma and mode
+    by = F.when(F.col("gid") == 0b0110, "sex").when(F.col("gid") == 0b1010, "age").otherwise("diploma")
+    named = sets.select(by.alias("by"), F.coalesce("sex", "age", "diploma").alias("group"), "mode", "us")
+    total = F.sum("us").over(Window.partitionBy("by", "group"))
+    return named.withColumn("pct", F.when(total > 0, 100.0 * F.col("us") / total))
+
+
 def modal_split(predictions: DataFrame, individuals: DataFrame, by: str, s: Settings = DEFAULTS) -> DataFrame:
     """(group, mode, us, pct): share of travel time by sex, age or diploma."""
     group = age_band(F.col("age"), s) if by == "age" else F.coalesce(F.col(by), F.lit("unknown"))

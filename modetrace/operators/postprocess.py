@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modetrace.config import CANONICAL, DEFAULTS, Settings
 from modetrace.operators.labels import canonical, declared_modes
+from modetrace.operators.trips import disjoint_windows, trip_name
 
 TRIP = ("user_id", "trip_id")
 
@@ -83,6 +84,43 @@ def compare_predictions(predictions: DataFrame, displacements: DataFrame) -> Dat
     return both.select("user_id", "trip_id", p.alias("precision"), r.alias("recall"), F.when(F.col("hits") > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
+def time_by_pair(predictions: DataFrame, displacements: DataFrame) -> DataFrame:
+    """(user_id, trip_id, predicted, declared, us): how long each pair of modes held
+    in each declared window; predicted is null where nothing is, declared where the
+    mode has no canonical name. The times of a trip sum to its window.
+
+    A sweep: starts and ends of both kinds of spans in order of time, one sort by
+    user; between two of them the last of each kind tells what holds."""
+    windows = disjoint_windows(displacements).join(displacements.select("user_id", "blk", "mode_1"), ["user_id", "blk"])
+    declared = windows.select("user_id", "t_start", "t_end", F.lit("d").alias("side"), F.struct(trip_name("D", "blk").alias("trip_id"), canonical(F.col("mode_1")).alias("mode")).alias("is"))
+    predicted = predictions.select("user_id", "t_start", "t_end", F.lit("p").alias("side"), F.struct(F.lit(None).cast("string").alias("trip_id"), "mode").alias("is"))
+    spans = declared.unionByName(predicted).where("t_start < t_end")
+    ends = F.explode(F.array(F.struct(F.col("t_start").alias("t"), F.lit(1).alias("starts")), F.struct(F.col("t_end").alias("t"), F.lit(0).alias("starts"))))
+    marks = spans.select("user_id", "side", "is", ends.alias("e")).select("user_id", "e.t", "e.starts", "side", F.when(F.col("e.starts") == 1, F.col("is")).alias("is"))
+    w = Window.partitionBy("user_id").orderBy("t", "starts", "side")  # ends come before starts
+
+    def holds(side: str) -> Column:
+        return F.last(F.when(F.col("side") == side, F.struct("is")), ignorenulls=True).over(w)["is"]
+
+    swept = marks.select("user_id", holds("p")["mode"].alias("predicted"), holds("d").alias("d"), (F.lead("t").over(w) - F.col("t")).alias("us"))
+    held = swept.where("us > 0 AND d IS NOT NULL")
+    return held.groupBy("user_id", F.col("d.trip_id").alias("trip_id"), "predicted", F.col("d.mode").alias("declared")).agg(F.sum("us").alias("us"))
+
+
+def compare_by_time(predictions: DataFrame, displacements: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of each declared trip by time: the share of the
+    predicted time, and of the declared time, in which both modes are the same. Trips
+    without a canonical mode, or without predicted time, are left out."""
+    pairs = time_by_pair(predictions, displacements).where("declared IS NOT NULL")
+
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("us")).otherwise(0))
+
+    sums = pairs.groupBy("user_id", "trip_id").agg(F.sum("us").alias("declared_us"), total(F.col("predicted").isNotNull()).alias("predicted_us"), total(F.col("predicted") == F.col("declared")).alias("hit_us"))
+    p, r = F.col("hit_us") / F.col("predicted_us"), F.col("hit_us") / F.col("declared_us")
+    return sums.where("predicted_us > 0").select("user_id", "trip_id", "declared_us", "predicted_us", "hit_us", p.alias("precision"), r.alias("recall"), F.when(F.col("hit_us") > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
 def traveller_info(users: DataFrame, individuals: DataFrame) -> DataFrame:
     """(user_id, sex, age, diploma) of each user, nulls where unknown."""
     return users.select("user_id").distinct().join(individuals, "user_id", "left")

@@ -154,6 +154,8 @@ QUERIES: dict[str, Query] = {
     "c3_region": _q(lambda t: t.valid()),
     "c4_spikes": _q(lambda t: C.drop_spikes(t.valid())),
     "c5_fusion": _q(lambda t: C.merge_close(t.valid())),
+    "c5_from_kept": _q(lambda t: C.merge_from_kept(t.valid())),
+    "c6_from_kept": _q(lambda t: C.clean(t.points, from_kept=True)),
     "c6_clean": _q(lambda t: t.cleaned()),
     **{k: _motion(c) for k, c in (("k1_distance", "dist_m"), ("k2_delta", "dt_us"), ("k3_speed", "v"), ("k4_accel", "a"), ("k5_heading", "heading"), ("k6_turn", "dh"), ("k7_vrate", "vrate"))},
     "g1_declared": _q(lambda t: T.declared_points(t.cleaned(), t.displacements)),
@@ -194,6 +196,9 @@ QUERIES: dict[str, Query] = {
     "p5_names": _q(lambda t: P.normalise_names(t.rule("test"))),
     "p6_time": _q(lambda t: P.time_per_mode(t.post())),
     "p7_metrics": _q(lambda t: P.compare_predictions(t.post(), t.displacements)),
+    "p7_pairs": _rides(lambda t: P.time_by_pair(t.post(), t.displacements)),
+    "p7_time": _rides(lambda t: P.compare_by_time(t.post(), t.displacements)),
+    "p7_time_events": _q(lambda t: P.compare_by_time(t.post(), t.displacements)),
     "p8_info": _q(lambda t: P.traveller_info(t.points, t.individuals)),
     "p9_radius": _rides(lambda t: X.radius_counts(t.kept_changes())),
     "p9_clusters": _rides(lambda t: X.clusters(t.kept_changes())),
@@ -215,6 +220,7 @@ QUERIES: dict[str, Query] = {
     "long_features_v1": _rides(lambda t: t.long_features("v1")),
     "long_features_v2": _rides(lambda t: t.long_features("v2").select("user_id", "trip_id", "seg_id", "hcr", "sr", "vcr", "v_max", "a_max")),
     "long_post": _rides(lambda t: t.long_post()),
+    "a10_a12_splits": _q(lambda t: A.modal_splits(t.post(), t.individuals)),
     "rides_points": _rides(lambda t: t.points),
     "rides_displacements": _rides(lambda t: t.displacements),
     "rides_matrix": _rides(lambda t: t.matrix()),

@@ -157,6 +157,9 @@ CTES: dict[str, str] = {
     "c4": f"SELECT user_id, event_id, t, lat, lon FROM (SELECT *, lead(v) OVER ({W}) AS out_ FROM ({_steps('c3', W)})) WHERE NOT coalesce(v > {S.spike_mps} AND out_ > {S.spike_mps}, false)",
     "c5": f"SELECT user_id, event_id, t, lat, lon FROM ({_steps('c4', W)}) WHERE NOT coalesce(dist_m < {S.merge_m} AND dt_us < {S.merge_s * 1_000_000}, false)",
     "c5_alone": f"SELECT user_id, event_id, t, lat, lon FROM ({_steps('c3', W)}) WHERE NOT coalesce(dist_m < {S.merge_m} AND dt_us < {S.merge_s * 1_000_000}, false)",
+    # near repeats from the last point that stays: row by row
+    **{f"{name}_rows": f"SELECT *, row_number() OVER ({W}) AS rn FROM {source}" for name, source in (("kept3", "c3"), ("kept4", "c4"))},
+    **{name: f"SELECT user_id, event_id, t, lat, lon, rn, true AS stays, t AS kt, lat AS klat, lon AS klon FROM {name}_rows WHERE rn = 1 UNION ALL SELECT r.user_id, r.event_id, r.t, r.lat, r.lon, r.rn, NOT r.near, CASE WHEN r.near THEN r.kt ELSE r.t END, CASE WHEN r.near THEN r.klat ELSE r.lat END, CASE WHEN r.near THEN r.klon ELSE r.lon END FROM (SELECT n.*, k.kt, k.klat, k.klon, {_distance('k.k', 'n.')} < {S.merge_m} AND n.t - k.kt < {S.merge_s * 1_000_000} AS near FROM {name} k JOIN {name}_rows n ON n.user_id = k.user_id AND n.rn = k.rn + 1) r" for name in ("kept3", "kept4")},
     "motion": _motion("c5", W),
     "declared": "SELECT user_id, event_id, t, lat, lon, blk FROM (SELECT p.*, d.blk, row_number() OVER (PARTITION BY p.user_id, p.event_id ORDER BY d.t_start, d.blk) AS k FROM c5 p JOIN displacements d ON p.user_id = d.user_id AND p.t BETWEEN d.t_start AND d.t_end) WHERE k = 1",
     "extra": "SELECT * FROM c5 p WHERE NOT EXISTS (SELECT 1 FROM displacements d WHERE p.user_id = d.user_id AND p.t BETWEEN d.t_start AND d.t_end)",
@@ -202,6 +205,11 @@ CTES: dict[str, str] = {
     "time_post": _time("post"),
     "sets": f"SELECT user_id, trip_id, list_distinct(list(mode)) AS m, any_value({_canonical('mode_1')}) AS d FROM post JOIN declared_modes USING (user_id, trip_id) GROUP BY user_id, trip_id",
     "metrics": "SELECT user_id, trip_id, CAST(hit AS DOUBLE) / size AS precision, CAST(hit AS DOUBLE) AS recall, CASE WHEN hit > 0 THEN 2 * (CAST(hit AS DOUBLE) / size) * CAST(hit AS DOUBLE) / (CAST(hit AS DOUBLE) / size + hit) ELSE 0.0 END AS f1 FROM (SELECT user_id, trip_id, len(m) AS size, CAST(list_contains(m, d) AS INTEGER) AS hit FROM sets WHERE d IS NOT NULL)",
+    "plain_windows": "SELECT * FROM (SELECT user_id, blk, mode_1, greatest(t_start, coalesce(max(t_end) OVER (PARTITION BY user_id ORDER BY t_start, blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, t_start)) AS t_start, t_end FROM displacements) WHERE t_start < t_end",
+    "overlapping": f"SELECT d.user_id, concat('D-', d.user_id, '-', d.blk) AS trip_id, p.mode AS predicted, {_canonical('d.mode_1')} AS declared, CAST(sum(least(p.t_end, d.t_end) - greatest(p.t_start, d.t_start)) AS BIGINT) AS us FROM plain_windows d JOIN post p ON p.user_id = d.user_id AND p.t_start < d.t_end AND d.t_start < p.t_end AND p.t_start < p.t_end GROUP BY 1, 2, 3, 4",
+    "uncovered": f"SELECT user_id, trip_id, NULL AS predicted, declared, CAST(t_end - t_start - coalesce(us, 0) AS BIGINT) AS us FROM (SELECT user_id, concat('D-', user_id, '-', blk) AS trip_id, {_canonical('mode_1')} AS declared, t_start, t_end FROM plain_windows) LEFT JOIN (SELECT user_id, trip_id, sum(us) AS us FROM overlapping GROUP BY user_id, trip_id) USING (user_id, trip_id) WHERE user_id IN (SELECT user_id FROM users)",
+    "pair_times": "SELECT * FROM overlapping UNION ALL SELECT * FROM uncovered WHERE us > 0",
+    "time_sums": "SELECT user_id, trip_id, CAST(sum(us) AS BIGINT) AS declared_us, CAST(coalesce(sum(us) FILTER (predicted IS NOT NULL), 0) AS BIGINT) AS predicted_us, CAST(coalesce(sum(us) FILTER (predicted = declared), 0) AS BIGINT) AS hit_us FROM pair_times WHERE declared IS NOT NULL GROUP BY user_id, trip_id",
     "changes": f"SELECT user_id, trip_id, seg_id, t_start AS t, lat, lon, prev, mode FROM (SELECT *, lag(mode) OVER ({WS}) AS prev FROM post) WHERE prev <> mode",
     "declared_trips": f"SELECT {_TRIP_COLUMNS}, {_canonical('mode_1')} AS declared, precision, recall, f1 FROM ({_trips('declared')}) LEFT JOIN declared_modes USING (user_id, trip_id) LEFT JOIN metrics USING (user_id, trip_id)",
     "extra_trips": _trips("extra"),
@@ -226,7 +234,7 @@ CTES: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT user_id, trip_id, seg_id, cluster, '{m}' AS m, {p} AS p FROM placed_rule WHERE confidence < {S.tau} AND cluster IS NOT NULL" for m, p in P.items())
     + ") l LEFT JOIN shares s ON s.cluster = l.cluster AND s.mode = l.m)) WHERE k = 1 AND score > 0",
 }
-RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward", "cutting", "cut_places", "o0_reach", "o1_reach", "o2_reach"}
+RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward", "kept3", "kept4", "cutting", "cut_places", "o0_reach", "o1_reach", "o2_reach"}
 
 _POINT = "user_id, event_id, t, lat, lon"
 _SEG = "user_id, event_id, trip_id"
@@ -241,6 +249,8 @@ SELECTS: dict[str, str] = {
     "c3_region": f"SELECT {_POINT} FROM c3",
     "c4_spikes": f"SELECT {_POINT} FROM c4",
     "c5_fusion": f"SELECT {_POINT} FROM c5_alone",
+    "c5_from_kept": f"SELECT {_POINT} FROM kept3 WHERE stays",
+    "c6_from_kept": f"SELECT {_POINT} FROM kept4 WHERE stays",
     "c6_clean": f"SELECT {_POINT} FROM c5",
     **{k: f"SELECT user_id, event_id, {c} FROM motion" for k, c in (("k1_distance", "dist_m"), ("k2_delta", "dt_us"), ("k3_speed", "v"), ("k4_accel", "a"), ("k5_heading", "heading"), ("k6_turn", "dh"), ("k7_vrate", "vrate"))},
     "g1_declared": f"SELECT {_POINT}, blk FROM declared",
@@ -276,6 +286,8 @@ SELECTS: dict[str, str] = {
     "p5_names": f"SELECT {RESULT} FROM ({_named('rule_test')})",
     "p6_time": "SELECT user_id, mode, us, pct FROM time_post",
     "p7_metrics": "SELECT user_id, trip_id, precision, recall, f1 FROM metrics",
+    "p7_pairs": "SELECT user_id, trip_id, predicted, declared, us FROM pair_times",
+    **dict.fromkeys(("p7_time", "p7_time_events"), "SELECT user_id, trip_id, declared_us, predicted_us, hit_us, CAST(hit_us AS DOUBLE) / predicted_us AS precision, CAST(hit_us AS DOUBLE) / declared_us AS recall, CASE WHEN hit_us > 0 THEN 2 * (CAST(hit_us AS DOUBLE) / predicted_us) * (CAST(hit_us AS DOUBLE) / declared_us) / (CAST(hit_us AS DOUBLE) / predicted_us + CAST(hit_us AS DOUBLE) / declared_us) ELSE 0.0 END AS f1 FROM time_sums WHERE predicted_us > 0"),
     "p8_info": "SELECT user_id, sex, age, diploma FROM users LEFT JOIN individuals USING (user_id)",
     "p9_radius": f"SELECT user_id, trip_id, seg_id, CAST(n AS BIGINT) AS n FROM changes JOIN (SELECT y, x, sum(n2) - 1 AS n FROM place_pairs GROUP BY y, x) ON {_cell('lat', S.places_per_degree)} = y AND {_cell('lon', S.places_per_degree)} = x",
     "p9_clusters": "SELECT lat_cell, lon_cell, cluster FROM found_clusters",
@@ -295,12 +307,13 @@ SELECTS: dict[str, str] = {
     "a10_sex": _split_by("coalesce(sex, 'unknown')"),
     "a11_age": _split_by(_AGES),
     "a12_diploma": _split_by("coalesce(diploma, 'unknown')"),
+    "a10_a12_splits": " UNION ALL ".join(f"SELECT '{by}' AS \"by\", * FROM ({_split_by(group)})" for by, group in (("sex", "coalesce(sex, 'unknown')"), ("age", _AGES), ("diploma", "coalesce(diploma, 'unknown')"))),
 }
 
 
 #: Queries over the rides, and what they select.
 RIDES: dict[str, str] = {
-    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence", "g10_optimal", "g10_optimal_features", "p9_optics", "p9_nearest")},
+    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence", "g10_optimal", "g10_optimal_features", "p9_optics", "p9_nearest", "p7_pairs", "p7_time")},
     "long_features_v1": SELECTS["features_v1"],
     "long_features_v2": SELECTS["features_v2"],
     "long_post": SELECTS["p10_post"],
