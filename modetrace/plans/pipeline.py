@@ -48,7 +48,7 @@ def analyse_all(spark: SparkSession, points: DataFrame, displacements: DataFrame
     Path(out).mkdir(parents=True, exist_ok=True)
     render.transition_map(changes, f"{out}/points_changement_map.html")
     render.density_map(analyse.change_density(changes, s), f"{out}/heatmap_transitions.html")
-    render.transition_figure(analyse.transition_histogram(changes), f"{out}/analyse_transitions.svg")
-    render.demographic_figure({by: analyse.modal_split(final, individuals, by, s) for by in ("sex", "age", "diploma")}, f"{out}/analyse_demographique_transport.svg")
+    render.transition_figure(analyse.transition_histogram(changes), f"{out}/analyse_transitions.png")
+    render.demographic_figure(analyse.modal_splits(final, individuals, s), f"{out}/analyse_demographique_transport.png")
     discard(described)
     return table

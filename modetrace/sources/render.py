@@ -1,4 +1,4 @@
-"""Maps and figures as self-contained HTML and SVG.
+"""Maps as self-contained HTML, and figures as PNG.
 
 They draw aggregates. A map that would have more than ``LIMIT`` marks is drawn
 with coarser places, so that every change is counted in one of them.
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from modetrace.config import CANONICAL
 from modetrace.operators.analyse import transition_labels
+from modetrace.sources.png import SILVER, Canvas
 
 LIMIT = 5000
+#: Pixels of the longest bar of a figure.
+BAR = 320
 PALETTE = {m: f"hsl({i * 360 // len(CANONICAL)},65%,45%)" for i, m in enumerate(CANONICAL)}
 #: A colour for each type of transition: the hue tells the mode before, the lightness the mode after.
 TYPES = {f"{a}→{b}": f"hsl({i * 360 // len(CANONICAL)},75%,{25 + 8 * j}%)" for i, a in enumerate(CANONICAL) for j, b in enumerate(CANONICAL) if a != b}
@@ -90,33 +93,50 @@ def density_map(density: DataFrame, path: str) -> None:
 
 
 def transition_figure(histogram: DataFrame, path: str) -> None:
-    """Bars and a matrix of the transitions; at most 49 rows."""
+    """Bars and a matrix of the transitions, at most 49 rows, as PNG: a bar is as long
+    as its count's share of the greatest, a cell of the matrix as dark."""
     rows = histogram.orderBy(F.desc("n"), "prev", "mode").collect()
     most = max((r.n for r in rows), default=1)
-    bars = [f'<rect x="160" y="{20 + 16 * i}" width="{300 * r.n / most:.1f}" height="12" fill="{TYPES.get(f"{r.prev}→{r.mode}", "gray")}"/><text x="10" y="{30 + 16 * i}">{html.escape(r.prev)}→{html.escape(r.mode)}</text><text x="{165 + 300 * r.n / most:.1f}" y="{30 + 16 * i}">{r.n}</text>' for i, r in enumerate(rows)]
+    canvas = Canvas(1060, max(380, 60 + 16 * len(rows)))
+    canvas.text(10, 8, "transitions")
+    for i, r in enumerate(rows):
+        y, width = 30 + 16 * i, max(1, round(BAR * r.n / most))
+        canvas.text(10, y, f"{r.prev}→{r.mode}")
+        canvas.rectangle(170, y, width, 12, TYPES.get(f"{r.prev}→{r.mode}", "gray"))
+        canvas.text(176 + width, y, str(r.n))
     counts = {(r.prev, r.mode): r.n for r in rows}
-    cell = [f'<rect x="{560 + 45 * j}" y="{60 + 30 * i}" width="43" height="28" fill="steelblue" fill-opacity="{counts.get((a, b), 0) / most:.2f}" stroke="silver"/><text x="{565 + 45 * j}" y="{78 + 30 * i}">{counts.get((a, b), 0)}</text>' for i, a in enumerate(CANONICAL) for j, b in enumerate(CANONICAL)]
-    names = [f'<text x="490" y="{78 + 30 * i}">{m}</text><text x="{560 + 45 * i}" y="50" font-size="8">{m}</text>' for i, m in enumerate(CANONICAL)]
-    Path(path).write_text(_svg(bars + cell + names, height=max(320, 40 + 16 * len(rows))), encoding="utf-8")
-
-
-def demographic_figure(splits: dict[str, DataFrame], path: str) -> None:
-    """Stacked shares of travel time by sex, age and diploma: a row a group
-    and mode of each ``modal_split``."""
-    parts, y = [], 20
-    for title, split in splits.items():
-        parts.append(f'<text x="10" y="{y}" font-weight="bold">{html.escape(title)}</text>')
-        groups: dict[str, list] = {}
-        for r in split.orderBy("group", "mode").collect():
-            groups.setdefault(r.group, []).append(r)
-        for name, rows in groups.items():
-            y += 20
-            x = 160.0
-            parts.append(f'<text x="10" y="{y + 11}">{html.escape(name)}</text>')
+    for i, before in enumerate(CANONICAL):
+        canvas.text(570, 66 + 30 * i, before)
+        canvas.text(650 + 56 * i, 40, before, 1)
+        for j, after in enumerate(CANONICAL):
+            n = counts.get((before, after), 0)
+            x, y, pale = 650 + 56 * j, 56 + 30 * i, round(255 - 185 * n / most)
+            canvas.rectangle(x, y, 54, 28, SILVER)
+            canvas.rectangle(x + 1, y + 1, 52, 26, (pale, pale, 255))
+            canvas.text(x + 6, y + 9, str(n))
+    canvas.write(path)
+
+
+def demographic_figure(splits: DataFrame, path: str) -> None:
+    """Stacked shares of travel time by sex, age and diploma, the rows of
+    ``modal_splits``, as PNG: BAR pixels are 100 %."""
+    groups: dict[str, dict[str, list]] = {}
+    for r in splits.orderBy("by", "group", "mode").collect():
+        groups.setdefault(r.by, {}).setdefault(r.group, []).append(r)
+    canvas = Canvas(1060, 60 + sum(36 + 20 * len(g) for g in groups.values()))
+    y = 8
+    for title in (t for t in ("sex", "age", "diploma") if t in groups):
+        canvas.text(10, y, title, 3)
+        y += 22
+        for name, rows in groups[title].items():
+            canvas.text(10, y + 2, name)
+            done = 0.0
             for r in rows:
-                w = 6.5 * (r.pct or 0)
-                parts.append(f'<rect x="{x:.1f}" y="{y}" width="{w:.1f}" height="14" fill="{PALETTE.get(r.mode, "gray")}"><title>{html.escape(r.mode)} {r.pct or 0:.1f} %</title></rect>')
-                x += w
-        y += 40
-    parts += [f'<rect x="{10 + 110 * i}" y="{y}" width="12" height="12" fill="{c}"/><text x="{26 + 110 * i}" y="{y + 11}">{m}</text>' for i, (m, c) in enumerate(PALETTE.items())]
-    Path(path).write_text(_svg(parts, height=y + 30), encoding="utf-8")
+                x, done = round(BAR * done), done + (r.pct or 0) / 100
+                canvas.rectangle(220 + x, y, round(BAR * done) - x, 14, PALETTE.get(r.mode, "gray"))
+            y += 20
+        y += 14
+    for i, (mode, color) in enumerate(PALETTE.items()):
+        canvas.rectangle(10 + 130 * i, y, 12, 12, color)
+        canvas.text(28 + 130 * i, y + 1, mode)
+    canvas.write(path)
