@@ -97,7 +97,11 @@ def trips(points: DataFrame, displacements: DataFrame, s: Settings = DEFAULTS, s
     """All points with kind (declared or extra) and trip_id. Extra trips end at
     a gap of more than gap_s between extra points and, with ``stays``, where a
     stay ends; points of stays belong to the trip before."""
-    found = with_windows(points, displacements)
+    return trips_of(with_windows(points, displacements), s, stays)
+
+
+def trips_of(found: DataFrame, s: Settings = DEFAULTS, stays: bool = False) -> DataFrame:
+    """``trips`` of points that have the blk of their window."""
     if stays:
         found = found.join(stay_points(found.where("blk IS NULL"), s), ["user_id", "event_id"], "left")
     extra, before = F.col("blk").isNull(), by_time("user_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,6 +21,7 @@ from modetrace.operators import trips as T
 from modetrace.operators.features import features
 from modetrace.functions.motion import with_motion
 from modetrace.sources import fixture as fx
+from modetrace.sources import layout
 from modetrace.sources import writers
 from modetrace.sources.scratch import materialise, shared_folder
 
@@ -90,6 +91,11 @@ class Tables:
     def kept_changes(self) -> DataFrame:
         return materialise(self.changes(), "changes")
 
+    def stored_features(self, method: str = "v1") -> DataFrame:
+        """``features`` that start from the stored table."""
+        points = layout.stored(self.spark, layout.store(self.points, self.displacements))
+        return features(G.segments(T.trips_of(points), method))
+
     def long_features(self, method: str = "v1", split: str | None = None) -> DataFrame:
         """``features`` with a user's points dealt out by blocks of time."""
         points = self.points if split is None else L.of_split(self.points, self.split(), split)
@@ -217,6 +223,7 @@ QUERIES: dict[str, Query] = {
     "a10_sex": _q(lambda t: A.modal_split(t.post(), t.individuals, "sex")),
     "a11_age": _q(lambda t: A.modal_split(t.post(), t.individuals, "age")),
     "a12_diploma": _q(lambda t: A.modal_split(t.post(), t.individuals, "diploma")),
+    "s5_stored_features": _q(lambda t: t.stored_features()),
     "long_features_v1": _rides(lambda t: t.long_features("v1")),
     "long_features_v2": _rides(lambda t: t.long_features("v2").select("user_id", "trip_id", "seg_id", "hcr", "sr", "vcr", "v_max", "a_max")),
     "long_post": _rides(lambda t: t.long_post()),

@@ -265,7 +265,7 @@ SELECTS: dict[str, str] = {
     "g10_optimal": f"SELECT {_SEG}, seg_id FROM seg_optimal",
     "g10_optimal_features": "SELECT user_id, trip_id, seg_id, hcr, sr, vcr, v_max, a_max FROM features_optimal",
     **{f"f{i}_{n}": f"SELECT user_id, trip_id, seg_id, {n} FROM features_v1" for i, n in enumerate(("hcr", "sr", "vcr", "v_max", "v_median", "v_p99", "a_max", "share_fast", "share_very_fast", "duration_us", "length_m"), 1)},
-    "features_v1": "SELECT * FROM features_v1",
+    **dict.fromkeys(("features_v1", "s5_stored_features"), "SELECT * FROM features_v1"),
     "features_v2": "SELECT user_id, trip_id, seg_id, hcr, sr, vcr, v_max, a_max FROM features_v2",
     "t0_split": "SELECT user_id, split FROM split",
     "t1_train": "SELECT user_id, trip_id, seg_id FROM features_v1 WHERE user_id IN (SELECT user_id FROM split WHERE split = 'train')",
