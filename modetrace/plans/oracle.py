@@ -125,6 +125,17 @@ def _cell(x: str, per_degree: int) -> str:
     return f"CAST(floor({x} * {per_degree}) AS BIGINT)"
 
 
+def _stays(source: str, prefix: str) -> dict[str, str]:
+    """From each point the first one outside its radius, then the anchors that the scan reaches."""
+    return {
+        "stay_rows": f"SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY user_id) AS size_ FROM {source}",
+        "stay_outside": f"SELECT a.user_id, a.rn, min(b.rn) AS j FROM {prefix}stay_rows a JOIN {prefix}stay_rows b ON a.user_id = b.user_id AND b.rn > a.rn AND {_distance('a.', 'b.')} > {S.stay_m} GROUP BY a.user_id, a.rn",
+        "stay_jumps": f"SELECT a.user_id, a.rn, a.size_, b.rn + 1 AS j, b.t - a.t >= {S.stay_s * 1_000_000} AS stays FROM {prefix}stay_rows a LEFT JOIN {prefix}stay_outside o ON a.user_id = o.user_id AND a.rn = o.rn JOIN {prefix}stay_rows b ON a.user_id = b.user_id AND b.rn = coalesce(o.j, a.size_ + 1) - 1",
+        "stay_anchors": f"SELECT user_id, rn, j, stays, size_ FROM {prefix}stay_jumps WHERE rn = 1 UNION ALL SELECT n.user_id, n.rn, n.j, n.stays, n.size_ FROM {prefix}stay_anchors p JOIN {prefix}stay_jumps n ON n.user_id = p.user_id AND n.rn = CASE WHEN p.stays THEN p.j ELSE p.rn + 1 END",
+        "stay_flags": f"SELECT r.user_id, r.event_id, count(a.rn) > 0 AS stay FROM {prefix}stay_rows r LEFT JOIN {prefix}stay_anchors a ON a.user_id = r.user_id AND a.stays AND r.rn >= a.rn AND r.rn < a.j GROUP BY r.user_id, r.event_id",
+    }
+
+
 def _optics(radii: tuple[float, ...]) -> dict[str, str]:
     """Clusters at several radii, each from pairs of places within it."""
     out = {"reach_pairs": f"SELECT a.y, a.x, b.y AS y2, b.x AS x2, b.n AS n2, {_distance('a.', 'b.')} AS metres FROM fine a JOIN fine b ON abs(a.lat - b.lat) <= 0.02 AND {_distance('a.', 'b.')} <= {max(radii)}"}
@@ -213,12 +224,12 @@ CTES: dict[str, str] = {
     "changes": f"SELECT user_id, trip_id, seg_id, t_start AS t, lat, lon, prev, mode FROM (SELECT *, lag(mode) OVER ({WS}) AS prev FROM post) WHERE prev <> mode",
     "declared_trips": f"SELECT {_TRIP_COLUMNS}, {_canonical('mode_1')} AS declared, precision, recall, f1 FROM ({_trips('declared')}) LEFT JOIN declared_modes USING (user_id, trip_id) LEFT JOIN metrics USING (user_id, trip_id)",
     "extra_trips": _trips("extra"),
-    # stays: from each point the first one outside its radius, then the anchors that the scan reaches
-    "stay_rows": f"SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY user_id) AS size_ FROM c5",
-    "stay_outside": f"SELECT a.user_id, a.rn, min(b.rn) AS j FROM stay_rows a JOIN stay_rows b ON a.user_id = b.user_id AND b.rn > a.rn AND {_distance('a.', 'b.')} > {S.stay_m} GROUP BY a.user_id, a.rn",
-    "stay_jumps": f"SELECT a.user_id, a.rn, a.size_, b.rn + 1 AS j, b.t - a.t >= {S.stay_s * 1_000_000} AS stays FROM stay_rows a LEFT JOIN stay_outside o ON a.user_id = o.user_id AND a.rn = o.rn JOIN stay_rows b ON a.user_id = b.user_id AND b.rn = coalesce(o.j, a.size_ + 1) - 1",
-    "stay_anchors": "SELECT user_id, rn, j, stays, size_ FROM stay_jumps WHERE rn = 1 UNION ALL SELECT n.user_id, n.rn, n.j, n.stays, n.size_ FROM stay_anchors p JOIN stay_jumps n ON n.user_id = p.user_id AND n.rn = CASE WHEN p.stays THEN p.j ELSE p.rn + 1 END",
-    "stays": "SELECT r.user_id, r.event_id, count(a.rn) > 0 AS stay FROM stay_rows r LEFT JOIN stay_anchors a ON a.user_id = r.user_id AND a.stays AND r.rn >= a.rn AND r.rn < a.j GROUP BY r.user_id, r.event_id",
+    **_stays("c5", ""),
+    # the same over extra points only
+    **{f"extra_{k}": v for k, v in _stays("extra", "extra_").items()},
+    "stays": "SELECT user_id, event_id, stay FROM stay_flags",
+    "extra_stays": "SELECT e.*, s.stay FROM extra e JOIN extra_stay_flags s USING (user_id, event_id)",
+    "stay_gaps": _starts("extra_stays", W, f"t - lag(t) OVER w > {S.gap_s * 1_000_000} OR (lag(stay) OVER w AND NOT stay)", "n"),
     **_places("place", S.places_per_degree),
     **_places("fine", S.cluster_cells),
     **_optics((60.0, 200.0, 450.0)),
@@ -234,7 +245,7 @@ CTES: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT user_id, trip_id, seg_id, cluster, '{m}' AS m, {p} AS p FROM placed_rule WHERE confidence < {S.tau} AND cluster IS NOT NULL" for m, p in P.items())
     + ") l LEFT JOIN shares s ON s.cluster = l.cluster AND s.mode = l.m)) WHERE k = 1 AND score > 0",
 }
-RECURSIVE = {"stay_anchors", "core_reach", "forward", "backward", "kept3", "kept4", "cutting", "cut_places", "o0_reach", "o1_reach", "o2_reach"}
+RECURSIVE = {"stay_anchors", "extra_stay_anchors", "core_reach", "forward", "backward", "kept3", "kept4", "cutting", "cut_places", "o0_reach", "o1_reach", "o2_reach"}
 
 _POINT = "user_id, event_id, t, lat, lon"
 _SEG = "user_id, event_id, trip_id"
@@ -294,6 +305,7 @@ SELECTS: dict[str, str] = {
     "p9_optics": "SELECT radius, lat_cell, lon_cell, cluster FROM optics",
     "p9_nearest": f"SELECT user_id, trip_id, seg_id, CAST(rank AS INTEGER) AS rank, near_user_id, near_trip_id, near_seg_id, metres FROM (SELECT a.user_id, a.trip_id, a.seg_id, b.user_id AS near_user_id, b.trip_id AS near_trip_id, b.seg_id AS near_seg_id, {_distance('a.', 'b.')} AS metres, row_number() OVER (PARTITION BY a.user_id, a.trip_id, a.seg_id ORDER BY {_distance('a.', 'b.')}, b.user_id, b.trip_id, b.seg_id) AS rank FROM changes a JOIN changes b ON (a.user_id, a.trip_id, a.seg_id) <> (b.user_id, b.trip_id, b.seg_id)) WHERE rank <= {S.nearest}",
     "p9_spatial": f"SELECT {RESULT} FROM ({_with_mode('rule_test LEFT JOIN spatial_best USING (user_id, trip_id, seg_id)', 'coalesce(better, mode)')})",
+    "g4_stay_trips": f"SELECT {_POINT}, 'declared' AS kind, concat('D-', user_id, '-', blk) AS trip_id FROM declared UNION ALL SELECT {_POINT}, 'extra', concat('E-', user_id, '-', n) FROM stay_gaps",
     "g4_stay": "SELECT user_id, event_id, stay FROM stays",
     "p10_post": f"SELECT {RESULT} FROM post",
     "a1_test": f"SELECT {RESULT} FROM rule_test",
