@@ -69,6 +69,8 @@ class Settings:
     unseen: float = 1e-6
     # analysis
     cells_per_degree: int = 1000
+    #: bits of a place along each side in the finest level of the pyramid of maps
+    tile_bits: int = 12
     radius_m: float = 200.0
     places_per_degree: int = 10_000
     cluster_cells: int = 2000

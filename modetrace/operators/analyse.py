@@ -55,6 +55,32 @@ def change_density(changes: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return changes.select(*cell).groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
 
 
+def morton(y: Column, x: Column, bits: int) -> Column:
+    """The bits of two numbers in turn, y's first: a cell's code less its last two
+    bits is the code of the cell around it, of twice the side."""
+    out = F.lit(0).cast("long")
+    for i in range(bits):
+        for value, place in ((x, 2 * i), (y, 2 * i + 1)):
+            out = out + F.shiftleft(F.shiftright(value, i).bitwiseAND(1), place)
+    return out
+
+
+def tile_pyramid(changes: DataFrame, *by: str, s: Settings = DEFAULTS) -> DataFrame:
+    """(level, code, by..., n) of the cells with change points at every level from 0, the
+    whole region, to tile_bits. The finest cells are counted first; each then counts for
+    the prefixes of its code, so that every level sums to all changes."""
+    side = 1 << s.tile_bits
+
+    def place(column: str, bounds: tuple[float, float]) -> Column:
+        share = (F.col(column) - bounds[0]) / (bounds[1] - bounds[0])
+        return F.greatest(F.lit(0).cast("long"), F.least(F.lit(side - 1).cast("long"), F.floor(share * side)))
+
+    finest = changes.select(morton(place("lat", s.lat), place("lon", s.lon), s.tile_bits).alias("code"), *by).groupBy("code", *by).agg(F.count("*").alias("n"))
+    levels = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(s.tile_bits))))
+    prefix = F.expr(f"shiftright(code, 2 * ({s.tile_bits} - level))")
+    return levels.groupBy("level", prefix.alias("code"), *by).agg(F.sum("n").alias("n"))
+
+
 def transition_labels(changes: DataFrame) -> DataFrame:
     return changes.withColumn("kind", F.concat_ws("→", "prev", "mode"))
 

@@ -219,6 +219,8 @@ QUERIES: dict[str, Query] = {
     "a6_histogram": _rides(lambda t: A.transition_histogram(t.changes())),
     "a7_matrix": _rides(lambda t: A.observed_matrix(t.changes())),
     "a8_density": _rides(lambda t: A.change_density(t.changes())),
+    "s9_pyramid": _rides(lambda t: A.tile_pyramid(A.transition_labels(t.changes()), "kind")),
+    "s10_pyramid": _rides(lambda t: A.tile_pyramid(t.changes())),
     "a9_labels": _rides(lambda t: A.transition_labels(t.changes()).select("user_id", "trip_id", "seg_id", "t", "kind")),
     "a10_sex": _q(lambda t: A.modal_split(t.post(), t.individuals, "sex")),
     "a11_age": _q(lambda t: A.modal_split(t.post(), t.individuals, "age")),

@@ -116,6 +116,15 @@ def _split_by(group: str) -> str:
       FROM (SELECT {group} AS "group", mode, CAST(sum(us) AS BIGINT) AS us FROM time_post LEFT JOIN individuals USING (user_id) GROUP BY 1, 2)"""
 
 
+def _pyramid(kind: str) -> str:
+    """Cells of every level, from the places themselves."""
+    side = 1 << S.tile_bits
+    y, x = (f"greatest(0, least({side - 1}, CAST(floor(({c} - {b[0]}) / ({b[1]} - {b[0]}) * {side}) AS BIGINT)))" for c, b in (("lat", S.lat), ("lon", S.lon)))
+    code = " + ".join(f"(((({v} >> ({S.tile_bits} - level)) >> {i}) & 1) << {2 * i + k})" for i in range(S.tile_bits) for v, k in (("x_", 0), ("y_", 1)))
+    group = ", kind" if kind else ""
+    return f"SELECT CAST(level AS INTEGER) AS level, CAST({code} AS BIGINT) AS code{group}, count(*) AS n FROM (SELECT {y} AS y_, {x} AS x_, concat(prev, '→', mode) AS kind FROM changes) CROSS JOIN (SELECT unnest(range(0, {S.tile_bits + 1})) AS level) GROUP BY 1, 2{group and ', 3'}"
+
+
 _AGES = "CASE WHEN age IS NULL THEN 'unknown' " + " ".join(f"WHEN age < {b} THEN '{a}-{b - 1}'" for a, b in zip((0, *S.ages), S.ages, strict=False)) + f" ELSE '{S.ages[-1]}+' END"
 _TRIP_COLUMNS = "user_id, trip_id, kind, date, hour, t_start, t_end, predicted"
 
@@ -315,6 +324,8 @@ SELECTS: dict[str, str] = {
     "a6_histogram": "SELECT prev, mode, count(*) AS n FROM changes GROUP BY prev, mode",
     "a7_matrix": "SELECT prev, " + ", ".join(f"count(*) FILTER (mode = '{m}') AS to_{m.lower()}" for m in CANONICAL) + " FROM changes GROUP BY prev",
     "a8_density": f"SELECT CAST(floor(lat * {S.cells_per_degree}) AS BIGINT) AS lat_cell, CAST(floor(lon * {S.cells_per_degree}) AS BIGINT) AS lon_cell, count(*) AS n FROM changes GROUP BY 1, 2",
+    "s9_pyramid": _pyramid("kind"),
+    "s10_pyramid": _pyramid(""),
     "a9_labels": "SELECT user_id, trip_id, seg_id, t, concat(prev, '→', mode) AS kind FROM changes",
     "a10_sex": _split_by("coalesce(sex, 'unknown')"),
     "a11_age": _split_by(_AGES),
@@ -325,7 +336,7 @@ SELECTS: dict[str, str] = {
 
 #: Queries over the rides, and what they select.
 RIDES: dict[str, str] = {
-    **{k: SELECTS.pop(k) for k in ("a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence", "g10_optimal", "g10_optimal_features", "p9_optics", "p9_nearest", "p7_pairs", "p7_time")},
+    **{k: SELECTS.pop(k) for k in ("s9_pyramid", "s10_pyramid", "a3_changes", "a6_histogram", "a7_matrix", "a8_density", "a9_labels", "p9_radius", "p9_clusters", "p9_spatial", "p2_sequence", "g10_optimal", "g10_optimal_features", "p9_optics", "p9_nearest", "p7_pairs", "p7_time")},
     "long_features_v1": SELECTS["features_v1"],
     "long_features_v2": SELECTS["features_v2"],
     "long_post": SELECTS["p10_post"],

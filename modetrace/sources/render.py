@@ -7,14 +7,15 @@ with coarser places, so that every change is counted in one of them.
 from __future__ import annotations
 
 import html
+import json
 from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modetrace.config import CANONICAL
-from modetrace.operators.analyse import transition_labels
+from modetrace.config import CANONICAL, DEFAULTS, Settings
+from modetrace.operators.analyse import tile_pyramid, transition_labels
 from modetrace.sources.png import SILVER, Canvas
 
 LIMIT = 5000
@@ -44,6 +45,26 @@ s.addEventListener("pointermove", e => {
 });
 </script>"""
 _W, _H = 900, 700
+#: Marks of a level of the pyramid that a page may carry; finer levels than that are left out.
+EMBED = 20_000
+#: After each move the page draws the finest level that has at most so many marks in view.
+_LEVELS = """<script>
+const marks = s.querySelector("#marks");
+function drawn(level) {
+  return level.filter(m => m[0] >= v.x && m[0] <= v.x + v.width && m[1] >= v.y && m[1] <= v.y + v.height);
+}
+function redraw() {
+  for (const level of LEVELS) {  // from fine to coarse
+    const shown = drawn(level);
+    if (shown.length > LIMIT) continue;
+    const size = v.width / 900;
+    marks.innerHTML = shown.map(m => `<circle cx="${m[0]}" cy="${m[1]}" r="${(3 + m[2] ** 0.25) * size}" fill="${m[4]}" fill-opacity="0.6"><title>${m[3]}: ${m[2]}</title></circle>`).join("");
+    return;
+  }
+}
+s.addEventListener("wheel", redraw);
+s.addEventListener("pointerup", redraw);
+</script>"""
 
 
 def _page(title: str, body: str, note: str = "") -> str:
@@ -68,6 +89,28 @@ def _coarse_enough(rows: DataFrame, places: list[list], *kinds: str) -> list:
     return next((place for place, n in zip(places, numbers, strict=True) if n <= 0.9 * LIMIT), places[-1])
 
 
+def cell_centre(code: int, level: int, s: Settings = DEFAULTS) -> tuple[float, float]:
+    """Latitude and longitude of the middle of a cell of ``tile_pyramid``."""
+    y = sum((code >> 2 * i + 1 & 1) << i for i in range(level))
+    x = sum((code >> 2 * i & 1) << i for i in range(level))
+    return tuple(low + (high - low) * (k + 0.5) / (1 << level) for k, (low, high) in ((y, s.lat), (x, s.lon)))
+
+
+def _levels(pyramid: DataFrame, xy, color, s: Settings = DEFAULTS) -> str:
+    """Data and script of the pyramid's levels: [x, y, n, title, colour] of each mark,
+    levels from fine to coarse."""
+    sizes = {r.level: r["count"] for r in pyramid.groupBy("level").count().collect()}  # a row a level
+    kept = [level for level, n in sizes.items() if n <= EMBED]
+    levels: dict[int, list] = {}
+    for r in pyramid.where(F.col("level").isin(kept)).orderBy("level", "code").collect():
+        lat, lon = cell_centre(r.code, r.level, s)
+        x, y = xy({"lat": lat, "lon": lon})
+        kind = r.kind if "kind" in pyramid.columns else "changes"
+        levels.setdefault(r.level, []).append([round(x, 2), round(y, 2), r.n, kind, color(kind)])
+    data = json.dumps([levels[k] for k in sorted(levels, reverse=True)], ensure_ascii=False).replace("<", "\\u003c")
+    return f"<script>const LIMIT = {LIMIT}, LEVELS = {data};</script>{_LEVELS}"
+
+
 def transition_map(changes: DataFrame, path: str) -> None:
     """Change points by place, coloured and titled by the type of transition."""
     labelled = transition_labels(changes)
@@ -80,7 +123,8 @@ def transition_map(changes: DataFrame, path: str) -> None:
         by_type[r.kind] += r.n
         dots.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{3 + r.n**0.25:.1f}" fill="{TYPES.get(r.kind, "gray")}" fill-opacity="0.6"><title>{html.escape(r.kind)}: {r.n}</title></circle>')
     legend = "".join(f'<li><span style="background:{TYPES.get(k, "gray")}">&emsp;</span> {html.escape(k)}: {n}</li>' for k, n in by_type.most_common())
-    Path(path).write_text(_page("Mode changes", f"{_svg(dots)}<ul>{legend}</ul>{_MOVE}", f"{by_type.total()} changes at {len(rows)} places and types"), encoding="utf-8")
+    levels = _levels(tile_pyramid(labelled, "kind"), xy, lambda kind: TYPES.get(kind, "gray"))
+    Path(path).write_text(_page("Mode changes", f"{_svg(['<g id=marks>', *dots, '</g>'])}<ul>{legend}</ul>{_MOVE}{levels}", f"{by_type.total()} changes at {len(rows)} places and types"), encoding="utf-8")
 
 
 def density_map(density: DataFrame, path: str) -> None:
