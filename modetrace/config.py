@@ -73,6 +73,9 @@ class Settings:
     tile_bits: int = 12
     radius_m: float = 200.0
     places_per_degree: int = 10_000
+    #: places on the rim of the radius are cut into finer x finer parts, so many times
+    finer: int = 4
+    refined: int = 2
     cluster_cells: int = 2000
     dense: int = 3
     #: clusters can be read at any radius up to this

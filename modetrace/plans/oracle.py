@@ -309,7 +309,7 @@ SELECTS: dict[str, str] = {
     "p7_pairs": "SELECT user_id, trip_id, predicted, declared, us FROM pair_times",
     **dict.fromkeys(("p7_time", "p7_time_events"), "SELECT user_id, trip_id, declared_us, predicted_us, hit_us, CAST(hit_us AS DOUBLE) / predicted_us AS precision, CAST(hit_us AS DOUBLE) / declared_us AS recall, CASE WHEN hit_us > 0 THEN 2 * (CAST(hit_us AS DOUBLE) / predicted_us) * (CAST(hit_us AS DOUBLE) / declared_us) / (CAST(hit_us AS DOUBLE) / predicted_us + CAST(hit_us AS DOUBLE) / declared_us) ELSE 0.0 END AS f1 FROM time_sums WHERE predicted_us > 0"),
     "p8_info": "SELECT user_id, sex, age, diploma FROM users LEFT JOIN individuals USING (user_id)",
-    "p9_radius": f"SELECT user_id, trip_id, seg_id, CAST(n AS BIGINT) AS n FROM changes JOIN (SELECT y, x, sum(n2) - 1 AS n FROM place_pairs GROUP BY y, x) ON {_cell('lat', S.places_per_degree)} = y AND {_cell('lon', S.places_per_degree)} = x",
+    "p9_radius": f"SELECT a.user_id, a.trip_id, a.seg_id, count(*) - 1 AS n FROM changes a JOIN changes b ON abs(a.lat - b.lat) <= 0.01 AND {_distance('a.', 'b.')} <= {S.radius_m} GROUP BY a.user_id, a.trip_id, a.seg_id",
     "p9_clusters": "SELECT lat_cell, lon_cell, cluster FROM found_clusters",
     "p9_optics": "SELECT radius, lat_cell, lon_cell, cluster FROM optics",
     "p9_nearest": f"SELECT user_id, trip_id, seg_id, CAST(rank AS INTEGER) AS rank, near_user_id, near_trip_id, near_seg_id, metres FROM (SELECT a.user_id, a.trip_id, a.seg_id, b.user_id AS near_user_id, b.trip_id AS near_trip_id, b.seg_id AS near_seg_id, {_distance('a.', 'b.')} AS metres, row_number() OVER (PARTITION BY a.user_id, a.trip_id, a.seg_id ORDER BY {_distance('a.', 'b.')}, b.user_id, b.trip_id, b.seg_id) AS rank FROM changes a JOIN changes b ON (a.user_id, a.trip_id, a.seg_id) <> (b.user_id, b.trip_id, b.seg_id)) WHERE rank <= {S.nearest}",

@@ -272,6 +272,23 @@ def test_radius_and_clusters(spark):
     assert modes(spatial.spatial_post_process(weak, changes)) == ["CAR"]
 
 
+@pytest.mark.parametrize(("radius", "finer", "refined"), [(200.0, 4, 2), (35.0, 2, 3), (90.0, 4, 0), (5.0, 4, 1)])
+def test_radius_counts_are_exact(spark, radius, finer, refined):
+    rng = random.Random(int(radius))
+    places = [(48.81 + rng.gauss(0, 90) * M, 2.3 + rng.gauss(0, 130) * M) for _ in range(250)]
+    places += [(48.81 + radius * M, 2.3), (48.81 - radius * M, 2.3)] + [(48.81, 2.3)] * 40 + [(48.9, 2.4)]
+    rows = [(1, "E-1-0", i, i, y, x, "BUS", "CAR") for i, (y, x) in enumerate(places)]
+    changes = spark.createDataFrame(rows + [(1, "E-1-0", 999, 0, None, 2.3, "BUS", "CAR")], CHANGE)
+    got = {r.seg_id: r.n for r in spatial.radius_counts(changes, Settings(radius_m=radius, finer=finer, refined=refined)).collect()}
+
+    def metres(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return round(2 * 6_371_000 * math.asin(math.sqrt(h)), 3)
+
+    assert got == {i: sum(metres(a, b) <= radius for b in places) - 1 for i, a in enumerate(places)}
+    assert spatial.radius_counts(changes.limit(0)).count() == 0
+
+
 def test_forest_roundtrip(spark, tmp_path):
 
     from modetrace.sources import readers, writers
