@@ -12,8 +12,10 @@ exact lengths: the same share of every length first, then the words still
 missing by bounded-knapsack dynamic programming over what is left. Which
 documents of a length those are is settled by a seeded hash, with a binary
 search of hash ranges in place of a ranking, so that no group, however large,
-passes through one task. Reruns agree; rows that repeat a doc_id and size are
-taken alike as far as their order in the hash allows.
+passes through one task. The hash is of doc_id and text, so that rows which share
+an id spread by their texts; rows without an id spread by their place in the input
+too, copies among them. Reruns agree, for rows without an id as long as the input
+is split alike. Only copies that share an id, a source and a text fall in one range.
 
 Null and empty texts have size 0 and are never taken. A null doc_id counts as
 an id of its own.
@@ -41,6 +43,14 @@ def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+def _sizes(rows: DataFrame, seed: int, *more: str) -> DataFrame:
+    """(doc_id, source, __size, mark, more), written: ``mark`` is what settles which
+    documents of a length are taken."""
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    marked = with_sizes(rows).withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "text", place))
+    return materialise(marked.select("doc_id", "source", "__size", "mark", *more), "sizes")
+
+
 def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
     """The target of each source. One entry a source, not a document."""
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
@@ -136,28 +146,26 @@ def _takes(goals: dict[str | None, tuple[int, float]]):
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row:
     ``copies`` is how often the mix takes the document, 0 to TIMES."""
-    sized = materialise(with_sizes(docs.select("doc_id", "text", F.col("source").cast("string"))).select("doc_id", "source", "__size"), "sizes")
-    return _copies(sized, seed)
+    return _copies(_sizes(docs.select("doc_id", "text", F.col("source").cast("string")), seed))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, with their columns, each as often as the mix takes it."""
     place, copies, copy = fresh(docs, "row", "copies", "copy")
     rows = materialise(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
-    sized = materialise(with_sizes(rows.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col(place).alias("__row"))).select("doc_id", "source", "__size", "__row"), "sizes")
-    taken = _copies(sized, seed, ("__row",)).where("copies > 0").select(F.col("__row").alias(place), F.col("copies").alias(copies))
+    sized = _sizes(rows.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col(place).alias("__row")), seed, "__row")
+    taken = _copies(sized, ("__row",)).where("copies > 0").select(F.col("__row").alias(place), F.col("copies").alias(copies))
     return rows.join(taken, place).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
-def _copies(sized: DataFrame, seed: int, more: tuple[str, ...] = ()) -> DataFrame:
+def _copies(sized: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     histogram = materialise(sized.groupBy("source", "__size").agg(F.count("*").alias("n")), "lengths")
     totals = {r.source: int(r.words or 0) for r in histogram.groupBy("source").agg(F.sum(F.col("__size") * F.col("n")).alias("words")).collect()}
     goal = targets(totals)
     goals = {s: (totals[s], goal[s]) for s in totals}
     # one group a source: a row for each distinct length, not for each document
     takes = materialise(histogram.groupBy("source").applyInPandas(_takes(goals), "source string, __size long, whole int, take long, n long, source_size long, target double"), "takes")
-    mark = F.xxhash64(F.lit(seed), "doc_id")
-    spread = F.pmod(mark, F.lit(RANGES)).cast("int")
+    spread = F.pmod("mark", F.lit(RANGES)).cast("int")
     partial = takes.where("take > 0 AND take < n").select("source", "__size", "take")
     ranged = sized.select("source", "__size", spread.alias("range")).join(partial, (sized["source"].eqNullSafe(partial["source"])) & (sized["__size"] == partial["__size"])).select(sized["source"], sized["__size"], "range", "take")
     cells = materialise(ranged.groupBy("source", "__size", "range", "take").agg(F.count("*").alias("k")).withColumn("part", F.floor(F.col("range") / STRIDE)), "cells")
@@ -168,7 +176,7 @@ def _copies(sized: DataFrame, seed: int, more: tuple[str, ...] = ()) -> DataFram
     inner = _left(cells.drop("take"), parts.select(*whole, F.col("part").alias("own"), F.col("need").alias("take")), whole).where("part = own")
     met = materialise(_met(inner, (*whole, "part"), "range").select(*whole, F.col("range").alias("last"), "need"), "met")
     plan = materialise(_left(takes, met, ("source", "__size")), "plan")
-    joined = _left(sized.withColumn("mark", mark).withColumn("range", spread), plan, ("source", "__size"))
+    joined = _left(sized.withColumn("range", spread), plan, ("source", "__size"))
     edge = F.col("range") == F.col("last")
     decided = joined.select(*more, "doc_id", "source", "__size", "mark", "need", edge.alias("edge"), F.coalesce(F.when(F.col("last").isNotNull(), F.col("range") < F.col("last")).otherwise(F.col("take") > 0), F.lit(False)).alias("in"), "whole", "source_size", "target")
     decided = materialise(decided, "decided")

@@ -13,6 +13,7 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from modetrace.llm import bpe, common, maxscore, mixing, pii, quality, registry, secret_scan, simhash, simple8b, spans, toxicity
 
@@ -161,6 +162,20 @@ def test_targets():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
 
 
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_mix_spreads_rows_without_ids(spark, ids):
+    doc_id = F.lit(None).cast("long") if ids == "null" else F.lit(7).cast("long")
+    text = F.lit("one two three") if ids == "null" else F.concat(F.lit("one two "), F.col("id"))
+    docs = spark.range(20_000).select(doc_id.alias("doc_id"), text.alias("text"), F.lit("web").alias("source"))
+    sized = mixing._sizes(docs, mixing.SEED)
+    largest = sized.groupBy(F.pmod("mark", F.lit(mixing.RANGES))).count().agg(F.max("count")).first()[0]
+    assert largest < 40
+    rows = mixing.digests(mixing.mix(docs))
+    target, taken = rows.agg(F.first("target"), F.sum("taken")).first()
+    assert target == 90_000 and taken == 90_000
+    assert mixing.mixed(docs).count() == 30_000
+
+
 def test_mix(spark, texts):
     got = frame(spark, "op5_mixing")
     assert got["size"].tolist() == [len(WORD.findall(t or "")) for _, t in texts]
