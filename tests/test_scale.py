@@ -6,7 +6,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from modetrace.functions.grouped import whole_groups
-from modetrace.operators import trips
+from modetrace.operators import postprocess, trips
+from modetrace.plans.catalog import Tables
+from modetrace.sources import deal
 
 S = 1_000_000
 
@@ -29,3 +31,22 @@ def test_groups_across_batches():
         assert [x for t in tables for x in t.column("x").to_pylist()] == list(range(10))
         assert all(t.column("starts").to_pylist()[0] for t in tables)
     assert list(whole_groups(iter([rows.slice(0, 0)]), "starts")) == []
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_tasks_follow_rows(spark, monkeypatch):
+    """Points, trips, predictions and marks are dealt out by rows; Spark put them together
+    by their compressed size, so that a task's sorts grew with the table."""
+    plain = Tables(spark, SF, "rides")
+    want = {n: sorted(map(str, f.collect())) for n, f in (("changes", plain.changes()), ("pairs", postprocess.time_by_pair(plain.post(), plain.displacements)))}
+    monkeypatch.setattr(deal, "ROWS_A_TASK", 300)
+    t = Tables(spark, SF, "rides")
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert t.tasks == -(-rows // 300) > 10
+    pairs = postprocess.time_by_pair(t.post(), t.displacements, t.tasks)
+    assert t.points.rdd.getNumPartitions() == t.trips().rdd.getNumPartitions() == t.tasks
+    monkeypatch.setattr(deal, "ROWS_A_TASK", 40)
+    assert t.changes().rdd.getNumPartitions() == -(-t.predicted().count() // 40) > 4
+    assert {"changes": sorted(map(str, t.changes().collect())), "pairs": sorted(map(str, pairs.collect()))} == want
