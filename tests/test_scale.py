@@ -2,11 +2,13 @@
 
 import time
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from modetrace.config import DEFAULTS
 from modetrace.functions.grouped import whole_groups
-from modetrace.operators import postprocess, trips
+from modetrace.operators import breaks, postprocess, segment, trips
 from modetrace.plans.catalog import Tables
 from modetrace.sources import deal
 
@@ -50,3 +52,22 @@ def test_tasks_follow_rows(spark, monkeypatch):
     monkeypatch.setattr(deal, "ROWS_A_TASK", 40)
     assert t.changes().rdd.getNumPartitions() == -(-t.predicted().count() // 40) > 4
     assert {"changes": sorted(map(str, t.changes().collect())), "pairs": sorted(map(str, pairs.collect()))} == want
+
+
+def test_profiles_side_by_side(monkeypatch):
+    """The same cuts as one by one, with missing speeds and several lengths."""
+    rng = np.random.default_rng(8)
+    profiles = [np.rint(np.repeat(rng.uniform(0, 30_000, 9), rng.integers(1, 30, 9)) + 0.0) for _ in range(60)]
+    profiles = [np.where(rng.random(len(x)) < 0.1, np.nan, np.rint(x + rng.normal(0, 2000, len(x)))) for x in profiles] + [np.array([np.nan]), np.array([5.0])]
+    monkeypatch.setattr(breaks, "SHORT", 150)
+    got = breaks.partitions(profiles, DEFAULTS.break_penalty)
+    assert [p.tolist() for p in got] == [breaks.partition(x, DEFAULTS.break_penalty) for x in profiles]
+
+
+def test_many_trips_take_little_time(spark):
+    """4000 trips of 60 points: each was a call of Python, and each point a dozen of numpy, before."""
+    df = spark.range(240_000).select(F.expr("id div 6000").alias("user_id"), F.col("id").alias("event_id"), (F.col("id") * 10 * S).alias("t"), (F.lit(48.1) + (F.col("id") % 60) * 0.001 * (1 + (F.col("id") % 60 > 30).cast("int"))).alias("lat"), F.lit(2.3).alias("lon"), F.lit("extra").alias("kind"), F.expr("concat('E-', id div 60)").alias("trip_id"))
+    began = time.perf_counter()
+    rows = segment.segments(df, "v2", optimal=True).groupBy("seg_id").count().collect()
+    assert sum(r["count"] for r in rows) == 240_000 and len(rows) > 1
+    assert time.perf_counter() - began < 12
