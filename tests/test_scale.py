@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from modetrace.config import DEFAULTS
 from modetrace.functions.grouped import whole_groups
-from modetrace.operators import breaks, postprocess, segment, trips
+from modetrace.operators import blocks, breaks, postprocess, segment, trips
 from modetrace.plans.catalog import Tables
 from modetrace.sources import deal
 
@@ -71,3 +71,14 @@ def test_many_trips_take_little_time(spark):
     rows = segment.segments(df, "v2", optimal=True).groupBy("seg_id").count().collect()
     assert sum(r["count"] for r in rows) == 240_000 and len(rows) > 1
     assert time.perf_counter() - began < 12
+
+
+def test_blocks_are_dealt_by_rows(spark, monkeypatch):
+    """Long traces too: the segments of their blocks lie in as many tasks as the rows ask for."""
+    t = Tables(spark, SF, "rides")
+    want = sorted(map(str, blocks.segmented(t.points, t.displacements).collect()))
+    monkeypatch.setattr(deal, "ROWS_A_TASK", 300)
+    t = Tables(spark, SF, "rides")
+    got = blocks.segmented(t.points, t.displacements, tasks=t.tasks)
+    assert got.rdd.getNumPartitions() == t.tasks > 10
+    assert sorted(map(str, got.collect())) == want
