@@ -22,6 +22,7 @@ from modetrace.config import DEFAULTS, Settings
 from modetrace.functions.graph import connected
 from modetrace.functions.motion import distance_m
 from modetrace.operators.spatial import DEGREE_M, neighbours, place_cells
+from modetrace.sources.deal import dealt, tasks_for
 from modetrace.sources.scratch import discard, materialise
 
 
@@ -29,6 +30,14 @@ def _node(lat: str, lon: str) -> Column:
     return F.col(lat) * (1 << 32) + F.col(lon)
 
 
+def _lat_cell(node: str) -> Column:
+    return F.floor(F.col(node) / (1 << 32))
+
+
+def _lon_cell(node: str) -> Column:
+    return F.pmod(node, F.lit(1 << 32))
+
+
 def neighbourhood(changes: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(pairs, cores): pairs (node, other, metres, n_other) of places within reach_m, each
     with itself, and (node, core), null where reach_m doesn't hold ``dense`` changes.
@@ -43,15 +52,32 @@ def neighbourhood(changes: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame
     return pairs, materialise(cores, "cores")
 
 
-def spanning_forest(pairs: DataFrame, cores: DataFrame) -> DataFrame:
+def short_edges(pairs: DataFrame, cores: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(node, other, reach) of the pairs that a minimum spanning forest may need: a few a
+    place, however many places lie around it.
+
+    Around a place there are eight sectors of 45 degrees. Of two places in one sector the
+    further is nearer to the closer one than to the middle. So if the closer one's core
+    distance is at most the further one's reach, both other sides of the triangle reach
+    no further than its edge and are shorter: the longest side of a triangle is not needed."""
+    have = cores.where("core IS NOT NULL")
+    edges = dealt(pairs.where("node <> other"), tasks_for(pairs.sparkSession, pairs.count()), "node").join(have, "node").join(have.toDF("other", "core_2"), "other")
+    lat, lon, lat_2, lon_2 = (f(c) for c in ("node", "other") for f in (_lat_cell, _lon_cell))
+    turn = F.atan2((lat_2 - lat).cast("double"), (lon_2 - lon) * F.cos(F.radians((lat + 0.5) / s.cluster_cells)))
+    sector = F.floor((turn + math.pi) / (math.pi / 4))
+    closer = Window.partitionBy("node", "sector").orderBy("metres", "other").rowsBetween(Window.unboundedPreceding, -1)
+    reached = edges.select("node", "other", "metres", "core_2", F.greatest("metres", "core", "core_2").alias("reach"), sector.alias("sector"))
+    least = F.min("core_2").over(closer)
+    return reached.withColumn("least", least).where("least IS NULL OR least > reach").select("node", "other", "reach")
+
+
+def spanning_forest(pairs: DataFrame, cores: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(u, v, reach): a minimum spanning forest of the places with a core distance. Of
     equal edges the one of the lesser nodes counts as less, which makes it one forest.
 
     In each round every component takes its least edge to another one; then what it
     joined is one node, and of the edges between two nodes the least is kept."""
-    have = cores.where("core IS NOT NULL")
-    edges = pairs.where("node < other").join(have, "node").join(have.toDF("other", "core_2"), "other")
-    edges = edges.select(F.col("node").alias("u"), F.col("other").alias("v"), F.greatest("metres", "core", "core_2").alias("reach"))
+    edges = short_edges(pairs, cores, s).where("node < other").select(F.col("node").alias("u"), F.col("other").alias("v"), "reach")
     left = materialise(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct("reach", "u", "v").alias("edge")), "edges")
     found = []
     while not left.isEmpty():
@@ -78,7 +104,7 @@ def cut(pairs: DataFrame, cores: DataFrame, forest: DataFrame, radius_m: float)
     named = materialise(grouped.join(grouped.groupBy("root").agg(F.min("node").alias("cluster")), "root").select("node", "cluster"), "named")
     to_core = pairs.where(F.col("metres") <= radius_m).join(named.toDF("other", "cluster"), "other")
     nearest = to_core.groupBy("node").agg(F.min(F.struct("metres", "cluster")).alias("best"))
-    cells = [F.floor(F.col("node") / (1 << 32)).alias("lat_cell"), F.pmod("node", F.lit(1 << 32)).alias("lon_cell")]
+    cells = [_lat_cell("node").alias("lat_cell"), _lon_cell("node").alias("lon_cell")]
     return cores.join(nearest, "node", "left").select(*cells, F.coalesce("best.cluster", F.lit(-1)).alias("cluster"))
 
 
@@ -87,7 +113,7 @@ def clusters_at(changes: DataFrame, radii: tuple[float, ...], s: Settings = DEFA
     if max(radii) > s.reach_m:
         raise ValueError(f"radii go up to reach_m, {s.reach_m}")
     pairs, cores = neighbourhood(changes, s)
-    forest = materialise(spanning_forest(pairs, cores), "forest")
+    forest = materialise(spanning_forest(pairs, cores, s), "forest")
     return reduce(DataFrame.unionByName, [cut(pairs, cores, forest, r).select(F.lit(float(r)).alias("radius"), "lat_cell", "lon_cell", "cluster") for r in radii])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from modetrace.config import DEFAULTS
 from modetrace.functions.grouped import whole_groups
-from modetrace.operators import blocks, breaks, postprocess, segment, trips
+from modetrace.operators import blocks, breaks, optics, postprocess, segment, trips
 from modetrace.plans.catalog import Tables
 from modetrace.sources import deal
 
@@ -82,3 +82,14 @@ def test_blocks_are_dealt_by_rows(spark, monkeypatch):
     got = blocks.segmented(t.points, t.displacements, tasks=t.tasks)
     assert got.rdd.getNumPartitions() == t.tasks > 10
     assert sorted(map(str, got.collect())) == want
+
+
+def test_few_edges_a_place(spark):
+    """A full square of places: a forest looked at every pair within reach before."""
+    places = [(y, x) for y in range(97_000, 97_012) for x in range(4_000, 4_012)]
+    name = {p: p[0] * (1 << 32) + p[1] for p in places}
+    near = [(name[a], name[b], round(55.6 * ((a[0] - b[0]) ** 2 + (0.66 * (a[1] - b[1])) ** 2) ** 0.5, 3)) for a in places for b in places]
+    pairs = spark.createDataFrame([r for r in near if r[2] <= 400], "node long, other long, metres double")
+    cores = spark.createDataFrame([(n, 0.0) for n in name.values()], "node long, core double")
+    assert pairs.count() > 50 * len(places)
+    assert optics.short_edges(pairs, cores).count() <= 8 * len(places)
