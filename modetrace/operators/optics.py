@@ -22,7 +22,7 @@ from modetrace.config import DEFAULTS, Settings
 from modetrace.functions.graph import connected
 from modetrace.functions.motion import distance_m
 from modetrace.operators.spatial import DEGREE_M, neighbours, place_cells
-from modetrace.sources.deal import dealt, tasks_for
+from modetrace.sources.deal import dealt, parts_for, tasks_for
 from modetrace.sources.scratch import discard, materialise
 
 
@@ -127,18 +127,17 @@ def nearest(queries: DataFrame, points: DataFrame, key: tuple[str, ...], k: int
     its k-th is no further. Those that aren't look again with cells four times as wide,
     where only their neighbourhoods are joined. Rows at one position are cut to the k + 1
     least keys first, so that a busy spot is a few rows. Dense areas are done in small
-    cells; wide ones are for empty areas.
+    cells, from the size that ``first_side`` finds; wide ones are for empty areas.
     """
     k = k or s.nearest
     here = Window.partitionBy("lat", "lon").orderBy(*key)
     distinct = points.select(*key, "lat", "lon").withColumn("__place", F.row_number().over(here)).where(F.col("__place") <= k + 1).drop("__place")
     sites = materialise(distinct.select(F.struct(*key).alias("near"), F.col("lat").alias("lat_2"), F.col("lon").alias("lon_2")), "sites")
     waiting = materialise(queries.select(*key, "lat", "lon"), "waiting")
-    done, side = [], s.nearest_cell_m
+    done, side = [], first_side(waiting, sites, s)
     while True:
         last = side > s.lat_span_m()
         found = _look(waiting, sites, key, k, side, last, s)
-        found = materialise(found, "nearest")
         done.append(found.where("sure"))
         if last:
             break
@@ -151,10 +150,34 @@ def nearest(queries: DataFrame, points: DataFrame, key: tuple[str, ...], k: int
     return every.select(*key, "rank", *(F.col(f"near.{c}").alias(f"near_{c}") for c in key), "metres")
 
 
-def _look(waiting: DataFrame, sites: DataFrame, key: tuple[str, ...], k: int, side: float, last: bool, s: Settings) -> DataFrame:
-    """The best k of each query among its cells, and whether they are sure."""
+def _grid(side: float, s: Settings) -> tuple[float, float]:
+    """Degrees of latitude and longitude that span ``side`` metres at least, up to the northern edge."""
     lat = side / DEGREE_M
-    lon = lat / math.cos(math.radians(s.lat[1]))
+    return lat, lat / math.cos(math.radians(s.lat[1]))
+
+
+def first_side(queries: DataFrame, sites: DataFrame, s: Settings = DEFAULTS) -> float:
+    """The widest cells, of nearest_cell_m or a quarter as often as it takes, in which a query
+    meets nearest_crowd sites of its own cell at most, on average: where the same area
+    gets more points, a query still looks at as many."""
+    sides = [s.nearest_cell_m / 4**i for i in range(s.nearest_finer + 1)]
+
+    def held(df: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+        cells = (F.struct(F.lit(i).alias("i"), F.floor(F.col(lat) / y).alias("ci"), F.floor(F.col(lon) / x).alias("cj")) for i, (y, x) in enumerate(_grid(side, s) for side in sides))
+        return df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.i", "c.ci", "c.cj").agg(F.count("*").alias(name))
+
+    both = held(queries, "lat", "lon", "n").join(held(sites, "lat_2", "lon_2", "n_2"), ["i", "ci", "cj"])
+    met = {r.i: r.pairs for r in both.groupBy("i").agg(F.sum(F.col("n") * F.col("n_2")).alias("pairs")).collect()}
+    most = s.nearest_crowd * queries.count()
+    return next((side for i, side in enumerate(sides) if met.get(i, 0) <= most), sides[-1])
+
+
+def _look(waiting: DataFrame, sites: DataFrame, key: tuple[str, ...], k: int, side: float, last: bool, s: Settings) -> DataFrame:
+    """The best k of each query among its cells, and whether they are sure; written.
+
+    Pairs of a query and a site are counted by cell first and dealt out by their number, a busy
+    cell's queries to several tasks."""
+    lat, lon = _grid(side, s)
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     left = waiting.withColumn("o", around).withColumns({"ci": F.floor(F.col("lat") / lat) + F.col("o.i"), "cj": F.floor(F.col("lon") / lon) + F.col("o.j")}).drop("o")
     if last:  # what is left looks at everything, in as many parts as there are tasks
@@ -163,9 +186,19 @@ def _look(waiting: DataFrame, sites: DataFrame, key: tuple[str, ...], k: int, si
         right = sites.withColumns({"ci": F.pmod(F.xxhash64("near"), F.lit(parts)).cast("int"), "cj": F.lit(0)})
     else:
         right = sites.withColumns({"ci": F.floor(F.col("lat_2") / lat), "cj": F.floor(F.col("lon_2") / lon)})
-    both = left.join(right, ["ci", "cj"]).where(F.struct(*key) != F.col("near"))
+    n, n_2 = (df.groupBy("ci", "cj").agg(F.count("*").alias(c)) for df, c in ((left, "n"), (right, "n_2")))
+    met = materialise(n.join(n_2, ["ci", "cj"]).select("ci", "cj", (F.col("n") * F.col("n_2")).alias("pairs")), "met")
+    tasks = tasks_for(met.sparkSession, met.agg(F.sum("pairs")).first()[0] or 0)
+    busy = F.broadcast(met.select("ci", "cj", parts_for(F.col("pairs")).alias("parts")).where("parts > 1"))  # a row a task, at most
+    left, right = (df.join(busy, ["ci", "cj"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for df in (left, right))
+    left = dealt(left.withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts"))).drop("parts"), tasks, "ci", "cj", "part")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    both = left.join(right, ["ci", "cj", "part"]).where(F.struct(*key) != F.col("near"))
     both = both.withColumn("metres", distance_m(F.col("lat"), F.col("lon"), F.col("lat_2"), F.col("lon_2")))
     own = Window.partitionBy(*key)
     ranked = both.withColumn("rank", F.row_number().over(own.orderBy("metres", "near"))).where(F.col("rank") <= k)
-    sure = F.lit(True) if last else (F.count("*").over(own) == k) & (F.max("metres").over(own) < side)
-    return ranked.select(*key, "rank", "near", "metres", sure.alias("sure"))
+    # distances are rounded, so a millimetre less than the side
+    sure = F.lit(True) if last else (F.count("*").over(own) == k) & (F.max("metres").over(own) < side - 0.001)
+    found = materialise(ranked.select(*key, "rank", "near", "metres", sure.alias("sure")), "nearest")
+    discard(met)
+    return found

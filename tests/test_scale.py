@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from modetrace.config import DEFAULTS
+from modetrace.config import DEFAULTS, EARTH_M
 from modetrace.functions.grouped import whole_groups
 from modetrace.operators import blocks, breaks, optics, postprocess, segment, trips
 from modetrace.plans.catalog import Tables
@@ -93,3 +93,22 @@ def test_few_edges_a_place(spark):
     cores = spark.createDataFrame([(n, 0.0) for n in name.values()], "node long, core double")
     assert pairs.count() > 50 * len(places)
     assert optics.short_edges(pairs, cores).count() <= 8 * len(places)
+
+
+def test_crowded_neighbours(spark, monkeypatch):
+    """3000 points within 25 m and some far off: 9 million pairs of one task before; the same as brute force,
+    with the queries of a busy cell in several tasks."""
+    rng = np.random.default_rng(3)
+    at = np.concatenate([np.round([48.85, 2.35] + rng.random((3000, 2)) * 0.0002, 6), np.round([48.2, 2.0] + rng.random((30, 2)), 6)])
+    df = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(at)], "id long, lat double, lon double")
+    sites = df.select(F.struct("id").alias("near"), F.col("lat").alias("lat_2"), F.col("lon").alias("lon_2"))
+    assert optics.first_side(df, sites) < 2 and optics.first_side(df.where("id >= 3000"), sites.where("near.id >= 3000")) == DEFAULTS.nearest_cell_m
+    monkeypatch.setattr(deal, "ROWS_A_TASK", 10_000)
+    got = {(r.id, r["rank"]): (r.metres, r.near_id) for r in optics.nearest(df, df, ("id",), 3).collect()}
+    assert len(got) == 3 * len(at)
+    y, x = np.radians(at).T
+    for i in (*range(0, 3000, 20), *range(3000, 3030)):
+        h = np.sin((y - y[i]) / 2) ** 2 + np.cos(y[i]) * np.cos(y) * np.sin((x - x[i]) / 2) ** 2
+        m = np.round(2 * EARTH_M * np.arcsin(np.sqrt(h)), 3)
+        want = sorted((float(m[j]), int(j)) for j in np.argpartition(m, 40)[:40] if j != i)[:3]
+        assert [got[i, n] for n in (1, 2, 3)] == want
