@@ -3,10 +3,10 @@ them, and nearest neighbours.
 
 A place's core distance is the least radius around it that holds ``dense`` changes.
 Two places reach each other at the greatest of their core distances and their own
-distance. A minimum spanning forest of that graph, found in Boruvka rounds over the
-pairs that a grid join gives within ``reach_m``, holds the clusters of every radius up to
-it: those at r are the components of the edges up to r between places whose core
-distance is r at most. They are read from the forest without looking at pairs again.
+distance. A minimum spanning forest of that graph, found over the pairs that a grid
+join gives within ``reach_m``, holds the clusters of every radius up to it: those at r
+are the components of the edges up to r between places whose core distance is r at most.
+They are read from the forest without looking at pairs again.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modetrace.config import DEFAULTS, Settings
-from modetrace.functions.graph import connected
+from modetrace.functions.graph import components, least_forest
 from modetrace.functions.motion import distance_m
 from modetrace.operators.spatial import DEGREE_M, neighbours, place_cells
 from modetrace.sources.deal import dealt, parts_for, tasks_for
@@ -73,39 +73,35 @@ def short_edges(pairs: DataFrame, cores: DataFrame, s: Settings = DEFAULTS) -> D
 
 def spanning_forest(pairs: DataFrame, cores: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(u, v, reach): a minimum spanning forest of the places with a core distance. Of
-    equal edges the one of the lesser nodes counts as less, which makes it one forest.
-
-    In each round every component takes its least edge to another one; then what it
-    joined is one node, and of the edges between two nodes the least is kept."""
-    edges = short_edges(pairs, cores, s).where("node < other").select(F.col("node").alias("u"), F.col("other").alias("v"), "reach")
-    left = materialise(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct("reach", "u", "v").alias("edge")), "edges")
-    found = []
-    while not left.isEmpty():
-        ends = left.select("a", "b", "edge").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "edge"))
-        least = ends.groupBy("a").agg(F.min(F.struct("edge", "b")).alias("m"))
-        chosen = materialise(least.select("a", F.col("m.b").alias("b"), F.col("m.edge").alias("edge")).groupBy("edge").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("b").alias("c")), "chosen")
-        found.append(chosen.select("edge.*"))
-        # an edge that both ends chose came with (a, b) and (b, a)
-        root = connected(chosen.select(F.col("a").alias("u"), F.greatest("b", "c").alias("v")).union(chosen.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        ends = left.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").where("x <> y")
-        shrunk = ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("edge").alias("edge"))
-        before, left = left, materialise(shrunk, "edges")
-        discard(before)
-    none = left.select("edge.*").select("u", "v", "reach")
-    return reduce(DataFrame.unionByName, [f.select("u", "v", "reach") for f in found], none)
+    equal edges the one of the lesser nodes counts as less, which makes it one forest."""
+    edges = short_edges(pairs, cores, s).where("node < other").select(F.col("node").alias("u"), F.col("other").alias("v"), F.col("reach").alias("weight"))
+    return least_forest(edges).withColumnRenamed("weight", "reach")
 
 
-def cut(pairs: DataFrame, cores: DataFrame, forest: DataFrame, radius_m: float) -> DataFrame:
-    """(lat_cell, lon_cell, cluster) of every place at a radius up to reach_m, as
-    ``spatial.clusters`` names them."""
-    inside = cores.where(F.col("core") <= radius_m).select("node")
-    root = connected(forest.where(F.col("reach") <= radius_m).select("u", "v"))
-    grouped = inside.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialise(grouped.join(grouped.groupBy("root").agg(F.min("node").alias("cluster")), "root").select("node", "cluster"), "named")
-    to_core = pairs.where(F.col("metres") <= radius_m).join(named.toDF("other", "cluster"), "other")
-    nearest = to_core.groupBy("node").agg(F.min(F.struct("metres", "cluster")).alias("best"))
+def cuts(pairs: DataFrame, cores: DataFrame, forest: DataFrame, radii: tuple[float, ...]) -> DataFrame:
+    """(radius, lat_cell, lon_cell, cluster) of every place at radii up to reach_m, as
+    ``spatial.clusters`` names them. All radii are one job: a place has a copy for each."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(r)).alias("radius")) for i, r in enumerate(radii))))
+
+    def copies(df: DataFrame) -> DataFrame:
+        return df.withColumn("at", each).select(*df.columns, "at.*")
+
+    def copy(node: str) -> Column:
+        return (F.col(node) * len(radii) + F.col("i")).alias(node)
+
+    inside = copies(cores).where("core <= radius").select("i", "node", copy("node").alias("copy"))
+    root = components(copies(forest).where("reach <= radius").select(copy("u"), copy("v"), F.col("reach").alias("weight")))
+    grouped = inside.join(root.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    named = materialise(grouped.join(grouped.groupBy("root").agg(F.min("node").alias("cluster")), "root").select("i", "node", "cluster"), "named")
+    to_core = copies(pairs).where("metres <= radius").join(named.withColumnRenamed("node", "other"), ["i", "other"])
+    nearest = to_core.groupBy("node", "i").agg(F.min(F.struct("metres", "cluster")).alias("best"))
     cells = [_lat_cell("node").alias("lat_cell"), _lon_cell("node").alias("lon_cell")]
-    return cores.join(nearest, "node", "left").select(*cells, F.coalesce("best.cluster", F.lit(-1)).alias("cluster"))
+    return copies(cores).join(nearest, ["node", "i"], "left").select("radius", *cells, F.coalesce("best.cluster", F.lit(-1)).alias("cluster"))
+
+
+def cut(pairs: DataFrame, cores: DataFrame, forest: DataFrame, radius_m: float) -> DataFrame:
+    """(lat_cell, lon_cell, cluster) of every place at one radius."""
+    return cuts(pairs, cores, forest, (radius_m,)).drop("radius")
 
 
 def clusters_at(changes: DataFrame, radii: tuple[float, ...], s: Settings = DEFAULTS) -> DataFrame:
@@ -114,7 +110,7 @@ def clusters_at(changes: DataFrame, radii: tuple[float, ...], s: Settings = DEFA
         raise ValueError(f"radii go up to reach_m, {s.reach_m}")
     pairs, cores = neighbourhood(changes, s)
     forest = materialise(spanning_forest(pairs, cores, s), "forest")
-    return reduce(DataFrame.unionByName, [cut(pairs, cores, forest, r).select(F.lit(float(r)).alias("radius"), "lat_cell", "lon_cell", "cluster") for r in radii])
+    return cuts(pairs, cores, forest, radii)
 
 
 def nearest(queries: DataFrame, points: DataFrame, key: tuple[str, ...], k: int | None = None, s: Settings = DEFAULTS) -> DataFrame:
